@@ -17,6 +17,12 @@ def tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ravelin.llm.simhash_trees import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ravelin.llm.packing import pack
 
