@@ -17,6 +17,12 @@ def tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_projection_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ravelin.llm.projection_forest import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ravelin.llm.simhash_trees import near_duplicates
 
