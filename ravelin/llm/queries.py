@@ -35,6 +35,12 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), tokenizer(WORD_BPE), with_ids=False)
 
 
+def op4_hilbert_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ravelin.llm.hilbert_search import search
+
+    return search(table(spark, sf_dir, "embeddings"))
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ravelin.llm.token_counts import token_counts
 
