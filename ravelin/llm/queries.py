@@ -41,6 +41,12 @@ def op4_hilbert_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search(table(spark, sf_dir, "embeddings"))
 
 
+def op5_style_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ravelin.llm.style_trees import main_text
+
+    return main_text(table(spark, sf_dir, "pages"))
+
+
 def op7_quality_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ravelin.llm.quality_crf import score_quality
 
