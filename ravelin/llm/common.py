@@ -38,6 +38,16 @@ def by_row(df: DataFrame, columns: list[str], schema: str, make: Callable[[], Ca
     return df.select(*columns).mapInArrow(run, schema)
 
 
+_kept: dict = {}
+
+
+def shared(key, make: Callable):
+    """What ``make`` returns, made once in each Python worker and kept from task to task."""
+    if key not in _kept:
+        _kept[key] = make()
+    return _kept[key]
+
+
 def crc_bucket(column: str, n: int):
     """crc32 of an id written in decimal, modulo n."""
     return F.crc32(F.col(column).cast("string")) % n

@@ -1,9 +1,9 @@
 """Packing by concatenate and cut.
 
-The first pass counts the tokens of each partition of the scan; their prefix sums, one number for each partition, are the
-global offsets. The second pass encodes again and cuts its run of the global token stream at multiples of the window; a text that
-crosses a window's edge becomes two or more pieces. No text is shuffled and nothing grows with the input on the driver but one
-row of totals for each partition.
+The first pass encodes each partition and writes its texts' ids with their places in the partition's own token stream. The prefix sums
+of the partitions' totals, one number for each, turn those places into global offsets; the second pass cuts the global stream at
+multiples of the window, so a text that crosses an edge becomes two or more pieces. No text is shuffled, and the driver holds
+one total for each partition.
 """
 
 from __future__ import annotations
@@ -14,12 +14,15 @@ import re
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ravelin.llm.common import WHITE, Memo, cut, ready
+from ravelin.llm.common import WHITE, Memo, cut, ready, shared
+from ravelin.llm.token_counts import byte_letters
 
 CHUNK = f"[^{WHITE}]+"
 PIECES = "doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary"
@@ -29,7 +32,8 @@ class Ids:
     """Token ids of a text as little-endian unsigned 32-bit bytes.
 
     The normalizer and the pre-tokenizer drop white space and never join what it parts, so texts are encoded by their
-    white-space separated chunks, each distinct one once.
+    white-space separated chunks, each distinct one once. Below U+0130 normalizing is lower-casing, so there a chunk's words can be
+    shared as well; all other chunks, and those that may hold a special token, go through the whole tokenizer.
     """
 
     def __init__(self, spec: str):
@@ -38,20 +42,30 @@ class Ids:
         self.tokenizer = Tokenizer.from_str(spec)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.chunks, self.memo = re.compile(CHUNK).findall, Memo(800_000)
-
-    def learn(self, texts: list[str]) -> None:
-        """Encode the chunks not known so far, all at once."""
-        import numpy as np
-
-        self.memo.room()
-        new = list({c for t in texts for c in self.chunks(t) if c not in self.memo})
-        for k in range(0, len(new), 20_000):
-            part = new[k : k + 20_000]
-            for c, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                self.memo[c] = np.array(e.ids, "<u4").tobytes()
+        j = json.loads(spec)
+        self.words_of = regex.compile(j["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]).findall
+        self.special = "".join({t["content"][0] for t in j["added_tokens"]})
+        self.letters = str.maketrans({chr(b): c for b, c in byte_letters().items()})
+        self.one = self.tokenizer.model.tokenize
+        self.chunks, self.memo, self.words = re.compile(CHUNK).findall, Memo(800_000, self.chunk), Memo(400_000, self.word)
+
+    def word(self, word: str) -> bytes:
+        shown = word.encode().decode("latin-1").translate(self.letters)
+        return b"".join(t.id.to_bytes(4, "little") for t in self.one(shown))
+
+    def chunk(self, chunk: str) -> bytes:
+        if max(chunk) < "\u0130" and not any(map(chunk.__contains__, self.special)):
+            low, words = chunk.lower(), self.words
+            if low.isalpha():  # all letters: one word
+                return words[low]
+            if low[:-1].isalpha() and low[-1] in ".,!?:;":
+                return words[low[:-1]] + words[low[-1]]
+            return b"".join(map(words.__getitem__, self.words_of(low)))
+        return b"".join(i.to_bytes(4, "little") for i in self.tokenizer.encode(chunk, add_special_tokens=False).ids)
 
     def __call__(self, text: str) -> bytes:
+        self.memo.room()
+        self.words.room()
         return b"".join(map(self.memo.__getitem__, self.chunks(text)))
 
 
@@ -70,44 +84,36 @@ def pack(docs: DataFrame, path: str, window: int = 2048, end_id: int = 1, id_col
 
     Sequences hold ``window`` ids and only the last may hold fewer; ``padded_to`` is ``window``, or the number of ids if
     that is a power of two. A null or empty text is its end id alone; repeated rows are packed each; a null id stays null; other columns
-    are left out; an empty table gives no rows. Rows are laid out in the order of the scan. Both passes must see the
-    same partitions: an input that is not a plain file scan is checkpointed first, and each task of the second pass compares its total
-    with the first pass's and fails if they differ.
+    are left out; an empty table gives no rows. Texts are laid out in the order in which the first pass read them, which its written
+    rows fix: tasks run again later give the same pieces.
     """
     spark = ready(docs.sparkSession)
     with open(path, encoding="utf-8") as f:
         spec = f.read()
     if not splits_on_white_space(spec):
         raise ValueError("the tokenizer does not drop white space before it merges")
+    top = max(end_id, *json.loads(spec)["model"]["vocab"].values(), *(t["id"] for t in json.loads(spec)["added_tokens"]))
+    held, stored = spark.sparkContext.broadcast(spec), "<u2" if top < 1 << 16 else "<u4"
     kind = docs.schema[id_column].dataType.simpleString()
     rows = docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text"))
-    plan = rows._jdf.queryExecution().executedPlan().toString()
-    if not rows.inputFiles() or re.search("Exchange|Python|Arrow|Sample|Join|Aggregate|RDD", plan):
-        rows = cut(rows)
-    held = spark.sparkContext.broadcast(spec)
     end = end_id.to_bytes(4, "little")
 
-    def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
-        ids = Ids(held.value)
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, part, at = shared(("ids", path), lambda: Ids(held.value)), TaskContext.get().partitionId(), 0
         for batch in batches:
-            for start in range(0, batch.num_rows, 1000):
-                who, texts = (c.to_pylist() for c in batch.slice(start, 1000).columns)
-                texts = [t or "" for t in texts]
-                ids.learn(texts)
-                yield [(w, ids(t) + end) for w, t in zip(who, texts)]
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = n = 0
-        for part in encoded(batches):
-            total += sum(len(b) for _, b in part) // 4
-            n += len(part)
-        if n:
-            yield pa.RecordBatch.from_pydict({"part": [TaskContext.get().partitionId()], "rows": [n], "tokens": [total]})
-
-    totals = {r["part"]: (r["rows"], r["tokens"]) for r in rows.mapInArrow(count, "part long, rows long, tokens long").collect()}
-    parts = sorted(totals)
-    before = dict(zip(parts, itertools.accumulate((totals[p][1] for p in parts), initial=0)))
-    whole = sum(t for _, t in totals.values())
+            for lo in range(0, batch.num_rows, 500):
+                who, texts = batch.slice(lo, 500).columns
+                found = [np.frombuffer(ids(t or "") + end, "<u4") for t in texts.to_pylist()]
+                sizes = np.fromiter(map(len, found), np.int64, len(found))
+                places = at + np.cumsum(sizes) - sizes
+                at += int(sizes.sum())
+                data = pa.array([f.astype(stored).tobytes() for f in found], pa.binary())
+                yield pa.RecordBatch.from_arrays([who, pa.array(np.full(len(found), part, np.int32)), pa.array(places), pa.array(sizes), data], names=["doc_id", "part", "at", "n", "ids"])
+
+    encoded = cut(rows.mapInArrow(encode, f"doc_id {kind}, part int, at long, n long, ids binary"))
+    totals = {r.part: r.total for r in encoded.groupBy("part").agg(F.sum("n").alias("total")).collect()}
+    before = dict(zip(sorted(totals), itertools.accumulate((totals[p] for p in sorted(totals)), initial=0)))
+    whole = sum(totals.values())
     last = whole % window
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
@@ -116,22 +122,18 @@ def pack(docs: DataFrame, path: str, window: int = 2048, end_id: int = 1, id_col
     kinds = to_arrow_schema(StructType.fromDDL(schema))
 
     def lay(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        me = TaskContext.get().partitionId()
-        at, n, start_at = before.get(me, 0), 0, before.get(me, 0)
-        for part in encoded(batches):
-            out = []
-            for who, b in part:
-                size, start = len(b) // 4, 0
-                while start < size:
-                    length = min(size - start, window - at % window)
-                    bit = b[4 * start : 4 * (start + length)]
-                    out.append((who, start, length, zlib.crc32(bit), size, at // window, at % window, bit)[: len(kinds)])
-                    start += length
-                    at += length
-            n += len(part)
-            yield pa.RecordBatch.from_arrays([pa.array(c, type=k.type) for c, k in zip(zip(*out), kinds)], schema=kinds)
-        if (n, at - start_at) != totals.get(me, (0, 0)):
-            raise RuntimeError("the input's partitions changed between the two passes; run it again")
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 500):
+                out = []
+                for who, part, at, size, data in zip(*(c.to_pylist() for c in batch.slice(lo, 500).columns)):
+                    b, start, at = np.frombuffer(data, stored).astype("<u4").tobytes(), 0, before[part] + at
+                    while start < size:
+                        length = min(size - start, window - at % window)
+                        bit = b[4 * start : 4 * (start + length)]
+                        out.append((who, start, length, zlib.crc32(bit), size, at // window, at % window, bit)[: len(kinds)])
+                        start += length
+                        at += length
+                yield pa.RecordBatch.from_arrays([pa.array(c, type=k.type) for c, k in zip(zip(*out), kinds)], schema=kinds)
 
     short = (F.col("sequence_id") == whole // window) & F.lit(bool(last and not last & (last - 1)))
-    return rows.mapInArrow(lay, schema).withColumn("padded_to", F.when(short, last).otherwise(window))
+    return encoded.mapInArrow(lay, schema).withColumn("padded_to", F.when(short, last).otherwise(window))

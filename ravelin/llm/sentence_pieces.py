@@ -14,7 +14,7 @@ import ahocorasick
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ravelin.llm.common import Memo, by_row
+from ravelin.llm.common import Memo, by_row, shared
 
 SPACE = "▁"
 #: Piece kinds of the model file (fixed values).
@@ -235,7 +235,7 @@ def _run(docs: DataFrame, path: str, id_column: str, text_column: str, out: str,
     held = docs.sparkSession.sparkContext.broadcast(model(path))
 
     def make():
-        encoder = Encoder(held.value)
+        encoder = shared(("encoder", path), lambda: Encoder(held.value))
         return lambda row: [(row[0], *shape(*encoder.digest(row[1] or "")))]
 
     kind = docs.schema[id_column].dataType.simpleString()

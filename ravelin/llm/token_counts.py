@@ -12,7 +12,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ravelin.llm.common import WHITE, Memo, by_row
+from ravelin.llm.common import WHITE, Memo, by_row, shared
 
 #: The pre-tokenizer's pattern (fixed values), with \s written out as Unicode White_Space.
 PRE_TOKEN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{WHITE}\p{{L}}\p{{N}}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+"
@@ -120,7 +120,7 @@ def token_counts(docs: DataFrame, path: str, limit: int = 512, id_column: str =
     held = docs.sparkSession.sparkContext.broadcast(model(path))
 
     def make():
-        count = Counter(held.value)
+        count = shared(("counter", path), lambda: Counter(held.value))
         return lambda row: [(row[0], len((row[1] or "").encode()), count(row[1] or ""))]
 
     kind = docs.schema[id_column].dataType.simpleString()
