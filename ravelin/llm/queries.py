@@ -47,6 +47,12 @@ def op5_style_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return main_text(table(spark, sf_dir, "pages"))
 
 
+def op6_maxent_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ravelin.llm.maxent_lm import score
+
+    return score(table(spark, sf_dir, "documents"))
+
+
 def op7_quality_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ravelin.llm.quality_crf import score_quality
 
