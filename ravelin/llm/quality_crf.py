@@ -158,12 +158,13 @@ def train(docs: DataFrame, labels: DataFrame, folds: int = 5, sample: int = 6_00
     return fit(np.concatenate(xs).astype(np.float64), np.concatenate(sizes), np.array([len(s) for s in sizes]), got.quality.to_numpy(np.float64))
 
 
-def score_quality(docs: DataFrame, labels: DataFrame, folds: int = 5, cut_at: float = 0.3, sample: int = 6_000) -> DataFrame:
+def score_quality(docs: DataFrame, labels: DataFrame, folds: int = 5, cut_at: float = 0.3, sample: int = 6_000, carry: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, held_out, score, predicted for every row of ``docs`` (doc_id, text).
 
     Only the text decides a score. Held out are the ids whose crc32 in decimal is divisible by ``folds``; their labels are
     never seen. Null texts count as empty, which is one empty line; repeated rows give repeated results; a null id is not held out;
-    without labels of both kinds every score is the one label's value (0.5 without any). Other columns are left out.
+    without labels of both kinds every score is the one label's value (0.5 without any). Columns named in ``carry`` come along; others are
+    left out.
     """
     spark = ready(docs.sparkSession)
     held = spark.sparkContext.broadcast(train(docs, labels, folds, sample))
@@ -179,7 +180,9 @@ def score_quality(docs: DataFrame, labels: DataFrame, folds: int = 5, cut_at: fl
                 else:
                     xs, sizes = zip(*(features(t or "") for t in part.column(1).to_pylist()))
                     p = crf.probability(crf.good_share(np.concatenate(xs), np.concatenate(sizes), np.array([len(s) for s in sizes])))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(p)], names=["doc_id", "score"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(p), *part.columns[2:]], names=["doc_id", "score", *carried])
 
-    out = docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, score double")
-    return out.select("doc_id", F.coalesce(crc_bucket("doc_id", folds) == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= cut_at).cast("int").alias("predicted"))
+    carried = [f"carried_{k}" for k in range(len(carry))]
+    more = "".join(f", {c} {docs.schema[n].dataType.simpleString()}" for c, n in zip(carried, carry))
+    out = docs.select("doc_id", "text", *(F.col(n).alias(c) for c, n in zip(carried, carry))).mapInArrow(run, f"doc_id {kind}, score double{more}")
+    return out.select("doc_id", F.coalesce(crc_bucket("doc_id", folds) == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= cut_at).cast("int").alias("predicted"), *(F.col(c).alias(n) for c, n in zip(carried, carry)))

@@ -273,25 +273,29 @@ def tidy(spark) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-def remove_repeats(docs: DataFrame, length: int = 100, with_text: bool = False, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row; with ``with_text``, the kept bytes too.
+def remove_repeats(docs: DataFrame, length: int = 100, carry: tuple[str, ...] = (), with_text: bool = False) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row of ``docs`` (doc_id, text); with ``with_text``, kept: the kept
+    bytes as text, without fragments of characters that a cut went through.
 
     A byte goes if a string of ``length`` bytes over it also starts earlier: in a smaller id, or before in the same text. Null
     and short texts lose nothing, except that a null text counts as empty. Rows equal in id and text are one document and share
-    its result; different texts of one id, null ids (last) and ids that are no integers are ordered by id, then text. Other
-    columns are left out.
+    its result; different texts of one id, null ids (last) and ids that are no integers are ordered by id, then text. Columns named
+    in ``carry`` come along; others are left out.
     """
     spark = ready(docs.sparkSession)
-    kind = docs.schema[id_column].dataType.simpleString()
-    rows = docs.select(F.col(id_column).alias("doc_id"), F.coalesce(F.col(text_column), F.lit("")).alias("text"))
-    plain = kind in ("bigint", "int", "smallint", "tinyint") and not rows.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 or doc_id is null").take(1)
-    if plain:
-        rows = rows.withColumns({"row": F.col("doc_id").cast("long"), "times": F.lit(1)})
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    carried = [f"carried_{k}" for k in range(len(carry))]
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), *(F.col(n).alias(c) for c, n in zip(carried, carry)))
+    if kind in ("bigint", "int", "smallint", "tinyint") and not rows.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 or doc_id is null").take(1):
+        rows = rows.withColumn("row", F.col("doc_id").cast("long"))
+        base = rows.select("row", "text")
     else:
-        one = rows.groupBy("doc_id", "text").agg(F.count("*").cast("int").alias("times"))
         sort = [F.col("doc_id").asc_nulls_last(), F.col("text")]
-        rows = cut(one.repartitionByRange(*sort).sortWithinPartitions(*sort).withColumn("row", F.monotonically_increasing_id()))
-    marks = repeated_spans(rows, length).groupBy("row").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+        base = cut(rows.select("doc_id", "text").distinct().repartitionByRange(*sort).sortWithinPartitions(*sort).withColumn("row", F.monotonically_increasing_id()))
+        own = base.select(F.col("doc_id").alias("i"), F.col("text").alias("t"), "row")
+        rows = rows.join(own, rows.doc_id.eqNullSafe(own.i) & (rows.text == own.t)).drop("i", "t")
+        base = base.select("row", "text")
+    marks = repeated_spans(base, length).groupBy("row").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
     marks = cut(marks)
     tidy(spark)
 
@@ -311,14 +315,12 @@ def remove_repeats(docs: DataFrame, length: int = 100, with_text: bool = False,
                         keep.append(data[at:s])
                         at = e
                     kept = b"".join([*keep, data[at:]])
-                    out.append((len(data), len(data) - len(kept), len(spans_), hashlib.sha256(kept).hexdigest(), kept))
+                    out.append((len(data), len(data) - len(kept), len(spans_), hashlib.sha256(kept).hexdigest(), kept.decode(errors="ignore") if with_text else None))
                 a = list(zip(*out))
-                cols = [part.column("doc_id"), part.column("times"), *(pa.array(c, t) for c, t in zip(a, (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())))]
-                yield pa.RecordBatch.from_arrays(cols[: None if with_text else -1], names=names[: None if with_text else -1])
-
-    names = ["doc_id", "times", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"]
-    schema = f"doc_id {kind}, times int, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text
-    done = rows.join(marks, "row", "left").select("doc_id", "times", "text", "spans").mapInArrow(finish, schema)
-    if not plain:
-        done = done.withColumn("times", F.explode(F.sequence(F.lit(1), "times")))
-    return done.drop("times")
+                made = [pa.array(c, t) for c, t in zip(a, (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()))]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), *made, *(part.column(c) for c in carried)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", *carried])
+
+    more = "".join(f", {c} {docs.schema[n].dataType.simpleString()}" for c, n in zip(carried, carry))
+    schema = f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept string{more}"
+    done = rows.join(marks, "row", "left").select("doc_id", "text", "spans", *carried).mapInArrow(finish, schema)
+    return done.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *["kept"] * with_text, *(F.col(c).alias(n) for c, n in zip(carried, carry)))
