@@ -1,20 +1,46 @@
-"""A cleaning pipeline over ``documents``: each stage calls one operator of ravelin.llm and works on what the one before kept."""
+"""A cleaning pipeline over ``documents``: each stage calls one operator of ravelin.llm and works on all that the one before kept."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from ravelin.llm.common import table
+from ravelin.llm.common import ready, table
+from ravelin.llm.packing import pack
+from ravelin.llm.quality_crf import score_quality
 from ravelin.llm.queries import WORD_BPE, tokenizer
+from ravelin.llm.simhash_trees import near_duplicates
+from ravelin.llm.suffix_dedup import remove_repeats
 
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
-def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    from ravelin.llm.packing import pack
 
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the line classifier takes for good ones."""
+    scored = score_quality(docs, table(spark, sf_dir, "labels"), carry=COLUMNS[1:])
+    return scored.where("predicted = 1").select(*COLUMNS)
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document of least id of each group of near copies, once; rows without an id stay if one of them leads a group."""
+    ready(spark)
+    found = near_duplicates(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("id")).distinct()
+    kept = docs.join(found, docs.doc_id.eqNullSafe(found.id), "left_semi").select(*COLUMNS)
+    return kept.where("doc_id is not null").dropDuplicates(["doc_id"]).union(kept.where("doc_id is null").dropDuplicates(["text"]))
+
+
+def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without the bytes of passages that occur earlier; n_chars is the new length."""
+    cut = remove_repeats(docs, carry=("lang", "source"), with_text=True)
+    return cut.select("doc_id", F.col("kept").alias("text"), "lang", "source", F.length("kept").cast("long").alias("n_chars")).select(*COLUMNS)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sequences of 2048 ids, a row for each piece of a document."""
     return pack(docs, tokenizer(WORD_BPE))
 
 
-STAGES = [("packing", packing)]
+STAGES = [("quality", quality), ("near_copies", near_copies), ("passages", passages), ("packing", packing)]
 ORACLE_SQL = None
 
 
