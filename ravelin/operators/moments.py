@@ -55,11 +55,11 @@ class Moments:
         return Moments(self.n, w @ self.sums, w @ self.cross @ w.T, w @ self.shift)
 
 
-def fold_moments(table: DataFrame, columns: list[str], fold: str | None = None) -> dict[int, Moments]:
-    """Moments of ``columns`` for each fold; rows with a null in any of them are left out.
+def moment_rows(table: DataFrame, columns: list[str], fold: str | None = None) -> tuple[DataFrame, np.ndarray]:
+    """(fold, i, row): row i of each fold's matrix of products of ``columns`` and 1, about the returned shift.
 
-    Columns are shifted by their mean first, so that products keep their digits. A task sends one block of rows of the
-    matrix for each fold it has seen; the blocks add up in Spark, and the driver gets as many as there are columns and folds.
+    Rows with a null in any column are left out. Columns are shifted by their mean first, so that products keep their digits. A
+    task sends a matrix for each fold it has seen; they add up in Spark.
     """
     ready(table.sparkSession)
     own = table.select(*(F.col(c).cast("double").alias(f"c{k}") for k, c in enumerate(columns)), (F.col(fold) if fold else F.lit(0)).cast("int").alias("fold")).na.drop()
@@ -87,12 +87,24 @@ def fold_moments(table: DataFrame, columns: list[str], fold: str | None = None)
         return rows.iloc[:1].assign(row=[sum(np.frombuffer(r) for r in rows["row"]).tobytes()])
 
     schema = "fold int, i int, row binary"
+    return own.mapInArrow(partial, schema).groupBy("fold", "i").applyInPandas(add, schema), shift
+
+
+def gathered(rows: list[tuple[int, int, bytes]], shift: np.ndarray) -> dict[int, Moments]:
+    """Moments by fold from (fold, i, row)."""
     got: dict[int, np.ndarray] = {}
-    for r in own.mapInArrow(partial, schema).groupBy("fold", "i").applyInPandas(add, schema).collect():
-        got.setdefault(r.fold, np.zeros((d + 1, d + 1)))[r.i] = np.frombuffer(r["row"])
+    d = len(shift)
+    for fold, i, row in rows:
+        got.setdefault(int(fold), np.zeros((d + 1, d + 1)))[i] = np.frombuffer(row)
     return {k: Moments(m[d, d], m[d, :d], m[:d, :d], shift) for k, m in sorted(got.items())}
 
 
+def fold_moments(table: DataFrame, columns: list[str], fold: str | None = None) -> dict[int, Moments]:
+    """Moments of ``columns`` for each fold; the driver gets as many rows as there are columns and folds."""
+    rows, shift = moment_rows(table, columns, fold)
+    return gathered([tuple(r) for r in rows.collect()], shift)
+
+
 def gram(table: DataFrame, columns: list[str]) -> Moments:
     d = len(columns)
     return fold_moments(table, columns).get(0, Moments(0, np.zeros(d), np.zeros((d, d)), np.zeros(d)))
