@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ravelin.runtime import cut, ready, table  # noqa: F401
+from ravelin.runtime import cut, ready, table, written  # noqa: F401
 
 #: Unicode White_Space, the meaning of \s in the tokenizers' patterns (fixed values).
 WHITE = "\t\n\x0b\x0c\r \x85\xa0 " + "".join(map(chr, range(0x2000, 0x200B))) + "    　"

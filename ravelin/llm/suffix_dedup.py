@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ravelin.llm.common import cut, ready
+from ravelin.llm.common import cut, ready, written
 from ravelin.llm.induced_sorting import permuted_common_prefixes, suffix_array
 
 K = 32
@@ -92,23 +92,98 @@ def batches_of(texts: list[bytes], most: int = 200_000) -> Iterator[tuple[int, i
         yield start, len(texts)
 
 
-def anchors(docs: DataFrame, length: int, only_hash: bool) -> DataFrame:
-    """Minimizers of all texts: hash, and unless ``only_hash``, around, row and place."""
+def anchors(docs: DataFrame, length: int, together: int = 300_000) -> DataFrame:
+    """Minimizers of all texts: hash, around, row, at.
+
+    Of equal surroundings that one task meets together only the first is sent; the others are decided, which a negative place
+    (-1 - at) says, and their hash is the row's own, so that they spread.
+    """
+
+    def send(parts: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+        h, around, row, at = (np.concatenate(x) for x in zip(*parts))
+        order = np.lexsort((at, row, around, h))
+        h, around, row, at = h[order], around[order], row[order], at[order]
+        later = np.append(False, (h[1:] == h[:-1]) & (around[1:] == around[:-1]))
+        h = np.where(later, mixed(row.astype(U)), h)
+        return pa.RecordBatch.from_pydict({"hash": h.view(np.int64), "around": around.view(np.int64), "row": row, "at": np.where(later, -1 - at, at).astype(np.int32)})
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        finder = Anchors(length)
+        finder, parts, size = Anchors(length), [], 0
         for batch in batches:
             rows = batch.column(0).to_numpy(zero_copy_only=False)
             for lo in range(0, batch.num_rows, 500):
                 texts = [(t or "").encode() for t in batch.column(1).slice(lo, 500).to_pylist()]
                 for s, e in batches_of(texts):
                     text, at, h, around = finder.of(texts[s:e])
-                    if only_hash:
-                        yield pa.RecordBatch.from_pydict({"hash": h.view(np.int64)})
-                    else:
-                        yield pa.RecordBatch.from_pydict({"hash": h.view(np.int64), "around": around.view(np.int64), "row": rows[lo + s + text], "at": at.astype(np.int32)})
+                    parts.append((h, around, rows[lo + s + text], at))
+                    size += len(h)
+                    if size > together:
+                        yield send(parts)
+                        parts, size = [], 0
+        if size:
+            yield send(parts)
+
+    return docs.select("row", "text").mapInArrow(find, "hash long, around long, row long, at int")
+
+
+def sift(found: DataFrame, length: int, hot: int) -> DataFrame:
+    """Of minimizers in the order of their hashes: spans already decided (start, end), and places to look closer at (hash, at, hot).
+
+    A place that has one surrounding only needs no more than its copies' removal. A hash with more than ``hot`` places to look at is hot;
+    no more than that many are held at a time.
+    """
+    back = length - K
 
-    return docs.select("row", "text").mapInArrow(find, "hash long" if only_hash else "hash long, around long, row long, at int")
+    def out(row, start=None, end=None, hash_=None, at=None, hot_=None) -> pa.RecordBatch:
+        n = len(row)
+        full = lambda x, t: pa.nulls(n, t) if x is None else pa.array(x, t)
+        return pa.RecordBatch.from_arrays([pa.array(row), full(start, pa.int32()), full(end, pa.int32()), full(hash_, pa.int64()), full(at, pa.int32()), full(hot_, pa.bool_())], names=["row", "start", "end", "hash", "at", "hot"])
+
+    def span(row: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
+        return out(row, np.maximum(at - back, 0).astype(np.int32), (at + length).astype(np.int32))
+
+    def groups(h: np.ndarray, around: np.ndarray, row: np.ndarray, at: np.ndarray, burning: bool) -> Iterator[pa.RecordBatch]:
+        new = np.append(True, h[1:] != h[:-1])
+        kind = new | np.append(True, around[1:] != around[:-1])
+        first = np.flatnonzero(new)
+        kinds = np.repeat(np.add.reduceat(kind.astype(np.int64), first), np.diff(np.append(first, len(h))))
+        if burning:
+            kinds[:] = hot + 1
+        if (~kind).any():
+            yield span(row[~kind], at[~kind])
+        look = kind & (kinds > 1)
+        if look.any():
+            yield out(row[look], hash_=h[look], at=at[look], hot_=kinds[look] > hot)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, burning = None, None
+        for b in batches:
+            h, around, row, at = (c.to_numpy() for c in b.columns)
+            if (done := at < 0).any():
+                yield span(row[done], -1 - at[done])
+                h, around, row, at = h[~done], around[~done], row[~done], at[~done]
+            if held is not None:
+                h, around, row, at = (np.concatenate(x) for x in zip(held, (h, around, row, at)))
+            if not len(h):
+                continue
+            last = int(np.searchsorted(h, h[-1]))  # the last hash may go on
+            if burning is not None and len(own := np.flatnonzero(h == burning)):
+                yield from groups(*(x[own] for x in (h, around, row, at)), True)
+                h, around, row, at = (x[len(own) :] for x in (h, around, row, at))
+                last = max(0, last - len(own))
+            if last:
+                yield from groups(h[:last], around[:last], row[:last], at[:last], False)
+            held = tuple(x[last:].copy() for x in (h, around, row, at))
+            if len(held[0]) > 4 * hot:
+                burning = held[0][0]
+                yield from groups(*held, True)
+                held = None
+            elif not len(held[0]):
+                held = None
+        if held is not None:
+            yield from groups(*held, held[0][0] == burning)
+
+    return found.mapInArrow(run, "row long, start int, end int, hash long, at int, hot boolean")
 
 
 def marked_in(shard: list[tuple[int, int, bytes]], length: int) -> list[tuple[int, int, int]]:
@@ -176,25 +251,17 @@ def pieces_of(group: list[tuple[int, int, int, bytes]], length: int, k: int, cut
     return out, done
 
 
-def repeated_spans(docs: DataFrame, length: int = 100, shard_bytes: int = 2_000_000) -> DataFrame:
+def repeated_spans(docs: DataFrame, length: int = 100, shard_bytes: int = 2_000_000, hot: int | None = None) -> DataFrame:
     """(row, start, end) of spans whose strings of ``length`` bytes all start earlier too; ``docs`` has unique long rows, in order, and texts."""
     spark = ready(docs.sparkSession)
-    again = anchors(docs, length, True).groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash")
-    kept = cut(anchors(docs, length, False).join(again, "hash", "left_semi"))
+    parts, back = int(spark.conf.get("spark.sql.shuffle.partitions")), length - K
+    hot = hot or min(50_000, max(2_000, docs.count() // 16))
+    ordered = anchors(docs, length).repartition(parts, "hash").sortWithinPartitions("hash", "around", "row", "at")
+    sifted = written(sift(ordered, length, hot))
     tidy(spark)
-    first = F.min(F.struct("row", "at")).alias("first")
-    kinds = cut(kept.groupBy("hash", "around").agg(first, F.count("*").alias("n")).select("hash", "around", "first.row", "first.at", "n"))
-    tidy(spark)
-    back = length - K
-    copied = kept.join(kinds.where("n > 1").select("hash", "around", F.col("row").alias("r0"), F.col("at").alias("a0")), ["hash", "around"]).where("row <> r0 or at <> a0")
-    # A copied surrounding is cut at its text's ends, which the final pass does again.
-    whole = copied.select("row", F.greatest(F.col("at") - back, F.lit(0)).alias("start"), (F.col("at") + length).alias("end"))
-
-    many = kinds.groupBy("hash").agg(F.count("*").alias("kinds")).where("kinds > 1")
-    total = many.agg(F.sum("kinds")).first()[0] or 0
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    hot = max(1000, 2 * total // parts)
-    places = kinds.join(many, "hash").select("hash", "row", "at", (F.col("kinds") > hot).alias("hot"))
+    whole = sifted.where("start is not null").select("row", "start", "end")
+    places = sifted.where("hash is not null").select("row", "hash", "at", "hot")
+    total, anyhot = places.agg(F.count("*"), F.coalesce(F.bool_or("hot"), F.lit(False))).first()
     byrow = places.groupBy("row").agg(F.collect_list(F.struct("hash", "at", "hot")).alias("places"))
 
     def cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -210,7 +277,6 @@ def repeated_spans(docs: DataFrame, length: int = 100, shard_bytes: int = 2_000_
                     yield pa.RecordBatch.from_pydict(dict(zip(("hash", "hot", "row", "at", "start", "data"), map(list, zip(*out)))), schema=pa.schema([("hash", pa.int64()), ("hot", pa.bool_()), ("row", pa.int64()), ("at", pa.int32()), ("start", pa.int32()), ("data", pa.binary())]))
 
     around = docs.select("row", "text").join(byrow, "row").select("row", "text", "places").mapInArrow(cut_out, "hash long, hot boolean, row long, at int, start int, data binary")
-    anyhot = bool(many.where(F.col("kinds") > hot).take(1))
     shards = max(parts, int(total * (2 * length - K) // shard_bytes) + 1)
 
     def sort_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pd.DataFrame]:
@@ -254,16 +320,22 @@ def hot_spans(around: DataFrame, length: int) -> DataFrame:
     """The same for minimizers with too many different surroundings for one task: their strings meet one by one, by digest."""
 
     def strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        finder = Anchors(length)
+        finder.powers(1 << 12)
         for batch in batches:
-            for lo in range(0, batch.num_rows, 500):
-                out = [(hashlib.blake2b(data[i : i + length], digest_size=16).digest(), row, start + i) for row, start, data in zip(*(c.to_pylist() for c in batch.slice(lo, 500).columns)) for i in range(len(data) - length + 1)]
-                if out:
-                    d, row, start = zip(*out)
-                    yield pa.RecordBatch.from_arrays([pa.array(d, pa.binary()), pa.array(row, pa.int64()), pa.array(start, pa.int32())], names=["d", "row", "start"])
-
-    every = around.select("row", "start", "data").mapInArrow(strings, "d binary, row long, start int")
-    kinds = every.groupBy("d").agg(F.min(F.struct("row", "start")).alias("f"), F.count("*").alias("n")).where("n > 1")
-    later = every.join(kinds, "d").where("row <> f.row or start <> f.start")
+            for row, start, data in zip(*(c.to_pylist() for c in batch.columns)):
+                n = len(data) - length + 1
+                if n > 0:
+                    letters = finder.letters[np.frombuffer(data, np.uint8)]
+                    two = []
+                    for up, down in ((finder.up, finder.down), (finder.down, finder.up)):  # two independent bases
+                        sums = np.concatenate([[U(0)], np.cumsum(letters * up[: len(data)], dtype=U)])
+                        two.append(pa.array(mixed((sums[length:] - sums[:-length]) * down[:n]).view(np.int64)))
+                    yield pa.RecordBatch.from_arrays([*two, pa.array(np.full(n, row)), pa.array(np.arange(start, start + n, dtype=np.int32))], names=["d", "e", "row", "start"])
+
+    every = around.select("row", "start", "data").mapInArrow(strings, "d long, e long, row long, start int")
+    kinds = every.groupBy("d", "e").agg(F.min(F.struct("row", "start")).alias("f"), F.count("*").alias("n")).where("n > 1")
+    later = every.join(kinds, ["d", "e"]).where("row <> f.row or start <> f.start")
     return later.select("row", "start", (F.col("start") + length).cast("int").alias("end"))
 
 
@@ -296,7 +368,7 @@ def remove_repeats(docs: DataFrame, length: int = 100, carry: tuple[str, ...] =
         rows = rows.join(own, rows.doc_id.eqNullSafe(own.i) & (rows.text == own.t)).drop("i", "t")
         base = base.select("row", "text")
     marks = repeated_spans(base, length).groupBy("row").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
-    marks = cut(marks)
+    marks = written(marks)
     tidy(spark)
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pd.DataFrame]:
