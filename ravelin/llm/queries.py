@@ -81,6 +81,22 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
 
 
+#: Vectors that take part, as doubles.
+GOOD = "good AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0)"
+
+
 def oracle_sql() -> dict[str, str]:
-    """DuckDB SQL for the queries that it can express whole."""
-    return {}
+    """DuckDB SQL for the queries that it can express whole: those on vectors, by brute force. The others need hashes or tokenizers that it lacks."""
+    return {
+        "op1_projection_forest": f"""
+            WITH RECURSIVE {GOOD},
+            links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM good a JOIN good b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE list_cosine_similarity(a.v, b.v) >= 0.93),
+            reach AS (SELECT vec_id AS a, vec_id AS b FROM embeddings UNION SELECT reach.a, links.b FROM reach JOIN links ON links.a = reach.b),
+            comp AS (SELECT a, min(b) AS component_id FROM reach GROUP BY a)
+            SELECT vec_id, (SELECT count(*) FROM links WHERE links.a = vec_id) AS n_links, component_id, vec_id = component_id AS kept FROM embeddings JOIN comp ON comp.a = vec_id""",
+        "op4_hilbert_search": f"""
+            WITH {GOOD},
+            d AS (SELECT q.vec_id AS query_id, c.vec_id, sqrt(list_sum(list_transform(list_zip(q.v, c.v), lambda p: (p[1] - p[2]) * (p[1] - p[2])))) AS score FROM good q JOIN good c ON q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0),
+            r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id) AS n FROM d)
+            SELECT query_id, CAST(n AS INT) AS rank, vec_id, score FROM r WHERE n <= 10""",
+    }
