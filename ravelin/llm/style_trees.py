@@ -20,7 +20,9 @@ from pyspark.sql import functions as F
 
 from ravelin.llm.common import ready
 
-TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(script|style|textarea|title|iframe|noembed|noframes|xmp)\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<[/!?][^>]*>|[^<]+|<""", re.S | re.I)
+#: Attributes, quoted or not; an unquoted "<" ends an unfinished tag, which keeps broken pages linear.
+INSIDE = r"""(?:[^<>"']|"[^"]*"|'[^']*')*"""
+TOKEN = re.compile(rf"""<!--.*?(?:-->|\Z)|<(script|style|textarea|title|iframe|noembed|noframes|xmp)\b{INSIDE}>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][^\s/<>]*)({INSIDE})>|<[/!?][^<>]*>|[^<]+|<""", re.S | re.I)
 ROLE = re.compile(r"""\b(class|id|role|hidden|aria-hidden)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 #: Elements without content, elements that begin and end a block, and elements that are never the article (fixed values).
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -34,10 +36,20 @@ CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td
 FENCES = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table", "tr"}, "th": {"table", "tr"}}
 
 
+PRIME, BASE = (1 << 61) - 1, 0x1F3D5B79
+
+
+def hashed(text: str) -> int:
+    """61 bits, which fit a long and the sums below."""
+    return xxhash.xxh64_intdigest(text) >> 3
+
+
 class Node:
+    """An open element; ``path`` is a hash of its host and of the tags and classes down to it."""
+
     __slots__ = ("tag", "path", "main", "other", "start", "children")
 
-    def __init__(self, tag: str, path: str, main: bool, other: bool, start: int):
+    def __init__(self, tag: str, path: int, main: bool, other: bool, start: int):
         self.tag, self.path, self.main, self.other, self.start, self.children = tag, path, main, other, start, []
 
 
@@ -61,8 +73,9 @@ def named_other(attributes: str, main: bool) -> tuple[str, bool]:
 
 def walk(page: str, host: str, low: frozenset[int] = frozenset()):
     """Read a page: its kept blocks inside main elements, its kept blocks outside, and its nodes (name, presentation, content)."""
-    root = Node("", host, False, False, 0)
-    stack, texts, nodes = [root], [], []
+    root = Node("", hashed(host), False, False, 0)
+    stack, nodes = [root], []
+    sums, open_ = [0], Counter()  # sums: hashes of all texts up to each, so that a node's content has one in no time
     blocks: dict[bool, list[str]] = {True: [], False: []}
     now: list[str] = []
     where = False
@@ -76,9 +89,11 @@ def walk(page: str, host: str, low: frozenset[int] = frozenset()):
 
     def close() -> None:
         node = stack.pop()
+        open_[node.tag] -= 1
         if node.tag in BLOCK:
             flush()
-            nodes.append((xxhash.xxh64_intdigest(node.path) >> 1, xxhash.xxh64_intdigest(",".join(node.children)) >> 1, xxhash.xxh64_intdigest("\n".join(texts[node.start :])) >> 1))
+            content = (sums[-1] - sums[node.start] * pow(BASE, len(sums) - 1 - node.start, PRIME)) % PRIME
+            nodes.append((node.path, hashed(",".join(node.children)), content))
 
     for m in TOKEN.finditer(page):
         slash, tag = m.group(2), m.group(3)
@@ -88,7 +103,7 @@ def walk(page: str, host: str, low: frozenset[int] = frozenset()):
                 text = html.unescape(raw)
                 top = stack[-1]
                 if text.strip():
-                    texts.append(text.strip())
+                    sums.append((sums[-1] * BASE + hashed(text.strip())) % PRIME)
                 if not top.other:
                     if where != top.main:
                         flush()
@@ -97,7 +112,7 @@ def walk(page: str, host: str, low: frozenset[int] = frozenset()):
             continue
         tag = tag.lower()
         if slash:
-            if any(n.tag == tag for n in stack):
+            if open_[tag]:
                 while stack[-1].tag != tag:
                     close()
                 close()
@@ -106,14 +121,13 @@ def walk(page: str, host: str, low: frozenset[int] = frozenset()):
             continue
         if tag in BLOCK:
             flush()
-            if stack[-1].tag != "p" and any(n.tag == "p" for n in stack) or stack[-1].tag == "p":
-                if tag != "br":
-                    while any(n.tag == "p" for n in stack) and not _fenced(stack, "p"):
-                        close()
-        if tag in MAIN and any(n.tag in ("nav", "header") and not n.main for n in stack):  # left open
-            while any(n.tag in ("nav", "header") and not n.main for n in stack):
+            if tag != "br":
+                while open_["p"] and not _fenced(stack, "p"):
+                    close()
+        if tag in MAIN and (open_["nav"] or open_["header"]):
+            while any(n.tag in ("nav", "header") and not n.main for n in stack):  # left open
                 close()
-        if tag in CLOSES:
+        if tag in CLOSES and any(open_[t] for t in CLOSES[tag]):
             while (k := next((k for k in range(len(stack) - 1, 0, -1) if stack[k].tag in CLOSES[tag] or stack[k].tag in FENCES.get(tag, ())), 0)) and stack[k].tag in CLOSES[tag]:
                 while len(stack) > k:
                     close()
@@ -123,14 +137,15 @@ def walk(page: str, host: str, low: frozenset[int] = frozenset()):
         if tag in VOID:
             continue
         name, other = named_other(m.group(4), parent.main) if m.group(4) else ("", False)
-        path = f"{parent.path}/{tag}{name}" if tag in BLOCK else parent.path
+        path = hashed(f"{parent.path}/{tag}{name}") if tag in BLOCK else parent.path
         main = parent.main or tag in MAIN
         other = parent.other or other and tag not in ("html", "body") or tag in NEVER or tag == "header" and not main
         if not other and low and tag in BLOCK and not main:
-            other = xxhash.xxh64_intdigest(path) >> 1 in low
+            other = path in low
         if m.group(4).rstrip().endswith("/") and tag not in BLOCK:
             continue
-        stack.append(Node(tag, path, main, other, len(texts)))
+        open_[tag] += 1
+        stack.append(Node(tag, path, main, other, len(sums) - 1))
     while len(stack) > 1:
         close()
     flush()
