@@ -82,7 +82,7 @@ class Encoder:
         at = [[c] for c in text]  # matches by start; the ends come in order, so shortest first
         for end, (back, piece) in self.automaton.iter(text):
             at[end - back].append(piece)
-        alive = (1 << (n + 1)) - 1  # a cleared bit: no way on from this position
+        failed = bytearray(n + 1)  # positions from which no way on was found
         compatible, get = self.compatible, self.pairs.get
         done: list[tuple[str, int]] = []  # pieces with the index of their match
         pos, k = 0, len(at[0]) - 1
@@ -90,7 +90,7 @@ class Encoder:
             left = done[-1][0] if done else None
             while k >= 0:
                 piece = at[pos][k]
-                if alive >> (pos + len(piece)) & 1 and (left is None or (compatible(left, piece) if (ok := get((left, piece))) is None else ok)):
+                if not failed[pos + len(piece)] and (left is None or (compatible(left, piece) if (ok := get((left, piece))) is None else ok)):
                     break
                 k -= 1
             if k >= 0:
@@ -98,7 +98,7 @@ class Encoder:
                 pos += len(piece)
                 k = len(at[pos]) - 1 if pos < n else -1
             else:
-                alive &= ~(1 << pos)
+                failed[pos] = 1
                 if not done:
                     raise ValueError("no encoding found")
                 piece, k = done.pop()
