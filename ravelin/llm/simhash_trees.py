@@ -1,16 +1,19 @@
 """SimHash near-duplicates by a vantage-point tree over Hamming distance.
 
-Equal fingerprints are one point. A tree fitted on a bounded sample of the points halves them by their distance to vantage points; a
-point is stored in one leaf and looks into each leaf that the triangle bound leaves open, so every pair within the radius
-meets, whatever the sample.
+Equal fingerprints are one point. Each level of the tree has a vantage point and a branch for each distance to it, so a leaf is a
+tuple of distances. A pair within the radius differs by no more than the radius in each of them (the triangle bound), and all its
+differences are odd or even together, as each differing bit changes every distance by one. A point is stored in its own leaf and looks
+into the leaves that these bounds leave open, so every pair within the radius meets.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import product
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -45,71 +48,52 @@ def fingerprints(docs: DataFrame, words: int = 3, seed: int = 42, id_column: str
     return by_row(rows, ["doc_id", "text"], f"doc_id {kind}, fp long", lambda: lambda r: [(r[0], fingerprint(r[1] or "", words, seed))])
 
 
-def fit_tree(sample: np.ndarray, depth: int, seed: int = 7) -> dict[int, tuple[int, int]]:
-    """Inner nodes (heap order, root 1) with vantage point and median distance."""
-    rng, nodes, todo = np.random.default_rng(seed), {}, [(1, sample)]
-    while todo:
-        node, own = todo.pop()
-        if node >= 1 << depth or len(own) < 16:
-            continue
-        d = np.bitwise_count(own ^ (point := own[rng.integers(len(own))])).astype(np.int64)
-        middle = int(np.median(d))
-        if (d <= middle).all():
-            middle -= 1
-        near = d <= middle
-        if not near.any() or near.all():
-            continue
-        nodes[node] = (int(point), middle)
-        todo += [(2 * node, own[near]), (2 * node + 1, own[~near])]
-    return nodes
-
-
-def route(points: np.ndarray, nodes: dict[int, tuple[int, int]], radius: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(leaf, indexes of points that must look there, whether it is their own leaf)."""
-    todo = [(1, np.arange(len(points)), np.ones(len(points), bool))]
-    while todo:
-        node, at, own = todo.pop()
-        if not len(at):
-            continue
-        if node not in nodes:
-            yield node, at, own
-            continue
-        point, middle = nodes[node]
-        d = np.bitwise_count(points[at] ^ np.uint64(point)).astype(np.int64)
-        near, far = d - radius <= middle, d + radius > middle
-        todo += [(2 * node, at[near], own[near] & (d[near] <= middle)), (2 * node + 1, at[far], own[far] & (d[far] > middle))]
-
-
-def close_pairs(points: DataFrame, n: int, radius: int, sample_size: int = 16_384, leaf: int = 2_048, block: int = 16_384) -> DataFrame:
+def steps(levels: int, radius: int) -> list[tuple[int, ...]]:
+    """Differences of the distances to the vantage points that up to ``radius`` differing bits can make."""
+    signs, reached, every = list(product((-1, 1), repeat=levels)), {(0,) * levels}, {(0,) * levels}
+    for _ in range(radius):
+        reached = {tuple(map(sum, zip(r, s))) for r in reached for s in signs}
+        every |= reached
+    return sorted(every)
+
+
+def visits_of(points: np.ndarray, vantage: np.ndarray, offsets: list[tuple[int, ...]]) -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
+    """(leaves, points that look there, whether those are their own leaves), an offset at a time."""
+    far = np.bitwise_count(points[:, None] ^ vantage[None]).astype(np.int64)
+    place = 65 ** np.arange(len(vantage))
+    for o in offsets:
+        at = far + np.array(o)
+        open_ = ((at >= 0) & (at <= 64)).all(axis=1)
+        yield at[open_] @ place, points[open_], not any(o)
+
+
+def close_pairs(points: DataFrame, n: int, radius: int, leaf: int = 8_192, block: int = 2_048, sent: int = 200_000) -> DataFrame:
     """Edges (a, b) that connect the same points as all pairs of distinct ``fp`` within ``radius`` do.
 
-    Each task compares one block of a leaf's points with one block of its visitors and returns a spanning forest
-    of the pairs it finds: no more rows than points. The sample, and so the tree and the table of leaves, has a fixed bound.
+    Levels are added as the points grow (a level has some 16 well-filled branches); vantage points are a handful of the
+    data's own. Each task compares one block of a leaf's points with one block of its visitors and returns a spanning forest of the
+    pairs it finds: no more rows than points.
     """
     spark = ready(points.sparkSession)
-    fit = points.select("fp").orderBy(F.xxhash64("fp"), "fp").limit(sample_size).toPandas().fp.to_numpy(np.int64).view(np.uint64)
-    depth = max(0, int(np.ceil(np.log2(max(n, 1) / leaf))))
-    tree = spark.sparkContext.broadcast(fit_tree(np.sort(fit), depth))
+    levels = max(2, int(np.ceil(np.log(max(n, 1) / leaf) / np.log(16))))
+    chosen = points.select("fp").orderBy(F.xxhash64("fp"), "fp").limit(levels).toPandas().fp.to_numpy(np.int64)
+    vantage, offsets = chosen.view(np.uint64), steps(len(chosen), radius)
 
-    def visit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fp = b.fp.to_numpy(np.int64)
-            for k, at, own in route(fp.view(np.uint64), tree.value, radius):
-                yield pd.DataFrame({"leaf": k, "fp": fp[at], "own": own})
-
-    visits = points.select("fp").mapInPandas(visit, "leaf long, fp long, own boolean")
-    sizes = visits.groupBy("leaf").agg(F.count("*").alias("v"), F.count_if("own").alias("o"))
-    blocks = {r.leaf: (-(-r.o // block), -(-r.v // block)) for r in sizes.where(f"v > {block}").collect()}  # leaves are bounded by the sample
-    cells = visits.withColumns({"h": F.lit(0), "q": F.lit(0)})
-    if blocks:
-        table = spark.createDataFrame([(k, *v) for k, v in blocks.items()], "leaf long, nh int, nq int")
-        spread = visits.join(F.broadcast(table), "leaf", "left").fillna(1, ["nh", "nq"]).fillna(1)
-        mine = lambda n, s: F.pmod(F.xxhash64("fp", F.lit(s)), F.col(n)).cast("int")
-        asks = spread.select("leaf", "fp", F.lit(False).alias("own"), F.explode(F.sequence(F.lit(0), F.col("nh") - 1)).alias("h"), mine("nq", 1).alias("q"))
-        owns = spread.where("own").select("leaf", "fp", "own", mine("nh", 2).alias("h"), F.explode(F.sequence(F.lit(0), F.col("nq") - 1)).alias("q"))
-        cells = asks.union(owns)
-    else:
-        cells = cells.select("leaf", "fp", "own", "h", "q")
+            for leaves, fp, own in visits_of(b.column(0).to_numpy().view(np.uint64), vantage, offsets):
+                yield pa.RecordBatch.from_arrays([pa.array(leaves), pa.array(fp.view(np.int64)), pa.array(np.full(len(fp), own))], names=["leaf", "fp", "own"])
+
+    visits = points.select("fp").mapInArrow(visit, "leaf long, fp long, own boolean")
+    sizes = visits.groupBy("leaf").agg(F.count("*").alias("v"), F.count_if("own").alias("o")).where(f"v > {block} and o > 0")
+    big = cut(sizes.select("leaf", F.ceil(F.col("o") / block).cast("int").alias("nh"), F.ceil(F.col("v") / block).cast("int").alias("nq")))
+    big = F.broadcast(big) if big.count() <= sent else big
+    spread = visits.join(big, "leaf", "left").fillna(1, ["nh", "nq"])
+    mine = lambda n, s: F.pmod(F.xxhash64("fp", F.lit(s)), F.col(n)).cast("int")
+    every = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    asks = F.transform(every("nh"), lambda h: F.struct(F.lit(False).alias("own"), h.alias("h"), mine("nq", 1).alias("q")))
+    owns = F.transform(every("nq"), lambda q: F.struct(F.lit(True).alias("own"), mine("nh", 2).alias("h"), q.alias("q")))
+    cells = spread.select("leaf", "fp", F.explode(F.when(F.col("own"), F.concat(asks, owns)).otherwise(asks)).alias("c")).select("leaf", "fp", "c.*")
 
     def compare(cell: pd.DataFrame) -> pd.DataFrame:
         every = np.unique(cell.fp.to_numpy(np.int64).view(np.uint64))
