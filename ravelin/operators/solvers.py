@@ -74,7 +74,7 @@ def penalty_grid(top: float, n: int = 15) -> np.ndarray:
 
 
 def group_lasso(m: Moments, feature: np.ndarray, lam: float, rounds: int = 2_000, tol: float = 1e-6) -> tuple[float, np.ndarray]:
-    """Accelerated proximal gradient with blocks by feature and a free intercept: (intercept, coefficients)."""
+    """Accelerated proximal gradient, restarted where momentum points uphill, with blocks by feature and a free intercept: (intercept, coefficients)."""
     scale = block_scale(m, feature)[feature]
     a, c = _centred(m)
     a, c = a / np.outer(scale, scale), c / scale
@@ -87,6 +87,8 @@ def group_lasso(m: Moments, feature: np.ndarray, lam: float, rounds: int = 2_000
         new = v * np.where(norm > step * lam, 1 - step * lam / np.where(norm > 0, norm, 1), 0.0)[feature]
         if not np.isfinite(new).all():
             break
+        if (z - new) @ (new - x) > 0:  # the momentum points uphill: start it anew
+            t = 1.0
         t, was = (1 + np.sqrt(1 + 4 * t * t)) / 2, t
         z, done = new + (was - 1) / t * (new - x), np.abs(new - x).max() < tol
         x = new
