@@ -38,14 +38,15 @@ def by_row(df: DataFrame, columns: list[str], schema: str, make: Callable[[], Ca
     return df.select(*columns).mapInArrow(run, schema)
 
 
-_kept: dict = {}
+_kept: dict[str, tuple] = {}
 
 
-def shared(key, make: Callable):
-    """What ``make`` returns, made once in each Python worker and kept from task to task."""
-    if key not in _kept:
-        _kept[key] = make()
-    return _kept[key]
+def shared(kind: str, key, make: Callable):
+    """What ``make`` returns for ``key``, made once in each Python worker and kept from task to task: one of each kind, the last."""
+    if _kept.get(kind, (None,))[0] != key:
+        _kept.pop(kind, None)
+        _kept[kind] = (key, make())
+    return _kept[kind][1]
 
 
 def crc_bucket(column: str, n: int):

@@ -47,7 +47,7 @@ class Ids:
         self.special = "".join({t["content"][0] for t in j["added_tokens"]})
         self.letters = str.maketrans({chr(b): c for b, c in byte_letters().items()})
         self.one = self.tokenizer.model.tokenize
-        self.chunks, self.memo, self.words = re.compile(CHUNK).findall, Memo(800_000, self.chunk), Memo(400_000, self.word)
+        self.chunks, self.memo, self.words = re.compile(CHUNK).findall, Memo(250_000, self.chunk), Memo(120_000, self.word)
 
     def word(self, word: str) -> bytes:
         shown = word.encode().decode("latin-1").translate(self.letters)
@@ -99,7 +99,7 @@ def pack(docs: DataFrame, path: str, window: int = 2048, end_id: int = 1, id_col
     end = end_id.to_bytes(4, "little")
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, part, at = shared(("ids", path), lambda: Ids(held.value)), TaskContext.get().partitionId(), 0
+        ids, part, at = shared("ids", path, lambda: Ids(held.value)), TaskContext.get().partitionId(), 0
         for batch in batches:
             for lo in range(0, batch.num_rows, 500):
                 who, texts = batch.slice(lo, 500).columns

@@ -235,7 +235,7 @@ def _run(docs: DataFrame, path: str, id_column: str, text_column: str, out: str,
     held = docs.sparkSession.sparkContext.broadcast(model(path))
 
     def make():
-        encoder = shared(("encoder", path), lambda: Encoder(held.value))
+        encoder = shared("encoder", path, lambda: Encoder(held.value))
         return lambda row: [(row[0], *shape(*encoder.digest(row[1] or "")))]
 
     kind = docs.schema[id_column].dataType.simpleString()

@@ -120,7 +120,7 @@ def token_counts(docs: DataFrame, path: str, limit: int = 512, id_column: str =
     held = docs.sparkSession.sparkContext.broadcast(model(path))
 
     def make():
-        count = shared(("counter", path), lambda: Counter(held.value))
+        count = shared("counter", path, lambda: Counter(held.value))
         return lambda row: [(row[0], len((row[1] or "").encode()), count(row[1] or ""))]
 
     kind = docs.schema[id_column].dataType.simpleString()
