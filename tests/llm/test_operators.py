@@ -315,12 +315,14 @@ def test_maxent_lm(docs, none):
 
 
 def test_class_probabilities_sum_to_one():
-    from ravelin.llm.maxent_lm import BATCH, Classes, Model, Tokens, laid
+    from ravelin.llm.maxent_lm import BATCH, Classes, Model, Tokens, features
 
     rng = np.random.default_rng(1)
     words = [bytes(rng.choice(list(b"abcdef"), 4).tolist()) for _ in range(200)]
     tokens = Tokens(Classes(words, np.ones(200), 6))
-    number, f, sizes = laid([[words[i] for i in rng.integers(0, 200, 50)] + [b"\n"] for _ in range(20)], tokens)
+    groups = [[words[i] for i in rng.integers(0, 200, 50)] + [b"\n"] for _ in range(20)]
+    number = tokens.of(groups)[2]
+    f, _ = features(number, groups, 6)
     m = Model(6)
     before = m.log10(f, number >> 20).mean()
     for _ in range(20):
