@@ -94,7 +94,7 @@ def _rank_names(names: np.ndarray) -> np.ndarray:
     while True:
         key = rank * (n + 2)
         key[: n - h] += rank[h:] + 1
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         ordered = key[order]
         fresh = np.concatenate([[0], np.cumsum(ordered[1:] != ordered[:-1])])
         rank = np.empty(n, np.int64)
@@ -132,7 +132,7 @@ def suffix_array(t: np.ndarray) -> np.ndarray:
 
 
 def permuted_common_prefixes(t: np.ndarray, sa: np.ndarray, most: int) -> np.ndarray:
-    """By text position: the prefix shared with the suffix before it in the array, up to ``most``."""
+    """By text position: the prefix shared with the suffix before it in the array, up to ``most``. ``sa`` may leave suffixes out."""
     out = np.zeros(len(t), np.int64)
     if len(sa) > 1:
         out[sa[1:]] = common(_words(t), len(t), sa[1:], sa[:-1], np.full(len(sa) - 1, most))

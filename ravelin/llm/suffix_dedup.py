@@ -194,11 +194,9 @@ def marked_in(shard: list[tuple[int, int, bytes]], length: int) -> list[tuple[in
     piece = np.repeat(np.arange(len(shard)), sizes + 1)
     inside = np.arange(len(data)) - first[piece]
     sa = suffix_array(data)
-    plcp = permuted_common_prefixes(data, sa, length)
-    enough = sizes[piece] - inside >= length
+    sa = sa[(sizes[piece] - inside >= length)[sa]]  # suffixes that hold a string of the length, in their order
     rows, starts = np.array([p[0] for p in shard]), np.array([p[1] for p in shard])
-    runs = np.cumsum(plcp[sa] < length)
-    sa, runs = sa[enough[sa]], runs[enough[sa]]
+    runs = np.cumsum(permuted_common_prefixes(data, sa, length)[sa] < length)
     row, start = rows[piece[sa]], starts[piece[sa]] + inside[sa]
     order = np.lexsort((start, row, runs))
     row, start, runs = row[order], start[order], runs[order]
@@ -220,7 +218,7 @@ def joined(row: np.ndarray, start: np.ndarray, end: np.ndarray) -> list[tuple[in
     return list(zip(row[new].tolist(), start[new].tolist(), reach[np.append(new[1:], len(row)) - 1].tolist()))
 
 
-def pieces_of(group: list[tuple[int, int, int, bytes]], length: int, k: int, cuts: int = 4) -> tuple[list, list]:
+def pieces_of(group: list[tuple[int, int, int, bytes]], length: int, k: int, cuts: int = 8) -> tuple[list, list]:
     """Of the surroundings (row, place, start, bytes) of one minimizer: pieces for the suffix array, and spans already decided.
 
     The strings are dealt into a few ranges by the minimizer's place in them. All strings of a range share the bytes between
