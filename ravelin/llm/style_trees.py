@@ -2,8 +2,9 @@
 
 The pages of a host are merged into one tree of nodes named by their path of tags and classes. A node matters if what it
 holds varies over the pages: its presentation (the sequence of its children's tags) or its content. Entropies over the host's pages,
-in shares of the most they could be, give each node's importance; branches of low importance go, as do branches whose tag or class
-names a role that is never the article.
+in shares of the most they could be, give each node's importance; branches of low importance go, inside main elements too, as do
+branches whose tag or class names a role that is never the article. Each distinct page of a host counts once, and importance is drawn
+towards one where few pages hold a node. Being in a main element speaks for a branch; a branch outside stays if it holds enough prose.
 """
 
 from __future__ import annotations
@@ -15,10 +16,10 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ravelin.llm.common import ready
+from ravelin.llm.common import cut, ready
 
 #: Attributes, quoted or not; an unquoted "<" ends an unfinished tag, which keeps broken pages linear.
 INSIDE = r"""(?:[^<>"']|"[^"]*"|'[^']*')*"""
@@ -29,6 +30,9 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 BLOCK = frozenset("address article aside blockquote body br center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead tr ul".split())
 NEVER = frozenset("nav footer aside form head menu button select option dialog noscript template svg canvas audio video object map math input textarea".split())
 MAIN = frozenset(("article", "main"))
+#: Elements that begin a branch of text of their own; and those that are never of low importance as a whole (fixed values).
+BRANCH = frozenset("html body div section article main td th center fieldset".split())
+WHOLE = frozenset(("html", "body"))
 #: Words in a class, id or role that name such a part (fixed values).
 OTHER = frozenset("ad ads adv advert advertisement advertising adbox adslot banner sponsor sponsored promo promotion nav navbar navigation menu menubar breadcrumb breadcrumbs header masthead footer sidebar aside complementary contentinfo widget related recommended share sharing social newsletter subscribe subscription signup cookie cookies consent gdpr notice alert popup modal overlay comment comments respond disqus discussion replies form search login pagination pager toolbar skip".split())
 #: What an opening tag closes if it is open (fixed values).
@@ -47,10 +51,10 @@ def hashed(text: str) -> int:
 class Node:
     """An open element; ``path`` is a hash of its host and of the tags and classes down to it."""
 
-    __slots__ = ("tag", "path", "main", "other", "start", "children")
+    __slots__ = ("tag", "path", "main", "other", "low", "link", "branch", "start", "children")
 
-    def __init__(self, tag: str, path: int, main: bool, other: bool, start: int):
-        self.tag, self.path, self.main, self.other, self.start, self.children = tag, path, main, other, start, []
+    def __init__(self, tag: str, path: int, main: bool, other: bool, low: bool, link: bool, branch: int, start: int):
+        self.tag, self.path, self.main, self.other, self.low, self.link, self.branch, self.start, self.children = tag, path, main, other, low, link, branch, start, []
 
 
 def named_other(attributes: str, main: bool) -> tuple[str, bool]:
@@ -72,20 +76,22 @@ def named_other(attributes: str, main: bool) -> tuple[str, bool]:
 
 
 def walk(page: str, host: str, low: frozenset[int] = frozenset()):
-    """Read a page: its kept blocks inside main elements, its kept blocks outside, and its nodes (name, presentation, content)."""
-    root = Node("", hashed(host), False, False, 0)
-    stack, nodes = [root], []
+    """Read a page: its kept blocks and its nodes (name, presentation, content, whether in a main element)."""
+    root = Node("", hashed(host), False, False, False, False, 0, 0)
+    stack, nodes, branches = [root], [], 0
     sums, open_ = [0], Counter()  # sums: hashes of all texts up to each, so that a node's content has one in no time
-    blocks: dict[bool, list[str]] = {True: [], False: []}
+    blocks: list[tuple[str, int, bool, bool, int]] = []
     now: list[str] = []
-    where = False
+    where, linked = (False, False, 0), 0
 
     def flush() -> None:
+        nonlocal linked
         if now:
             line = " ".join("".join(now).split())
             if line:
-                blocks[where].append(line)
+                blocks.append((line, min(linked, len(line)), *where))
             now.clear()
+        linked = 0
 
     def close() -> None:
         node = stack.pop()
@@ -93,7 +99,8 @@ def walk(page: str, host: str, low: frozenset[int] = frozenset()):
         if node.tag in BLOCK:
             flush()
             content = (sums[-1] - sums[node.start] * pow(BASE, len(sums) - 1 - node.start, PRIME)) % PRIME
-            nodes.append((node.path, hashed(",".join(node.children)), content))
+            if node.tag not in WHOLE:
+                nodes.append((node.path, hashed(",".join(node.children)), content, node.main))
 
     for m in TOKEN.finditer(page):
         slash, tag = m.group(2), m.group(3)
@@ -105,10 +112,11 @@ def walk(page: str, host: str, low: frozenset[int] = frozenset()):
                 if text.strip():
                     sums.append((sums[-1] * BASE + hashed(text.strip())) % PRIME)
                 if not top.other:
-                    if where != top.main:
+                    if where != (top.main, top.low, top.branch):
                         flush()
-                        where = top.main
+                        where = (top.main, top.low, top.branch)
                     now.append(text)
+                    linked += len(text.strip()) if top.link else 0
             continue
         tag = tag.lower()
         if slash:
@@ -140,16 +148,34 @@ def walk(page: str, host: str, low: frozenset[int] = frozenset()):
         path = hashed(f"{parent.path}/{tag}{name}") if tag in BLOCK else parent.path
         main = parent.main or tag in MAIN
         other = parent.other or other and tag not in ("html", "body") or tag in NEVER or tag == "header" and not main
-        if not other and low and tag in BLOCK and not main:
-            other = path in low
         if m.group(4).rstrip().endswith("/") and tag not in BLOCK:
             continue
         open_[tag] += 1
-        stack.append(Node(tag, path, main, other, len(sums) - 1))
+        branches += tag in BRANCH
+        stack.append(Node(tag, path, main, other, parent.low or tag in BLOCK and path in low, parent.link or tag == "a", branches if tag in BRANCH else parent.branch, len(sums) - 1))
     while len(stack) > 1:
         close()
     flush()
-    return blocks[True] or blocks[False], nodes
+    return chosen(blocks), nodes
+
+
+def chosen(blocks: list[tuple[str, int, bool, bool, int]], prose: int = 100) -> list[str]:
+    """Lines of a page's blocks (line, characters in links, in a main element, of low importance, branch).
+
+    A page never goes whole: where all is of low importance, all stays. Where main elements hold text, a branch outside must have as
+    many characters out of links as they do, or ``prose``, and fewer than a third in links.
+    """
+    kept = [b for b in blocks if not b[3]] or blocks
+    inside = sum(len(line) - links for line, links, main, _, _ in kept if main)
+    if not any(b[2] for b in kept):
+        return [b[0] for b in kept]
+    total: Counter = Counter()
+    links_: Counter = Counter()
+    for line, links, main, _, branch in kept:
+        if not main:
+            total[branch] += len(line)
+            links_[branch] += links
+    return [line for line, _, main, _, branch in kept if main or total[branch] - links_[branch] >= min(prose, inside) and 3 * links_[branch] < total[branch]]
 
 
 def _fenced(stack: list[Node], tag: str) -> bool:
@@ -162,55 +188,73 @@ def _fenced(stack: list[Node], tag: str) -> bool:
     return True
 
 
-def host_of(url: str) -> str:
-    m = re.match(r"\s*(?:[a-zA-Z][\w+.\-]*:)?//([^/?#\s]*)", url)
-    return m.group(1).rpartition("@")[2].lower() if m else ""
+def host_of(url: str) -> Column:
+    """The host in a column of urls, in small letters; empty where there is none."""
+    found = F.regexp_extract(F.coalesce(F.col(url), F.lit("")), r"^\s*(?:[a-zA-Z][\w+.\-]*:)?//([^/?#\s]*)", 1)
+    return F.lower(F.regexp_replace(found, "^.*@", ""))
 
 
-def node_counts(pages: DataFrame) -> DataFrame:
-    """name, kind (0 presentation, 1 content), value, n: how often a host's node had a value; added up in each task first."""
+def node_counts(pages: DataFrame, most_sent: int = 500_000) -> DataFrame:
+    """name, main, kind (0 presentation, 1 content, 2 pages), value, n: how often a host's node had a value; added up in each task first.
+
+    Each of a page's copies on its host counts for its share of one page.
+    """
+    keyed = pages.select("host", "html", F.xxhash64("host", F.coalesce("html", F.lit(""))).alias("key"))
+    copies = cut(keyed.groupBy("key").agg(F.count("*").alias("copies")).where("copies > 1"))
+    if copies.count() <= most_sent:
+        copies = F.broadcast(copies)
+    once = keyed.join(copies, "key", "left").select("host", "html", F.coalesce("copies", F.lit(1)).alias("copies"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter = Counter()
 
         def rows() -> pa.RecordBatch:
-            name, kind, value = zip(*seen)
-            out = pa.RecordBatch.from_arrays([pa.array(name, pa.int64()), pa.array(kind, pa.int32()), pa.array(value, pa.int64()), pa.array(seen.values(), pa.int64())], names=["name", "kind", "value", "n"])
+            name, main, kind, value = zip(*seen)
+            out = pa.RecordBatch.from_arrays([pa.array(name, pa.int64()), pa.array(main, pa.bool_()), pa.array(kind, pa.int32()), pa.array(value, pa.int64()), pa.array(seen.values(), pa.float64())], names=["name", "main", "kind", "value", "n"])
             seen.clear()
             return out
 
         for b in batches:
-            for url, page in zip(*(c.to_pylist() for c in b.columns)):
-                for name, style, content in walk(page or "", host_of(url or ""))[1]:
-                    seen[name, 0, style] += 1
-                    seen[name, 1, content] += 1
+            for host, page, copies_ in zip(*(c.to_pylist() for c in b.columns)):
+                nodes, part = walk(page or "", host)[1], 1 / copies_
+                for name, style, content, main in nodes:
+                    seen[name, main, 0, style] += part
+                    seen[name, main, 1, content] += part
+                for name, main in {(n[0], n[3]) for n in nodes}:
+                    seen[name, main, 2, 0] += part
                 if len(seen) > 200_000:
                     yield rows()
         if seen:
             yield rows()
 
-    return pages.select("url", "html").mapInArrow(count, "name long, kind int, value long, n long")
+    return once.mapInArrow(count, "name long, main boolean, kind int, value long, n double")
 
 
-def low_nodes(pages: DataFrame, least: float = 0.2, seen: int = 8) -> DataFrame:
-    """Names of nodes seen ``seen`` times or more whose presentation and content both vary less than ``least`` of what they could."""
-    counts = node_counts(pages).groupBy("name", "kind", "value").agg(F.sum("n").alias("n"))
+def low_nodes(pages: DataFrame, least: float = 0.2, prior: float = 2.0, most_sent: int = 500_000) -> DataFrame:
+    """Names of nodes whose presentation and content both vary less than ``least`` of what they could; three quarters of it in main elements.
+
+    Importance is the mean of what was seen on a host's distinct pages and of ``prior`` pages of importance one.
+    """
+    # Shares of copies add up to whole numbers.
+    counts = node_counts(pages, most_sent).groupBy("name", "main", "kind", "value").agg(F.round(F.sum("n")).alias("n"))
     m, log = F.sum("n"), F.sum(F.col("n") * F.log("n"))
     # Entropy over log m, the entropy of m different values.
-    kinds = counts.groupBy("name", "kind").agg(m.alias("m"), (F.when(m > 1, (F.log(m) - log / m) / F.log(m)).otherwise(1.0)).alias("entropy"))
-    return kinds.groupBy("name").agg(F.max("m").alias("m"), F.max("entropy").alias("importance")).where((F.col("m") >= seen) & (F.col("importance") < least)).select("name")
+    kinds = counts.groupBy("name", "main", "kind").agg(m.alias("m"), (F.when(m > 1, (F.log(m) - log / m) / F.log(m)).otherwise(1.0)).alias("entropy"))
+    varies = kinds.groupBy("name", "main").agg(F.max(F.when(F.col("kind") == 2, F.col("m"))).alias("pages"), F.max(F.when(F.col("kind") < 2, F.col("entropy"))).alias("entropy"))
+    importance = (F.col("pages") * F.col("entropy") + prior) / (F.col("pages") + prior)
+    return varies.where(importance < F.when(F.col("main"), 0.75 * least).otherwise(least)).select("name")
 
 
 def main_text(pages: DataFrame, least: float = 0.2, most_sent: int = 500_000) -> DataFrame:
     """page_id, url, text, n_chars of every row of ``pages`` (page_id, url, html).
 
     Null or empty pages have the empty text; repeated rows give repeated results; null ids and urls stay, and a null url is a
-    host of its own; other columns are left out. Main elements are taken where a page has any text in them, else all that is left of
-    its body. The set of low nodes goes to the tasks if it has ``most_sent`` members at most; beyond that each page is joined with its host's.
+    host of its own; other columns are left out. A page keeps its branches that are not of low importance: those in main elements, and
+    those outside that hold enough prose, or all if no main element has text; if all are low, all stay. The set of low nodes goes to the tasks if it has ``most_sent`` members at most; beyond that each page is joined with its host's.
     """
     spark = ready(pages.sparkSession)
-    rows = pages.select("page_id", "url", "html")
-    low = low_nodes(rows, least)
+    rows = pages.select("page_id", "url", "html", host_of("url").alias("host"))
+    low = cut(low_nodes(rows, least, most_sent=most_sent))
     found = [r[0] for r in low.limit(most_sent + 1).collect()]
     kind = pages.schema["page_id"].dataType.simpleString()
     whole = f"page_id {kind}, url string, text string, n_chars long"
@@ -222,7 +266,7 @@ def main_text(pages: DataFrame, least: float = 0.2, most_sent: int = 500_000) ->
         for b in batches:
             for lo in range(0, b.num_rows, 500):
                 part = b.slice(lo, 500)
-                texts = [" ".join(walk(page or "", host_of(url or ""), held.value)[0]) for url, page in zip(part.column(1).to_pylist(), part.column(2).to_pylist())]
+                texts = [" ".join(walk(page or "", host, held.value)[0]) for page, host in zip(part.column(2).to_pylist(), part.column(3).to_pylist())]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
     return rows.mapInArrow(extract, whole)
@@ -233,19 +277,19 @@ def _joined(rows: DataFrame, low: DataFrame, whole: str) -> DataFrame:
 
     def names(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for key, url, page in zip(*(c.to_pylist() for c in b.columns)):
-                own = list({n for n, _, _ in walk(page or "", host_of(url or ""))[1]})
+            for key, host, page in zip(*(c.to_pylist() for c in b.columns)):
+                own = list({n[0] for n in walk(page or "", host)[1]})
                 if own:
                     yield pa.RecordBatch.from_pydict({"key": [key] * len(own), "name": own})
 
     keyed = rows.withColumn("key", F.xxhash64(F.coalesce("url", F.lit("")), F.coalesce("html", F.lit(""))))
-    own = keyed.select("key", "url", "html").mapInArrow(names, "key long, name long").distinct().join(low, "name")
+    own = keyed.select("key", "host", "html").mapInArrow(names, "key long, name long").distinct().join(low, "name")
     own = own.groupBy("key").agg(F.collect_list("name").alias("low"))
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for i, url, page, low_ in zip(*(c.to_pylist() for c in b.columns)):
-                text = " ".join(walk(page or "", host_of(url or ""), frozenset(low_ or ()))[0])
+            for i, url, page, host, low_ in zip(*(c.to_pylist() for c in b.columns)):
+                text = " ".join(walk(page or "", host, frozenset(low_ or ()))[0])
                 yield pa.RecordBatch.from_arrays([pa.array([i], b.column(0).type), pa.array([url], pa.string()), pa.array([text], pa.string()), pa.array([len(text)], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
-    return keyed.join(own, "key", "left").select("page_id", "url", "html", "low").mapInArrow(extract, whole)
+    return keyed.join(own, "key", "left").select("page_id", "url", "html", "host", "low").mapInArrow(extract, whole)

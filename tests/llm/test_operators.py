@@ -301,6 +301,22 @@ def test_style_trees(spark):
     assert main_text(df).count() == len(rows_) and main_text(df.limit(0)).count() == 0
 
 
+def test_style_trees_inside_and_beside_main_elements(spark):
+    from ravelin.llm.style_trees import main_text
+
+    words = [f"w{k} of page {k} says {k * k} and more" for k in range(40)]
+    inner = "<body><article><h1>Title {0}</h1><p>{0}</p><div class='x'>Same in every article</div></article></body>"
+    teaser = "<body><article><p>Short {0}</p></article><div><p>Whole body of {0}</p><p>goes on here</p></div><div><a href='/'>more from here and there</a></div></body>"
+    rows_ = [(k, f"http://in.example/{k}", inner.format(w)) for k, w in enumerate(words)] + [(100 + k, f"http://teaser.example/{k}", teaser.format(w)) for k, w in enumerate(words)]
+    rows_ += [(200, "http://one.example/", teaser.format(words[0])), (201, "http://two.example/", inner.format(words[0]))]
+    df = spark.createDataFrame(rows_, "page_id long, url string, html string")
+    for sent in (500_000, 0):
+        got = {r.page_id: r.text for r in main_text(df, most_sent=sent).collect()}
+        for k, w in enumerate(words):
+            assert got[k] == f"Title {w} {w}" and got[100 + k] == f"Short {w} Whole body of {w} goes on here"
+        assert got[200] == got[100] and got[201] == f"{got[0]} Same in every article"
+
+
 def test_maxent_lm(docs, none):
     from ravelin.llm.maxent_lm import score
 
