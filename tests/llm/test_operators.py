@@ -317,6 +317,19 @@ def test_style_trees_inside_and_beside_main_elements(spark):
         assert got[200] == got[100] and got[201] == f"{got[0]} Same in every article"
 
 
+def test_style_trees_on_copies(spark):
+    from ravelin.llm.style_trees import main_text
+
+    page = "<html><body><div><p>Text {} here</p></div><div class='box'>Same on all</div></body></html>"
+    rows_ = [(k, "http://c.example/", page.format(0)) for k in range(90)] + [(100 + k, "http://c.example/", page.format(k + 1)) for k in range(10)]
+    rows_ += [(200 + k, None, "<body><div>Only page</div></body>") for k in range(30)] + [(300, "http://d.example/", page.format(0))]
+    df = spark.createDataFrame(rows_, "page_id long, url string, html string").repartition(5)
+    for sent in (500_000, 0):
+        got = {r.page_id: r.text for r in main_text(df, most_sent=sent).collect()}
+        assert all(got[k] == "Text 0 here" for k in range(90)) and all(got[100 + k] == f"Text {k + 1} here" for k in range(10))
+        assert all(got[200 + k] == "Only page" for k in range(30)) and got[300] == "Text 0 here Same on all"
+
+
 def test_maxent_lm(docs, none):
     from ravelin.llm.maxent_lm import score
 
