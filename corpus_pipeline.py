@@ -9,7 +9,7 @@ from ravelin.llm.common import ready, table
 from ravelin.llm.packing import pack
 from ravelin.llm.quality_crf import score_quality
 from ravelin.llm.queries import WORD_BPE, tokenizer
-from ravelin.llm.simhash_trees import near_duplicates
+from ravelin.llm.shingle_bands import near_copies as linked
 from ravelin.llm.suffix_dedup import remove_repeats
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -22,9 +22,12 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of least id of each group of near copies, once; rows without an id stay if one of them leads a group."""
+    """The document of least id of each group of near copies, once; rows without an id stay if one of them leads a group.
+
+    Near copies share 0.8 or more of their five-word shingles.
+    """
     ready(spark)
-    found = near_duplicates(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("id")).distinct()
+    found = linked(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("id")).distinct()
     kept = docs.join(found, docs.doc_id.eqNullSafe(found.id), "left_semi").select(*COLUMNS)
     return kept.where("doc_id is not null").dropDuplicates(["doc_id"]).union(kept.where("doc_id is null").dropDuplicates(["text"]))
 

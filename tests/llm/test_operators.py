@@ -404,3 +404,32 @@ def test_pipeline(spark, tmp_path):
             assert after.columns == docs_.columns and 0 < after.count() <= kept.count()
         kept = after if k < 3 else kept
     assert after.agg({"length": "sum"}).first()[0] == sum(r.doc_tokens for r in after.dropDuplicates(["doc_id"]).collect())
+
+
+def test_pipeline_near_copies(spark):
+    from corpus_pipeline import near_copies
+
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    base, own = [[word() for _ in range(200)] for _ in range(30)], []
+    for k, b in enumerate(base):
+        own.append((k, b))
+        for j in range(4):  # one to four words of 200: five shingles each, similarity 0.81 or more
+            t = list(b)
+            for at in rng.sample(range(10, 190, 10), j + 1):
+                t[at] = word()
+            own.append((1000 + 10 * k + j, t))
+        own.append((2000 + k, [w if i % 12 else word() for i, w in enumerate(b)]))  # far below 0.8
+    hub = [word() for _ in range(300)]
+    own += [(5000 + k, [*hub[:k], word(), *hub[k + 1 :]]) for k in range(300)]  # a large group, any two of it near
+    rows_ = [(i, " ".join(t), "en", "s", 1) for i, t in own] + [(9000, None, "en", "s", 1), (9001, "", "en", "s", 1), (9002, "two words", "en", "s", 1), (9003, "Two  WORDS", "en", "s", 1)]
+    df = spark.createDataFrame(rows_, "doc_id long, text string, lang string, source string, n_chars long").repartition(4)
+    sets = {i: {tuple(t[k : k + 5]) for k in range(len(t) - 4)} for i, t in own}
+    label = {i: i for i in sets}
+    for a, b in itertools.combinations(sorted(sets), 2):
+        same = len(sets[a] & sets[b])
+        if same >= 0.8 * (len(sets[a]) + len(sets[b]) - same) and label[a] != label[b]:
+            label = {i: min(label[a], label[b]) if c in (label[a], label[b]) else c for i, c in label.items()}
+    got = sorted(r.doc_id for r in near_copies(spark, df, "").collect())
+    assert got == sorted({*label.values(), 9000, 9002}) and len(got) < 70
+    assert near_copies(spark, df.limit(0), "").count() == 0
