@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ravelin.llm.common import ready, table
+from ravelin.llm.common import ready, table, written
 from ravelin.llm.packing import pack
 from ravelin.llm.quality_crf import score_quality
 from ravelin.llm.queries import WORD_BPE, tokenizer
@@ -22,14 +22,16 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of least id of each group of near copies, once; rows without an id stay if one of them leads a group.
+    """The document of least id of each group of near copies, once; a group without ids keeps one of its texts.
 
-    Near copies share 0.8 or more of their five-word shingles.
+    Near copies share 0.8 or more of their five-word shingles. Of different texts that share the least id of a group one stays; an id
+    whose texts lead several groups keeps each of them.
     """
     ready(spark)
-    found = linked(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("id")).distinct()
-    kept = docs.join(found, docs.doc_id.eqNullSafe(found.id), "left_semi").select(*COLUMNS)
-    return kept.where("doc_id is not null").dropDuplicates(["doc_id"]).union(kept.where("doc_id is null").dropDuplicates(["text"]))
+    heads = linked(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("root").agg(F.min(F.struct("doc_id", "key")).alias("head"))
+    heads = heads.select(F.col("head.doc_id").alias("id"), F.col("head.key").alias("key"))
+    same = docs.doc_id.eqNullSafe(heads.id) & (F.xxhash64(F.coalesce(docs.text, F.lit(""))) == heads.key)
+    return docs.join(heads, same, "left_semi").select(*COLUMNS).dropDuplicates(["doc_id", "text"])
 
 
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,6 +51,6 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for _, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir))  # as Parquet, so that no later read runs a stage again
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -433,3 +433,22 @@ def test_pipeline_near_copies(spark):
     got = sorted(r.doc_id for r in near_copies(spark, df, "").collect())
     assert got == sorted({*label.values(), 9000, 9002}) and len(got) < 70
     assert near_copies(spark, df.limit(0), "").count() == 0
+
+
+def test_pipeline_keeps_texts_that_share_an_id(spark):
+    import corpus_pipeline
+
+    a, b, c = (" ".join(f"{x}{k}" for k in range(50)) for x in "abc")
+    rows_ = [(1, a, "en", "s", 1), (1, b, "en", "s", 1), (1, b, "en", "s", 1), (2, b + " more", "en", "s", 1), (3, c, "en", "s", 1), (4, c, "en", "s", 1), (4, a, "en", "s", 1)]
+    df = spark.createDataFrame(rows_, "doc_id long, text string, lang string, source string, n_chars long")
+    assert sorted((r.doc_id, r.text) for r in corpus_pipeline.near_copies(spark, df, "").collect()) == [(1, a), (1, b), (3, c)]
+
+
+def test_pipeline_writes_between_stages(spark, monkeypatch):
+    import corpus_pipeline
+
+    seen = []
+    stage = lambda s, docs, _: seen.append(len(docs.inputFiles())) or docs.selectExpr("doc_id + 1 AS doc_id")
+    monkeypatch.setattr(corpus_pipeline, "table", lambda s, *_: s.range(3).withColumnRenamed("id", "doc_id"))
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [(str(k), stage) for k in range(4)])
+    assert sorted(r.doc_id for r in corpus_pipeline.run(spark, "").collect()) == [4, 5, 6] and seen[0] == 0 and all(seen[1:])
