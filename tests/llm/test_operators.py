@@ -258,6 +258,27 @@ def test_projection_forest(spark):
     assert near_duplicates(df.limit(0)).count() == 0
 
 
+def test_projection_forest_at_depth(spark):
+    """Pairs just above the threshold in trees of nine levels and more, a hot label, and levels below the sample's nodes."""
+    from ravelin.llm.projection_forest import near_duplicates
+
+    rng = np.random.default_rng(8)
+    unit = lambda v: v / np.linalg.norm(v, axis=-1, keepdims=True)
+    a = unit(rng.standard_normal((3000, 64)))
+    way = unit(rng.standard_normal((3000, 64)))
+    way = unit(way - (way * a).sum(1)[:, None] * a)
+    c = rng.uniform(0.925, 0.95, (3000, 1))
+    x = np.concatenate([a, c * a + np.sqrt(1 - c * c) * way]).astype(np.float32)
+    label = np.where(np.arange(3000) % 3, 0, np.arange(3000) % 7)
+    df = spark.createDataFrame([(k, v.tolist(), int(l)) for k, (v, l) in enumerate(zip(x, np.tile(label, 2)))], "vec_id long, embedding array<float>, label int")
+    x = unit(x.astype(float))
+    want = {k for k in range(3000) if x[k] @ x[k + 3000] >= 0.93}
+    for more in ({"leaf": 12}, {"leaf": 12, "sample_size": 300}):
+        got = {r.vec_id: (r.n_links, r.component_id) for r in near_duplicates(df, **more).collect()}
+        found = {k for k in range(3000) if got[k + 3000][1] == k}
+        assert len(got) == 6000 and found <= want and len(found) >= 0.98 * len(want) and all((got[k][0] == 1) == (k in found) for k in range(3000))
+
+
 def test_hilbert_search(spark):
     from ravelin.llm.hilbert_search import hilbert_keys, search
 
