@@ -38,15 +38,15 @@ def by_row(df: DataFrame, columns: list[str], schema: str, make: Callable[[], Ca
     return df.select(*columns).mapInArrow(run, schema)
 
 
-_kept: dict[str, tuple] = {}
+_kept: dict[tuple, object] = {}
 
 
 def shared(kind: str, key, make: Callable):
-    """What ``make`` returns for ``key``, made once in each Python worker and kept from task to task: one of each kind, the last."""
-    if _kept.get(kind, (None,))[0] != key:
-        _kept.pop(kind, None)
-        _kept[kind] = (key, make())
-    return _kept[kind][1]
+    """What ``make`` returns for ``kind`` and ``key``, made once in each Python worker and kept from task to task: the last one only."""
+    if (kind, key) not in _kept:
+        _kept.clear()
+        _kept[kind, key] = make()
+    return _kept[kind, key]
 
 
 def crc_bucket(column: str, n: int):

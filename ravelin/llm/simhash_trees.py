@@ -1,27 +1,28 @@
-"""SimHash near-duplicates by a vantage-point tree over Hamming distance.
+"""SimHash near-duplicates by vantage-point trees over Hamming distance.
 
-Equal fingerprints are one point. Each level of the tree has a vantage point and a branch for each distance to it, so a leaf is a
-tuple of distances. A pair within the radius differs by no more than the radius in each of them (the triangle bound), and all its
-differences are odd or even together, as each differing bit changes every distance by one. A point is stored in its own leaf and looks
-into the leaves that these bounds leave open, so every pair within the radius meets.
+Equal fingerprints are one point. A node of a tree has a vantage point, one of its own points, and a branch for each distance to it, so
+a branch has a vantage point of its own again. A pair within the radius differs by no more than the radius in its distances (the
+triangle bound), and all its differences are odd or even together, as each differing bit changes every distance by one. The upper
+levels deal the points into shards; a point is stored in its own and asks in the others that these bounds leave open. Inside a shard
+the tree goes on until blocks are small enough to compare.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from itertools import product
+import math
+from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ravelin.llm.common import by_row, cut, ready
+from ravelin.llm.common import Memo, by_row, cut, ready, shared, written
 from ravelin.llm.components import Forest, components
 
 #: Bits of each byte value, least first.
 BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
+U = np.uint64
 
 
 def fingerprint(text: str, words: int = 3, seed: int = 42) -> int:
@@ -36,9 +37,14 @@ def fingerprint(text: str, words: int = 3, seed: int = 42) -> int:
     starts = np.concatenate([[0], ends[:-1] + 1])
     n = len(parts) - k + 1
     spans = zip(starts[:n].tolist(), ends[k - 1 :].tolist())
-    h = np.fromiter((digest(line[s:e], seed) for s, e in spans), np.uint64, n).astype("<u8").view(np.uint8).reshape(n, 8)
-    ones = np.concatenate([np.bincount(h[:, b], minlength=256) @ BITS for b in range(8)])
-    return int(np.packbits(2 * ones > n, bitorder="little").view("<i8")[0])
+    return int(majority(np.fromiter((digest(line[s:e], seed) for s, e in spans), np.uint64, n)).view(np.int64)[0])
+
+
+def majority(h: np.ndarray) -> np.ndarray:
+    """The bits that are set in over half the hashes, as one number."""
+    b = h.astype("<u8").view(np.uint8).reshape(len(h), 8)
+    ones = np.concatenate([np.bincount(b[:, k], minlength=256) @ BITS for k in range(8)])
+    return np.packbits(2 * ones > len(h), bitorder="little").view("<u8")
 
 
 def fingerprints(docs: DataFrame, words: int = 3, seed: int = 42, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -48,66 +54,88 @@ def fingerprints(docs: DataFrame, words: int = 3, seed: int = 42, id_column: str
     return by_row(rows, ["doc_id", "text"], f"doc_id {kind}, fp long", lambda: lambda r: [(r[0], fingerprint(r[1] or "", words, seed))])
 
 
-def steps(levels: int, radius: int) -> list[tuple[int, ...]]:
-    """Differences of the distances to the vantage points that up to ``radius`` differing bits can make."""
-    signs, reached, every = list(product((-1, 1), repeat=levels)), {(0,) * levels}, {(0,) * levels}
-    for _ in range(radius):
-        reached = {tuple(map(sum, zip(r, s))) for r in reached for s in signs}
-        every |= reached
-    return sorted(every)
+def shards(points: DataFrame, levels: int, radius: int, sent: int = 200_000) -> DataFrame:
+    """The rows of ``points`` (tree, fp, ...) once in each shard that they ask in, with node and own (whether they live there).
 
+    Each level takes the vantage points of all nodes so far, the least hash of each node's own points, and goes one branch
+    down; a row follows its own branch and those that an even or an odd number of differing bits, up to the radius, leave open.
+    """
+    # turn: 0 for the own branch alone, 2 for pairs that differ in an even number of bits, 1 for an odd number
+    turns = sorted({0, *(k % 2 or 2 for k in range(1, radius + 1))}) if levels else [0]
+    at = points.withColumn("turn", F.explode(F.array(*map(F.lit, turns)))).withColumns({"node": F.xxhash64("tree"), "moved": F.col("turn") != 2})
+    names = points.columns
+    ranges = {0: [0], 1: [s * k for k in range(1, radius + 1, 2) for s in (-1, 1)], 2: [0, *(s * k for k in range(2, radius + 1, 2) for s in (-1, 1))]}
+    moves = F.when(F.col("turn") == 0, F.array(F.lit(0)))
+    for k in turns[1:]:
+        moves = moves.when(F.col("turn") == k, F.array(*map(F.lit, ranges[k])))
+    for _ in range(levels):
+        vantage = cut(at.where("turn = 0").groupBy("node").agg(F.min_by("fp", F.xxhash64("fp", "node")).alias("vantage")))
+        met = at.join(F.broadcast(vantage) if vantage.count() <= sent else vantage, "node")  # no node, no points there
+        far = F.bit_count(F.col("fp").bitwiseXOR(F.col("vantage")))
+        at = met.withColumn("move", F.explode(moves)).select(*names, "turn", F.xxhash64("node", far + F.col("move")).alias("node"), (F.col("moved") | (F.col("move") != 0)).alias("moved"))
+    return at.where("moved").select(*names, "node", (F.col("turn") == 0).alias("own"))
 
-def visits_of(points: np.ndarray, vantage: np.ndarray, offsets: list[tuple[int, ...]]) -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
-    """(leaves, points that look there, whether those are their own leaves), an offset at a time."""
-    far = np.bitwise_count(points[:, None] ^ vantage[None]).astype(np.int64)
-    place = 65 ** np.arange(len(vantage))
-    for o in offsets:
-        at = far + np.array(o)
-        open_ = ((at >= 0) & (at <= 64)).all(axis=1)
-        yield at[open_] @ place, points[open_], not any(o)
 
+def pairs_in(fps: np.ndarray, own: np.ndarray, radius: int, found: Callable[[np.ndarray, np.ndarray], None], most: int = 2_000_000) -> None:
+    """Calls ``found`` with arrays (i, j) of all rows j within the radius of rows i of ``own``; a tree in memory until ``most`` pairs are left."""
+    todo = [(own, np.arange(len(fps)))]
+    while todo:
+        a, b = todo.pop()
+        if len(a) * len(b) > most:
+            vantage = fps[a[len(a) // 2]]
+            da, db = np.bitwise_count(fps[a] ^ vantage).astype(np.int64), np.bitwise_count(fps[b] ^ vantage).astype(np.int64)
+            order, order_b = np.argsort(da, kind="stable"), np.argsort(db, kind="stable")
+            da, a, db, b = da[order], a[order], db[order_b], b[order_b]
+            branches = np.unique(da)
+            edges = np.searchsorted(da, branches), np.searchsorted(da, branches, side="right"), np.searchsorted(db, branches - radius), np.searchsorted(db, branches + radius, side="right")
+            work = sum((e - s) * (f - t) for s, e, t, f in zip(*edges))
+            if work <= 0.9 * len(a) * len(b):
+                todo += [(a[s:e], b[t:f]) for s, e, t, f in zip(*edges) if f > t]
+                continue
+        step = max(1, most // max(1, len(b)))
+        for s in range(0, len(a), step):
+            i, j = np.nonzero(np.bitwise_count(fps[a[s : s + step], None] ^ fps[b][None]) <= radius)
+            found(a[s : s + step][i], b[j])
 
-def close_pairs(points: DataFrame, n: int, radius: int, leaf: int = 8_192, block: int = 2_048, sent: int = 200_000) -> DataFrame:
-    """Edges (a, b) that connect the same points as all pairs of distinct ``fp`` within ``radius`` do.
 
-    Levels are added as the points grow (a level has some 16 well-filled branches); vantage points are a handful of the
-    data's own. Each task compares one block of a leaf's points with one block of its visitors and returns a spanning forest of the
-    pairs it finds: no more rows than points.
-    """
-    spark = ready(points.sparkSession)
-    levels = max(2, int(np.ceil(np.log(max(n, 1) / leaf) / np.log(16))))
-    chosen = points.select("fp").orderBy(F.xxhash64("fp"), "fp").limit(levels).toPandas().fp.to_numpy(np.int64)
-    vantage, offsets = chosen.view(np.uint64), steps(len(chosen), radius)
+def levels_for(points: DataFrame, shard: int, least: int) -> int:
+    """Levels after which the largest tree's shards hold some ``shard`` points: a level leaves a node one in eight."""
+    n = points.groupBy("tree").count().agg(F.max("count")).first()[0] or 0
+    return max(least, math.ceil(math.log(max(n, 1) / shard) / math.log(8)))
 
-    def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for leaves, fp, own in visits_of(b.column(0).to_numpy().view(np.uint64), vantage, offsets):
-                yield pa.RecordBatch.from_arrays([pa.array(leaves), pa.array(fp.view(np.int64)), pa.array(np.full(len(fp), own))], names=["leaf", "fp", "own"])
-
-    visits = points.select("fp").mapInArrow(visit, "leaf long, fp long, own boolean")
-    sizes = visits.groupBy("leaf").agg(F.count("*").alias("v"), F.count_if("own").alias("o")).where(f"v > {block} and o > 0")
-    big = cut(sizes.select("leaf", F.ceil(F.col("o") / block).cast("int").alias("nh"), F.ceil(F.col("v") / block).cast("int").alias("nq")))
-    big = F.broadcast(big) if big.count() <= sent else big
-    spread = visits.join(big, "leaf", "left").fillna(1, ["nh", "nq"])
-    mine = lambda n, s: F.pmod(F.xxhash64("fp", F.lit(s)), F.col(n)).cast("int")
+
+def divided(visits: DataFrame, block: int, key: list[str], sent: int = 200_000) -> DataFrame:
+    """The rows of shards in cells (node, h, q): a block of a shard's points with a block of those that ask there. Small shards are one cell."""
+    sizes = visits.groupBy("node").agg(F.count("*").alias("v"), F.count_if("own").alias("o")).where("o > 0 and v > 1")
+    sizes = cut(sizes.select("node", F.ceil(F.col("o") / block).cast("int").alias("nh"), F.ceil(F.col("v") / (4 * block)).cast("int").alias("nq")))
+    spread = visits.join(F.broadcast(sizes) if sizes.count() <= sent else sizes, "node")
+    mine = lambda n, s: F.pmod(F.xxhash64(*key, F.lit(s)), F.col(n)).cast("int")
     every = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
     asks = F.transform(every("nh"), lambda h: F.struct(F.lit(False).alias("own"), h.alias("h"), mine("nq", 1).alias("q")))
     owns = F.transform(every("nq"), lambda q: F.struct(F.lit(True).alias("own"), mine("nh", 2).alias("h"), q.alias("q")))
-    cells = spread.select("leaf", "fp", F.explode(F.when(F.col("own"), F.concat(asks, owns)).otherwise(asks)).alias("c")).select("leaf", "fp", "c.*")
-
-    def compare(cell: pd.DataFrame) -> pd.DataFrame:
-        every = np.unique(cell.fp.to_numpy(np.int64).view(np.uint64))
-        own = np.unique(cell.fp.to_numpy(np.int64)[cell.own.to_numpy(bool)].view(np.uint64))
-        place, forest = np.searchsorted(every, own), Forest(len(every))
-        step = max(1, 4_000_000 // max(1, len(own)))
-        for s in range(0, len(every), step):
-            x, y = np.nonzero(np.bitwise_count(every[s : s + step, None] ^ own[None]) <= radius)
-            x, y = x + s, place[y]
-            forest.join(x[x != y], y[x != y])
+    # What lives in a shard asks there too.
+    return spread.withColumn("c", F.explode(F.when(~F.col("own"), asks).when(F.col("nh") > 1, F.concat(owns, asks)).otherwise(owns))).select(*visits.drop("own").columns, "c.*")
+
+
+def close_pairs(points: DataFrame, radius: int, shard: int = 65_536) -> DataFrame:
+    """Edges (a, b) that connect the same points as all pairs of distinct ``fp`` within ``radius`` do.
+
+    Each task compares one block of a shard's points with one block of those that ask there and returns a spanning forest of the pairs
+    it finds: no more rows than points.
+    """
+    ready(points.sparkSession)
+    trees = points.select(F.lit(0).alias("tree"), "fp")
+    cells = divided(shards(trees, levels_for(trees, shard, 1), radius), shard, ["fp"])
+
+    def compare(cell: pa.Table) -> pa.Table:
+        fp, own = cell["fp"].to_numpy().view(U), cell["own"].to_numpy()
+        every, own = np.unique(fp), np.unique(fp[own])
+        forest = Forest(len(every))
+        pairs_in(every, np.searchsorted(every, own), radius, lambda i, j: forest.join(i[i != j], j[i != j]))
         other = np.flatnonzero(forest.label != np.arange(len(every)))
-        return pd.DataFrame({"a": every[other].view(np.int64), "b": every[forest.label[other]].view(np.int64)})
+        return pa.table({"a": every[other].view(np.int64), "b": every[forest.label[other]].view(np.int64)})
 
-    return cells.groupBy("leaf", "h", "q").applyInPandas(compare, "a long, b long")
+    return cells.select("fp", "node", "own", "h", "q").groupBy("node", "h", "q").applyInArrow(compare, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, radius: int = 2, words: int = 3, seed: int = 42, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -115,14 +143,180 @@ def near_duplicates(docs: DataFrame, radius: int = 2, words: int = 3, seed: int
 
     Fingerprints of at most ``radius`` differing bits are linked, equal ones too. Null and empty texts have fingerprint zero
     and link like any other; repeated rows give repeated results; a null id is carried through and never names a component that
-    holds another id; an empty table gives no rows; other columns are left out.
+    holds another id; texts of any length are read whole; an empty table gives no rows; other columns, whatever their names, are left out.
     """
     prints = cut(fingerprints(docs, words, seed, id_column, text_column))
     points = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("first")))
-    joined = components(close_pairs(points, points.count(), radius))
+    joined = components(close_pairs(points, radius))
     roots = points.join(joined.withColumnRenamed("id", "fp"), "fp", "left").select("fp", "first", F.coalesce("component", "fp").alias("root"))
     roots = cut(roots)
     names = roots.groupBy("root").agg(F.min("first").alias("component_id"))
     named = roots.join(names, "root").select("fp", "component_id")
     hexed = F.lower(F.lpad(F.hex("fp"), 16, "0"))
     return prints.join(named, "fp").select("doc_id", hexed.alias("fingerprint"), "component_id")
+
+
+class Shingles:
+    """Hashed sets of texts' shingles, and majority bits over them."""
+
+    BUCKETS = 4096
+
+    def __init__(self, words: int, bits: int = 0, seed: int = 42):
+        import xxhash
+
+        rng = np.random.default_rng(seed)
+        self.mix = rng.integers(0, 1 << 63, words, dtype=U) << U(1) | U(1)
+        self.hashes = Memo(200_000, lambda w: xxhash.xxh64_intdigest(w, seed))
+        self.signs = rng.integers(0, 2, (self.BUCKETS, bits), dtype=np.int8).astype(np.float32) * 2 - 1
+
+    def set_of(self, text: str) -> np.ndarray:
+        """Sorted hashes of the different shingles."""
+        parts = text.encode().lower().split()  # bytes: A-Z only, and the six ASCII white-space characters
+        self.hashes.room()
+        h = np.fromiter(map(self.hashes.__getitem__, parts), U, len(parts))
+        k = min(len(self.mix), len(h))
+        if not k:
+            return h
+        out = np.full(len(h) - k + 1, k, U)
+        for d in range(k):
+            out = (out + h[d : len(out) + d]) * self.mix[d]
+            out ^= out >> U(29)
+        return np.unique(out)
+
+    def bits_of(self, sets: list[np.ndarray]) -> np.ndarray:
+        """Sets x bits: whether a set's shingles, of random signs and buckets, weigh more on one side; as random hyperplanes would tell."""
+        all_, n = np.concatenate(sets), len(sets)
+        at = np.repeat(np.arange(n), [len(s) for s in sets]) * self.BUCKETS + (all_ >> U(40)).astype(np.int64) % self.BUCKETS
+        v = np.bincount(at, weights=np.where(all_ & U(1), 1.0, -1.0), minlength=n * self.BUCKETS).astype(np.float32)
+        return v.reshape(n, self.BUCKETS) @ self.signs > 0
+
+
+def chances(bits: int, radius: int, differ: float) -> float:
+    """The chance that no more than ``radius`` of ``bits`` bits differ, each by the chance ``differ``."""
+    return sum(math.comb(bits, k) * differ**k * (1 - differ) ** (bits - k) for k in range(radius + 1))
+
+
+def similar_texts(docs: DataFrame, words: int = 5, similarity: float = 0.8, radius: int = 1, missed: float = 0.005, stars: int = 1, shard: int = 400_000) -> DataFrame:
+    """doc_id, key (xxhash64 of the text), root (its group), component_id (smallest doc_id that links reach) of every row of ``docs`` (doc_id, text).
+
+    Texts whose sets of ``words``-word shingles have a Jaccard similarity of ``similarity`` or more are linked; a shorter text is one
+    shingle. Null and empty texts link with each other alone; a null id never names a component that holds another id; repeated
+    rows give repeated results; an empty table gives no rows; other columns are left out.
+
+    One fingerprint cannot tell: of 64 bits some ten differ at 0.8, and within so wide a radius a tree leaves nearly every branch
+    open. So there are many vantage-point trees, each over short fingerprints of its own within a narrow ``radius``: bits grow with the
+    logarithm of the number of texts, and trees are as many as bring a pair just at ``similarity`` together but for a chance of ``missed``.
+    Pairs that a tree finds meet 128 further bits, of which more would differ than are let pass once in 10 million such pairs, then the
+    whole sets. First each point meets one of those found for it, so that large groups join; then all pairs of different groups are verified.
+    """
+    import xxhash
+
+    spark = ready(docs.sparkSession)
+    keyed = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("key"), "text")
+    about = docs.count()
+    bits = min(31, math.ceil(math.log2(max(about, 2))) + 4)
+    differ = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    trees = math.ceil(math.log(missed) / math.log(1 - chances(bits, radius, differ)))
+    most = next(k for k in range(129) if chances(128, k, differ) > 1 - 1e-7)
+    kind = docs.schema["doc_id"].dataType.simpleString()
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingles = shared("shingles", (words, bits, trees), lambda: Shingles(words, 128 + trees * bits))
+        for b in batches:
+            for lo in range(0, b.num_rows, 200):
+                part = b.slice(lo, 200)
+                sets = [shingles.set_of(t or "") for t in part.column(2).to_pylist()]
+                points = [xxhash.xxh3_128_digest(s.tobytes()) for s in sets]
+                on = shingles.bits_of(sets)
+                w = np.packbits(on[:, :128], axis=1).view(np.int64)
+                fps = on[:, 128:].reshape(len(sets), trees, bits) @ (1 << np.arange(bits))
+                fps = pa.ListArray.from_arrays(pa.array(np.arange(0, fps.size + 1, trees), pa.int32()), pa.array(fps.ravel().astype(np.int32)))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(points, pa.binary()), pa.array(list(map(len, sets)), pa.int32()), pa.array(w[:, 0]), pa.array(w[:, 1]), fps], names=["doc_id", "key", "point", "size", "w0", "w1", "fps"])
+
+    prints = written(keyed.mapInArrow(look, f"doc_id {kind}, key long, point binary, size int, w0 long, w1 long, fps array<int>"))
+    # Equal sets are one point, with the text of least id to verify on; numbers for points, as rows are many.
+    points = prints.where("size > 0").groupBy("point").agg(F.min(F.struct("doc_id", "key")).alias("text"), *(F.first(c).alias(c) for c in ("size", "w0", "w1", "fps")))
+    points = written(points.withColumn("id", F.monotonically_increasing_id()))
+    laid = points.select("id", "w0", "w1", "size", F.posexplode("fps").alias("tree", "fp"))
+
+    def candidates(rows: DataFrame, all_pairs: bool) -> DataFrame:
+        """(a, b) of points that a tree brings together and 128 bits do not part: each point's least one by hash, or all of different groups."""
+
+        def compare(cell: pa.Table) -> pa.Table:
+            number, own = cell["id"].to_numpy(), cell["own"].to_numpy()
+            order = np.argsort(~own, kind="stable")
+            _, first = np.unique(number[order], return_index=True)
+            at = order[first]
+            number, own, fp, w0, w1, root, size = (cell[c].to_numpy()[at] for c in ("id", "own", "fp", "w0", "w1", "root", "size"))
+            fp, w0, w1 = fp.view(np.uint32), w0.view(U), w1.view(U)
+            code = (number.astype(U) * U(0x9E3779B97F4A7C15)) >> U(20)
+            got_a, got_b, best = [], [], np.full(len(number), -1)
+            rank = np.argsort(np.argsort(code, kind="stable"))
+            least = np.full(len(number), len(number))
+
+            def found(i: np.ndarray, j: np.ndarray) -> None:
+                near = (root[i] != root[j]) & (np.minimum(size[i], size[j]) >= similarity * np.maximum(size[i], size[j]) - 1e-9)
+                i, j = i[near], j[near]
+                near = np.bitwise_count(w0[i] ^ w0[j]).astype(np.int64) + np.bitwise_count(w1[i] ^ w1[j]) <= most
+                i, j = i[near], j[near]
+                if all_pairs:
+                    low = number[i] < number[j]
+                    got_a.append(number[i[low]])
+                    got_b.append(number[j[low]])
+                    got_a.append(number[j[~low]])
+                    got_b.append(number[i[~low]])
+                else:
+                    np.minimum.at(least, i, rank[j])
+                    np.minimum.at(least, j, rank[i])
+
+            pairs_in(fp, np.flatnonzero(own), radius, found)
+            if not all_pairs:
+                i = np.flatnonzero(least < len(number))
+                j = np.argsort(rank)[least[i]]
+                got_a, got_b = [np.minimum(number[i], number[j])], [np.maximum(number[i], number[j])]
+            ab = np.unique(np.stack([np.concatenate([np.zeros(0, np.int64), *x]) for x in (got_a, got_b)], 1), axis=0)
+            return pa.table({"a": ab[:, 0], "b": ab[:, 1]})
+
+        cells = divided(shards(rows, levels_for(rows, shard, 0), radius), shard, ["id"])
+        return cells.groupBy("tree", "node", "h", "q").applyInArrow(compare, "a long, b long").distinct()
+
+    def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingles = Shingles(words)
+        for b in batches:
+            for lo in range(0, b.num_rows, 500):
+                part = b.slice(lo, 500)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([shingles.set_of(t or "").tobytes() for t in part.column(1).to_pylist()], pa.binary())], names=["id", "shingles"])
+
+    def compare_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            near = np.zeros(b.num_rows, bool)
+            for k, (x, y) in enumerate(zip(b.column(2), b.column(3))):
+                x, y = np.frombuffer(x.as_buffer(), U), np.frombuffer(y.as_buffer(), U)
+                both = np.sort(np.concatenate([x, y]), kind="stable")
+                same = int((both[1:] == both[:-1]).sum())
+                near[k] = same >= similarity * (len(both) - same) - 1e-9
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(near)], names=["a", "b", "near"])
+
+    edges, roots, sets, tried = spark.createDataFrame([], "a long, b long"), None, None, None
+    for turn in range(stars + 1):
+        last = turn == stars
+        rows = laid.withColumn("root", F.col("id")) if roots is None else laid.join(roots, "id", "left").withColumn("root", F.coalesce("component", "id")).drop("component")
+        if tried is not None:  # points that were near none have no more to look for
+            rows = rows.join(tried.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "id", "left_semi")
+        pairs = cut(candidates(rows, last) if tried is None else candidates(rows, last).join(tried, ["a", "b"], "left_anti"))
+        if sets is None:
+            wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(points, "id").select("id", F.col("text.doc_id").alias("doc"), "text.key")
+            text = keyed.join(wanted, keyed.doc_id.eqNullSafe(wanted.doc) & (keyed.key == wanted.key)).groupBy("id").agg(F.min("text").alias("text"))
+            sets = written(text.mapInArrow(sets_of, "id long, shingles binary"))
+        side = lambda c: sets.select(F.col("id").alias(c), F.col("shingles").alias(f"{c}_set"))
+        verified = cut(pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "a_set", "b_set").mapInArrow(compare_sets, "a long, b long, near boolean"))
+        tried = verified.select("a", "b") if tried is None else tried.union(verified.select("a", "b"))
+        found = verified.where("near").select("a", "b")
+        if found.isEmpty():
+            continue
+        edges = edges.union(found)
+        roots = cut(components(edges))
+    named = points.select("point", "id") if roots is None else points.join(roots, "id", "left").select("point", F.coalesce("component", "id").alias("id"))
+    own = prints.join(named, "point", "left").select("doc_id", "key", F.coalesce("id", F.lit(-1)).alias("root"))
+    names = own.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    return own.join(names, "root").select("doc_id", "key", "root", "component_id")
