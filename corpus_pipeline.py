@@ -9,7 +9,7 @@ from ravelin.llm.common import ready, table, written
 from ravelin.llm.packing import pack
 from ravelin.llm.quality_crf import score_quality
 from ravelin.llm.queries import WORD_BPE, tokenizer
-from ravelin.llm.shingle_bands import near_copies as linked
+from ravelin.llm.simhash_trees import similar_texts
 from ravelin.llm.suffix_dedup import remove_repeats
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -28,7 +28,7 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     whose texts lead several groups keeps each of them.
     """
     ready(spark)
-    heads = linked(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("root").agg(F.min(F.struct("doc_id", "key")).alias("head"))
+    heads = similar_texts(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("root").agg(F.min(F.struct("doc_id", "key")).alias("head"))
     heads = heads.select(F.col("head.doc_id").alias("id"), F.col("head.key").alias("key"))
     same = docs.doc_id.eqNullSafe(heads.id) & (F.xxhash64(F.coalesce(docs.text, F.lit(""))) == heads.key)
     return docs.join(heads, same, "left_semi").select(*COLUMNS).dropDuplicates(["doc_id", "text"])

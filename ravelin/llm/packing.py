@@ -174,7 +174,7 @@ class Ids:
 
     def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, each with its end id, end to end; and how many each has."""
-        if len(self.row) > 800_000 or self.used > 8_000_000:
+        if len(self.row) > 400_000 or self.used > 4_000_000:
             self.clear()
         parts = [[*self.parts(t), self.END] for t in texts]
         flat = list(itertools.chain.from_iterable(parts))

@@ -8,6 +8,7 @@ logistic curve fitted on the same training documents turns that share into a pro
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Iterator
 from operator import eq
 
@@ -16,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ravelin.llm.common import crc_bucket, ready
+from ravelin.llm.common import crc_bucket, ready, shared
 
 #: Kinds of bytes: 0 other, 1 lower case, 2 upper case, 3 digit, 4 white space, 5 bar, 6 other ASCII sign, 7 beyond ASCII.
 KIND = np.zeros(256, np.uint8)
@@ -137,17 +138,22 @@ def fit(x: np.ndarray, size: np.ndarray, lines: np.ndarray, label: np.ndarray, s
     return crf
 
 
-def train(docs: DataFrame, labels: DataFrame, folds: int = 5, sample: int = 6_000) -> Crf | float:
-    """A model from at most ``sample`` labelled documents (the ones of least id hash) outside the held-out fold; a constant if they are all alike."""
+def train(docs: DataFrame, labels: DataFrame, folds: int = 5, sample: int = 6_000, lines: int = 2_000) -> Crf | float:
+    """A model from at most ``sample`` labelled documents (the ones of least id hash) outside the held-out fold; a constant if they are all alike.
+
+    Of an id's texts the least counts. A longer document than ``lines`` lines lends evenly spaced ones, with their neighbours'
+    features, so what the driver gathers is bounded too.
+    """
     mine = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1)).where(crc_bucket("doc_id", folds) != 0)
     mine = mine.groupBy("doc_id").agg(F.max("quality").alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     # At most ``sample`` rows of two numbers.
-    rows = docs.select("doc_id", "text").join(F.broadcast(mine), "doc_id").dropDuplicates(["doc_id"])
+    rows = docs.select("doc_id", "text").join(F.broadcast(mine), "doc_id").groupBy("doc_id", "quality").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"))
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i, text, q in zip(*(c.to_pylist() for c in b.columns)):
                 x, size = features(text or "")
+                x, size = x[:: -(-len(x) // lines)], size[:: -(-len(x) // lines)]
                 yield pa.RecordBatch.from_pydict({"doc_id": [str(i)], "quality": pa.array([q], pa.int32()), "x": [x.tobytes()], "size": [size.tobytes()]})
 
     got = rows.select("doc_id", "text", "quality").mapInArrow(look, "doc_id string, quality int, x binary, size binary").toPandas().sort_values("doc_id")
@@ -168,10 +174,10 @@ def score_quality(docs: DataFrame, labels: DataFrame, folds: int = 5, cut_at: fl
     """
     spark = ready(docs.sparkSession)
     held = spark.sparkContext.broadcast(train(docs, labels, folds, sample))
-    kind = docs.schema["doc_id"].dataType.simpleString()
+    kind, made = docs.schema["doc_id"].dataType.simpleString(), uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        crf = held.value
+        crf = shared("crf", made, lambda: held.value)
         for b in batches:
             for lo in range(0, b.num_rows, 500):
                 part = b.slice(lo, 500)

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ravelin.llm.common import cut, ready, written
+from ravelin.llm.common import cut, ready, shared, written
 from ravelin.llm.induced_sorting import permuted_common_prefixes, suffix_array
 
 K = 32
@@ -108,7 +108,7 @@ def anchors(docs: DataFrame, length: int, together: int = 300_000) -> DataFrame:
         return pa.RecordBatch.from_pydict({"hash": h.view(np.int64), "around": around.view(np.int64), "row": row, "at": np.where(later, -1 - at, at).astype(np.int32)})
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        finder, parts, size = Anchors(length), [], 0
+        finder, parts, size = shared("anchors", length, lambda: Anchors(length)), [], 0
         for batch in batches:
             rows = batch.column(0).to_numpy(zero_copy_only=False)
             for lo in range(0, batch.num_rows, 500):

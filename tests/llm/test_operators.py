@@ -140,7 +140,8 @@ def test_simhash(docs, none):
     assert near_duplicates(none).count() == 0
 
 
-def test_close_pairs_in_blocks(spark):
+@pytest.mark.parametrize("shard", [20, 100, 5000])
+def test_close_pairs_in_shards(spark, shard):
     from ravelin.llm.components import components
     from ravelin.llm.simhash_trees import close_pairs
 
@@ -153,7 +154,7 @@ def test_close_pairs_in_blocks(spark):
     points = sorted(points)
     signed = lambda v: v - (1 << 64) if v >> 63 else v
     df = spark.createDataFrame([(signed(p),) for p in points], "fp long")
-    found = {r.id: r.component for r in components(close_pairs(df, len(points), 2, leaf=50, block=20)).collect()}
+    found = {r.id: r.component for r in components(close_pairs(df, 2, shard=shard)).collect()}
     label = {signed(p): signed(p) for p in points}
     a = np.array(points, np.uint64)
     near = np.bitwise_count(a[:, None] ^ a[None]) <= 2
