@@ -1,54 +1,76 @@
 """Language-model scores by a hashed maximum-entropy model with a class-factored softmax.
 
-Words fall into classes by their spelling: centroids of byte-pair vectors, fitted on the commonest words of the training counts. The
-class of the next token is a softmax over hashed n-gram and skip features of the tokens before it; inside a class words share out by
-their counts, which is the softmax with one feature a word at its optimum. Tasks take gradient steps over their own texts, and their
-weights are averaged, each feature by how often a task saw it.
+Words fall into 64 classes by their spelling, eight groups of eight: centroids of byte-pair vectors, fitted on the commonest words of
+the training counts. The commonest words of each class have a slot of their own, the others share one. A token's probability is that of
+its group, of its class in the group, of its slot in the class, and of the word in its slot. The first three are softmaxes over
+hashed n-gram and skip features of the tokens before it; in a slot words share out by their counts, a softmax with one feature a word
+at its optimum.
+
+Texts are put into numbers once. Training then makes rounds over all of them: every task adds up what the model expects of each feature
+under the weights so far, the sums of all tasks add up in a tree, and the weights step along the gradient of the log likelihood, scaled
+as in iterative scaling. Rounds see sums over all texts, so partitions have no say in the weights beyond rounding.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 from itertools import chain, repeat
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ravelin.llm.common import crc_bucket, cut, ready, shared
+from ravelin.llm.common import crc_bucket, ready, shared, written
 
 END = b"\n"  # no word holds it
-ROWS = 1 << 14  # hashed features of each template
-TEMPLATES = 3
+WIDTH = 8  # of each softmax: groups, classes of a group, slots of a class
+CLASSES = WIDTH * WIDTH
+LEVELS, TEMPLATES = 3, 5
+NEAR = 12  # words before whose groups make a feature
 PAIRS = 1 << 10  # hashed byte pairs
-BATCH = 8_192
+BATCH = 65_536
+#: A token in 32 bits: 20 of its spelling's hash, 6 of its class, 3 of its slot.
+SLOT, CLASS = 20, 23
+U = np.uint32
 
 
 def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode().lower().split()  # bytes: A-Z only, and the six ASCII white-space characters
 
 
+def centres_of(x: np.ndarray, weights: np.ndarray, n: int, rng: np.random.Generator) -> np.ndarray:
+    """n weighted means; empty ones, or all where there is nothing to fit, lie far off."""
+    out = np.full((n, x.shape[1]), 1e3, np.float32)
+    if not len(x):
+        return out
+    first = rng.choice(len(x), min(n, len(x)), replace=False, p=weights / weights.sum())
+    out[: len(first)] = x[first]
+    for _ in range(8):
+        k = nearest(x, out)
+        total = np.bincount(k, weights=weights, minlength=n)
+        for c in np.flatnonzero(total):
+            out[c] = weights[k == c] @ x[k == c] / total[c]
+    return out
+
+
+def nearest(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    return (x @ centres.T - (centres**2).sum(1) / 2).argmax(1)
+
+
 class Classes:
     """The class of a word: the centroid nearest to the mean of its byte pairs. The end of text has the last class alone."""
 
-    def __init__(self, words: list[bytes], weights: np.ndarray, n: int, seed: int = 1):
-        self.n = n
-        x = self.vectors(words)
-        rng = np.random.default_rng(seed)
-        self.centres = x[rng.choice(len(x), min(n - 1, len(x)), replace=False, p=weights / weights.sum())] if len(x) else np.zeros((1, PAIRS), np.float32)
-        for _ in range(12 if len(x) else 0):
-            k = self.nearest(x)
-            total = np.bincount(k, weights=weights, minlength=len(self.centres))
-            new = np.stack([np.bincount(k, weights=weights * x[:, d], minlength=len(self.centres)) for d in range(PAIRS)], 1)
-            self.centres = np.where(total[:, None] > 0, new / np.maximum(total, 1e-9)[:, None], self.centres).astype(np.float32)
-        self.table, self.bias = np.ascontiguousarray(self.centres.T), (self.centres**2).sum(1) / 2
-        self.key = hash((n, self.centres.tobytes(), tuple(words[:100]), float(weights.sum())))
-
-    def nearest(self, x: np.ndarray) -> np.ndarray:
-        return (x @ self.centres.T - (self.centres**2).sum(1) / 2).argmax(1)
+    def __init__(self, words: list[bytes], weights: np.ndarray, seed: int = 1):
+        x, rng = self.vectors(words), np.random.default_rng(seed)
+        group = nearest(x, centres_of(x, weights, WIDTH, rng)) if len(x) else np.zeros(0, int)
+        parts = [centres_of(x[group == g], weights[group == g], WIDTH - (g == WIDTH - 1), rng) for g in range(WIDTH)]
+        self.table = np.ascontiguousarray(np.concatenate(parts).T)
+        self.bias = (self.table.astype(float) ** 2).sum(0).astype(np.float32) / 2
 
     @staticmethod
     def pairs(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -62,12 +84,12 @@ class Classes:
         return code[inside[:-1]], first - np.arange(len(words)), sizes - 1
 
     def vectors(self, words: list[bytes]) -> np.ndarray:
-        if not words:
-            return np.zeros((0, PAIRS), np.float32)
-        code, first, size = self.pairs(words)
         x = np.zeros((len(words), PAIRS), np.float32)
-        np.add.at(x, (np.repeat(np.arange(len(words)), size), code), 1)
-        return x / np.sqrt(size)[:, None]
+        if words:
+            code, _, size = self.pairs(words)
+            np.add.at(x, (np.repeat(np.arange(len(words)), size), code), 1)
+            x /= np.sqrt(size)[:, None]
+        return x
 
     def of(self, words: list[bytes], most: int = 100_000) -> np.ndarray:
         """Classes of words, about ``most`` bytes at a time."""
@@ -77,103 +99,131 @@ class Classes:
             if size > most or i == len(words) - 1:
                 code, first, n = self.pairs(words[start : i + 1])
                 if len(code) > 4 * most:  # a giant word in it
-                    x = np.stack([np.bincount(code[f : f + k], minlength=PAIRS) for f, k in zip(first, n)])
-                    sums = x @ self.table
+                    sums = np.stack([np.bincount(code[f : f + k], minlength=PAIRS) for f, k in zip(first, n)]) @ self.table
                 else:
                     sums = np.add.reduceat(self.table[code], first)
                 out[start : i + 1] = (sums / np.sqrt(n)[:, None] - self.bias).argmax(1)
                 start, size = i + 1, 0
+        out[[k for k, w in enumerate(words) if w == END]] = CLASSES - 1
         return out
 
 
 class Tokens:
-    """Class and hash of each token of many texts, laid end to end; each distinct word is looked at once."""
+    """Numbers of the tokens of many texts, laid end to end; each distinct word is looked at once."""
 
-    def __init__(self, classes: Classes, common: dict[bytes, float] | None = None):
-        self.classes, self.common = classes, common or {}
+    def __init__(self, classes: Classes, common: dict[bytes, float], slots: dict[bytes, int]):
+        self.classes, self.common, self.slots = classes, common, slots
         self.clear()
 
     def clear(self) -> None:
-        # By word a row of two columns: class and a hash of the spelling in one number; the log of the count, NaN if it is not sent.
-        self.row: dict[bytes, int] = {END: 1}
-        self.numbers = np.array([0, (self.classes.n - 1) << 20 | 1], np.uint32)
-        self.logs = np.array([0.0, self.common.get(END, np.nan)])
+        # Row 0 is no word. The log of a count is NaN if the count is not sent.
+        self.row: dict[bytes, int] = {}
+        self.words: list[bytes] = [b""]
+        self.numbers, self.logs = np.zeros(1, U), np.zeros(1)
 
-    def of(self, texts: list[list[bytes]]) -> tuple[np.ndarray, list[bytes], np.ndarray]:
-        """Rows of all tokens, the tokens, and their numbers."""
+    def of(self, texts: list[list[bytes]]) -> np.ndarray:
+        """The row of each token."""
         import xxhash
 
-        if len(self.row) > 600_000:
+        if len(self.row) > 400_000:
             self.clear()
         flat = list(chain.from_iterable(texts))
-        rows = np.fromiter(map(self.row.get, flat, repeat(0)), np.uint32, len(flat))
+        rows = np.fromiter(map(self.row.get, flat, repeat(0)), U, len(flat))
         missing = np.flatnonzero(rows == 0)
         if len(missing):
-            new = list(dict.fromkeys([flat[i] for i in missing.tolist()]))
-            first = len(self.numbers)
-            self.row.update(zip(new, range(first, first + len(new))))
-            hashes = np.fromiter((xxhash.xxh32_intdigest(w) & 0xFFFFF for w in new), np.uint32, len(new))
-            self.numbers = np.append(self.numbers, (self.classes.of(new) << 20).astype(np.uint32) | hashes)
+            found = list(map(flat.__getitem__, missing.tolist()))
+            new = list(dict.fromkeys(found))
+            self.row.update(zip(new, range(len(self.words), len(self.words) + len(new))))
+            self.words += new
+            hashes = np.fromiter((xxhash.xxh32_intdigest(w) & 0xFFFFF for w in new), U, len(new))
+            slots = np.fromiter(map(self.slots.get, new, repeat(WIDTH - 1)), U, len(new))
+            self.numbers = np.append(self.numbers, hashes | slots << U(SLOT) | self.classes.of(new).astype(U) << U(CLASS))
             self.logs = np.append(self.logs, np.fromiter(map(self.common.get, new, repeat(np.nan)), float, len(new)))
-            rows[missing] = np.fromiter((self.row[flat[i]] for i in missing.tolist()), np.uint32, len(missing))
-        return rows, flat, self.numbers[rows]
+            rows[missing] = np.fromiter(map(self.row.__getitem__, found), U, len(found))
+        return rows
 
 
-def contexts(number: np.ndarray, place: np.ndarray, n: int) -> np.ndarray:
-    """Hashed features (tokens x templates) of what comes before each token: the word before, three classes, and the word before that, skipping one."""
+def contexts(number: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """Hashes (templates x tokens) of what comes before each token: the word before, the two before, the classes of three, the word before
+    the last, skipping one, and the groups that are commonest among the last twelve."""
     back = []
     for d in (1, 2, 3):
-        b = np.full(len(number), n << 20, np.uint32)
-        b[d:] = np.where(place[d:] >= d, number[:-d] if d < len(number) else number[:0], n << 20)
+        b = np.full(len(number), U(CLASSES << CLASS), U)  # before the text
+        b[d:] = np.where(place[d:] >= d, number[:-d] if d < len(number) else number[:0], U(CLASSES << CLASS))
         back.append(b)
-    a, b, c = (x >> np.uint32(20) for x in back)
-    u = np.uint32
-    keys = (back[0], (a * u(131) + b) * u(131) + c, back[1])
-    bits = u(33 - ROWS.bit_length())
-    return np.stack([((k * u(0x9E3779B1) + u(t * 0x85EBCA6B & 0xFFFFFFFF)) * u(0xC2B2AE35) >> bits).astype(np.uint16) for t, k in enumerate(keys)])
+    a, b, c = (x >> U(CLASS) for x in back)
+    # Of the words just before, in one number: the two groups that hold most of them.
+    sums = np.zeros((len(number) + 1, WIDTH), np.int32)
+    np.cumsum((number >> U(CLASS + 3))[:, None] == np.arange(WIDTH, dtype=U), axis=0, out=sums[1:])
+    at = np.arange(len(number))
+    near = sums[at] - sums[at - np.minimum(place, NEAR)]
+    first = near.argmax(1)
+    near[at, first] = -1
+    second = near.argmax(1)
+    both = np.where(near[at, second] > 0, second, WIDTH).astype(U) + U(WIDTH + 1) * np.where(place > 0, first, WIDTH).astype(U)
+    keys = (back[0], back[0] * U(0x85EBCA6B) ^ back[1], (a * U(131) + b) * U(131) + c, back[1], both)
+    out = np.stack([(k + U(0x9E3779B1 * (t + 1) & 0xFFFFFFFF)) * U(0xC2B2AE35) for t, k in enumerate(keys)])
+    return out ^ out >> U(15)
 
 
 class Model:
-    def __init__(self, n: int, weights: np.ndarray | None = None):
-        self.n = n
-        self.w = np.zeros((TEMPLATES * ROWS + 1, n), np.float32) if weights is None else weights
-
-    def probabilities(self, f: np.ndarray) -> np.ndarray:
-        """Of each class, for features given by template."""
-        s = self.w[-1] + self.w[f[0]]
-        for t in range(1, TEMPLATES):
-            s += self.w[t * ROWS : (t + 1) * ROWS][f[t]]
-        s -= s.max(1)[:, None]
+    """Weights (levels x templates x rows x 8) and the unigram logits of each level's parent (1, 8 or 64 of them)."""
+
+    def __init__(self, rows: int, priors: list[np.ndarray]):
+        self.rows, self.priors = rows, [p.astype(np.float32) for p in priors]
+        self.w = np.zeros((LEVELS * TEMPLATES * rows, WIDTH), np.float32)
+
+    def levels(self, context: np.ndarray, number: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+        """Of each level: its number, target and parent of each token, and the rows of its features (templates x tokens)."""
+        shift = U(33 - self.rows.bit_length())
+        k, slot = number >> U(CLASS), number >> U(SLOT) & U(WIDTH - 1)
+        for level, (target, parent) in enumerate(((k // WIDTH, np.zeros_like(k)), (k % WIDTH, k // WIDTH), (slot, k))):
+            at = ((context ^ parent * U(0x9E3779B1) + U(level)) * U(0x85EBCA6B)) >> shift
+            yield level, target, parent, at
+
+    def probabilities(self, level: int, parent: np.ndarray, at: np.ndarray) -> np.ndarray:
+        s = self.priors[level][parent]
+        for t in range(TEMPLATES):
+            first = (level * TEMPLATES + t) * self.rows
+            s += self.w[first : first + self.rows][at[t]]
         np.exp(s, out=s)
-        s /= s.sum(1)[:, None]
+        s /= (s @ np.ones(WIDTH, np.float32))[:, None]
         return s
 
-    def log10(self, f: np.ndarray, k: np.ndarray) -> np.ndarray:
-        """Log probability of each token's class."""
-        out = np.empty(len(k))
-        for s in range(0, len(k), BATCH):
-            own = k[s : s + BATCH]
-            out[s : s + BATCH] = np.log10(np.maximum(self.probabilities(f[:, s : s + BATCH])[np.arange(len(own)), own], 1e-30))
+    def log10(self, context: np.ndarray, number: np.ndarray) -> np.ndarray:
+        """Log probability of each token's group, class and slot together."""
+        out = np.zeros(len(number))
+        for s in range(0, len(number), BATCH):
+            own = slice(s, s + BATCH)
+            for level, target, parent, at in self.levels(context[:, own], number[own]):
+                p = self.probabilities(level, parent, at)
+                out[own] += np.log10(np.maximum(p[np.arange(len(p)), target], 1e-30))
         return out
 
-    def learn(self, f: np.ndarray, k: np.ndarray, squares: np.ndarray, seen: np.ndarray, rate: float = 0.35) -> None:
-        """One step of AdaGrad for each batch; ``squares`` and ``seen`` go on from batch to batch."""
-        for s in range(0, len(k), BATCH):
-            g = self.probabilities(f[:, s : s + BATCH])
-            g[np.arange(len(g)), k[s : s + BATCH]] -= 1
-            for t in range(TEMPLATES):
-                at = f[t, s : s + BATCH]
-                order = np.argsort(at, kind="stable")
-                at = at[order]
-                first = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
-                count = np.diff(np.append(first, len(at)))
-                self.step(at[first].astype(np.int64) + t * ROWS, np.add.reduceat(g[order], first), count, squares, seen, rate)
-            self.step(np.array([len(self.w) - 1]), g.sum(0)[None], np.array([len(g)]), squares, seen, rate)
-
-    def step(self, rows, total, count, squares, seen, rate) -> None:
-        squares[rows] += (total * total).mean(1)
-        seen[rows] += count
-        self.w[rows] -= rate * total / np.sqrt(squares[rows] + 1.0)[:, None]
+    def zeros(self) -> np.ndarray:
+        return np.zeros((LEVELS * TEMPLATES, WIDTH, self.rows))
+
+    def flat(self, sums: np.ndarray) -> np.ndarray:
+        """Sums in the shape of the weights."""
+        return sums.transpose(0, 2, 1).reshape(-1, WIDTH)
+
+    def gather(self, context: np.ndarray, number: np.ndarray, seen: np.ndarray | None, expected: np.ndarray) -> None:
+        """Add to each feature's row how often it saw each target, and how often the model expects it; both made by zeros()."""
+        for s in range(0, len(number), BATCH):
+            own = slice(s, s + BATCH)
+            for level, target, parent, at in self.levels(context[:, own], number[own]):
+                p = np.ascontiguousarray(self.probabilities(level, parent, at).T, dtype=float)
+                for t in range(TEMPLATES):
+                    k, row = level * TEMPLATES + t, at[t].astype(np.int64)
+                    for c in range(WIDTH):
+                        expected[k, c] += np.bincount(row, weights=p[c], minlength=self.rows)
+                    if seen is not None:
+                        seen[k] += np.bincount(target * self.rows + row, minlength=WIDTH * self.rows).reshape(WIDTH, -1)
+
+    def step(self, seen: np.ndarray, expected: np.ndarray, rate: float, prior: float = 60.0) -> None:
+        """Along log(seen / expected), each softened by ``prior`` events shared out as expected."""
+        share = expected / np.maximum(expected.sum(1, keepdims=True), 1e-9)
+        self.w += np.clip(rate * np.log((seen + prior * share + 1e-9) / (expected + prior * share + 1e-9)), -4, 4).astype(np.float32)
 
 
 def text_groups(batches: Iterator[pa.RecordBatch], most: int = 60_000) -> Iterator[tuple[pa.RecordBatch, list[list[bytes]]]]:
@@ -188,11 +238,19 @@ def text_groups(batches: Iterator[pa.RecordBatch], most: int = 60_000) -> Iterat
                 start, group, size = i + 1, [], 0
 
 
-def features(number: np.ndarray, groups: list[list[bytes]], n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Features of all tokens, and the texts' sizes."""
-    sizes = np.fromiter(map(len, groups), np.int64, len(groups))
-    place = np.arange(len(number)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    return contexts(number, place, n), sizes
+def number_groups(batches: Iterator[pa.RecordBatch], most: int = 65_536) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray]]:
+    """Rows with their texts' numbers, contexts and sizes, about ``most`` tokens at a time; the numbers are the last column."""
+    for b in batches:
+        last = b.column(b.num_columns - 1)
+        if not b.num_rows:
+            continue
+        size = pa.compute.binary_length(last).to_numpy(zero_copy_only=False).astype(np.int64) // 4
+        part = np.concatenate([[0], np.flatnonzero(np.diff((np.cumsum(size) - 1) // most)) + 1, [b.num_rows]])
+        for s, e in zip(part, part[1:]):
+            own = size[s:e]
+            number = np.frombuffer(b"".join(last.slice(s, e - s).to_pylist()), "<u4")
+            place = np.arange(len(number)) - np.repeat(np.cumsum(own) - own, own)
+            yield b.slice(s, e - s), number, contexts(number, place), own
 
 
 def counts(docs: DataFrame) -> DataFrame:
@@ -210,7 +268,7 @@ def counts(docs: DataFrame) -> DataFrame:
             for text in b.column(0).to_pylist():
                 seen.update(words_of(text))
                 seen[END] += 1
-                if len(seen) > 300_000:
+                if len(seen) > 500_000:
                     yield rows()
         if seen:
             yield rows()
@@ -218,59 +276,75 @@ def counts(docs: DataFrame) -> DataFrame:
     return docs.where("not held_out").select("text").mapInArrow(count, "word string, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
-def train(docs: DataFrame, classes: Classes, tokens: int, per_task: int = 2_000_000) -> np.ndarray:
-    """Weights after one pass of gradient steps over all training texts; about ``per_task`` tokens to a task, averaged."""
-    held = docs.sparkSession.sparkContext.broadcast(classes)
-    block = 1 << 10
-
-    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pd.DataFrame]:
-        model, tokens_ = Model(held.value.n), shared("tokens", ("train", held.value.key), lambda: Tokens(held.value))
-        squares, seen = np.zeros(len(model.w), np.float32), np.zeros(len(model.w), np.float32)
-        any_ = False
-        for _, groups in text_groups(batches):
-            number = tokens_.of(groups)[2]
-            f, _ = features(number, groups, model.n)
-            model.learn(f, number >> 20, squares, seen)
-            any_ = True
-        if any_:
-            for b in range(0, len(seen), block):
-                at = np.flatnonzero(seen[b : b + block]) + b
+def rows_for(tokens: int, least: int = 12, most: int = 16) -> int:
+    """Hashed rows of a template and level: a power of two that grows with the training tokens, 65,536 at most (25 MB of weights in all)."""
+    return 1 << min(most, max(least, max(tokens, 1).bit_length() - 12))
+
+
+def train(numbers: DataFrame, priors: list[np.ndarray], tokens: int, rates: tuple[float, ...]) -> Model:
+    """The model after a round over all training texts for each rate.
+
+    A task sees some 256 tokens for each row of a template, so what tasks send stays a share of their input; the sums of all
+    tasks add up in two steps, so that no group gathers more than the root of their number.
+    """
+    spark = numbers.sparkSession
+    model = Model(rows_for(tokens), priors)
+    tasks = max(8, -(-tokens // (256 * model.rows)))
+    texts, merged = numbers.coalesce(tasks), max(1, round(tasks**0.5))
+    block, schema = 1 << 12, "salt int, block int, at binary, v binary"
+    seen = None
+    for rate in rates:
+        held, first = spark.sparkContext.broadcast(model), seen is None
+
+        def look(batches: Iterator[pa.RecordBatch], held=held, first=first) -> Iterator[pa.RecordBatch]:
+            m = held.value
+            expected, seen_ = m.zeros(), m.zeros() if first else None
+            for _, number, context, _ in number_groups(batches):
+                m.gather(context, number, seen_, expected)
+            salt = TaskContext.get().partitionId() % merged
+            expected = m.flat(expected)
+            both = np.hstack([expected, m.flat(seen_)]) if first else expected
+            for b in range(0, len(both), block):
+                at = np.flatnonzero(expected[b : b + block, 0])
                 if len(at):
-                    yield pa.RecordBatch.from_arrays([pa.array([b // block], pa.int32()), pa.array([at.astype("<i4").tobytes()]), pa.array([seen[at].tobytes()]), pa.array([model.w[at].tobytes()])], names=["block", "at", "seen", "w"])
-
-    def mean(block_: pd.DataFrame) -> pd.DataFrame:
-        low, n = int(block_.block.iloc[0]) * block, held.value.n
-        total, weight = np.zeros((block, n)), np.zeros(block)
-        for at, seen, w in zip(block_["at"], block_.seen, block_.w):
-            at, seen = np.frombuffer(at, "<i4") - low, np.frombuffer(seen, np.float32).astype(float)
-            total[at] += np.frombuffer(w, np.float32).reshape(len(at), n) * seen[:, None]
-            weight[at] += seen
-        at = np.flatnonzero(weight)
-        return pd.DataFrame({"block": [block_.block.iloc[0]], "at": [(at + low).astype("<i4").tobytes()], "w": [(total[at] / weight[at, None]).astype(np.float32).tobytes()]})
-
-    texts = docs.where("not held_out").select("text").coalesce(max(6, -(-tokens // per_task)))
-    parts = texts.mapInArrow(learn, "block int, at binary, seen binary, w binary")
-    weights = Model(classes.n).w
-    # The model has a fixed size, whatever the corpus.
-    for r in parts.groupBy("block").applyInPandas(mean, "block int, at binary, w binary").collect():
-        at = np.frombuffer(r["at"], "<i4")
-        weights[at] = np.frombuffer(r.w, np.float32).reshape(len(at), classes.n)
-    return weights
-
-
-def score(docs: DataFrame, folds: int = 7, fold: int = 2, classes: int = 24, head: int = 262_144, fitted_words: int = 20_000) -> DataFrame:
+                    yield pa.RecordBatch.from_arrays([pa.array([salt], pa.int32()), pa.array([b // block], pa.int32()), pa.array([at.astype("<i2").tobytes()]), pa.array([both[b + at].astype("<f4").tobytes()])], names=["salt", "block", "at", "v"])
+
+        def add(part: pa.Table) -> pa.Table:
+            total = None
+            for at, v in zip(part["at"], part["v"]):
+                at, v = np.frombuffer(at.as_py(), "<i2"), np.frombuffer(v.as_py(), "<f4").reshape(-1, WIDTH * (1 + first))
+                total = np.zeros((block, v.shape[1])) if total is None else total
+                total[at] += v
+            at = np.flatnonzero(total[:, 0])
+            return pa.table({"salt": pa.array([0], pa.int32()), "block": part["block"].slice(0, 1), "at": [at.astype("<i2").tobytes()], "v": [total[at].astype("<f4").tobytes()]})
+
+        sums = texts.mapInArrow(look, schema).groupBy("salt", "block").applyInArrow(lambda t: add(t), schema).groupBy("block").applyInArrow(lambda t: add(t), schema)
+        expected = np.zeros(model.w.shape)
+        seen = np.zeros(model.w.shape) if first else seen
+        for r in sums.collect():  # of the model's size, whatever the corpus
+            at = r.block * block + np.frombuffer(r["at"], "<i2").astype(np.int64)
+            v = np.frombuffer(r.v, "<f4").reshape(len(at), -1)
+            expected[at] = v[:, :WIDTH]
+            if first:
+                seen[at] = v[:, WIDTH:]
+        model.step(seen, expected, rate)
+    return model
+
+
+def score(docs: DataFrame, folds: int = 7, fold: int = 2, head: int = 262_144, fitted_words: int = 20_000, rates: tuple[float, ...] = (0.5, 0.5)) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row of ``docs`` (doc_id, text).
 
     Tokens are lower-cased words and one end. Training texts are those whose crc32 of the id in decimal is not ``fold`` modulo
-    ``folds``; null ids train. Null and empty texts are one end. Rows equal in id and text score alike; other columns are left out. If
-    nothing trains, counts are zero and the class probabilities are even.
+    ``folds``; null ids train. Null and empty texts are one end; texts and words of any length are read whole. Rows equal in id and text
+    train each and score alike; other columns, whatever their names, are left out; an empty table gives no rows. If nothing trains, counts are
+    zero and the probabilities of groups, classes and slots are even.
 
-    Only tables of a fixed size go to the tasks: the weights, the centroids, and the counts of the ``head`` commonest words. Rarer
-    words meet their counts in a join.
+    Spelling classes are fitted on the ``fitted_words`` commonest words; every word has one. Only tables of a bounded size go to the
+    tasks: the weights, the centroids, and the counts of the ``head`` commonest words. Rarer words meet their counts in a join.
     """
     spark = ready(docs.sparkSession)
     rows = docs.select("doc_id", F.coalesce(crc_bucket("doc_id", folds) == fold, F.lit(False)).alias("held_out"), "text")
-    table = cut(counts(rows))
+    table = written(counts(rows))
     n, v = (x or 0 for x in table.agg(F.sum("c"), F.count("*")).first())
     # The least count of which there are no more than ``head`` words, from the few different counts that there are.
     sizes_ = table.groupBy("c").agg(F.count("*").alias("w")).orderBy(F.desc("c")).limit(head).toPandas()
@@ -278,55 +352,66 @@ def score(docs: DataFrame, folds: int = 7, fold: int = 2, classes: int = 24, hea
     top = table.where(F.col("c") >= (int(least) if least == least else 1 << 62)).toPandas().sort_values(["c", "word"], ascending=[False, True], ignore_index=True)
     top["word"] = [w.encode() for w in top.word]
     fit = top[top.word != END].head(fitted_words)
-    spell = Classes(fit.word.tolist(), np.log1p(fit.c.to_numpy(float)), classes)
-    weights = train(rows, spell, n) if n else Model(classes).w
-    held = spark.sparkContext.broadcast((spell, weights, dict(zip(top.word, np.log10(top.c.to_numpy(float) + 1).tolist()))))
+    spell = Classes(fit.word.tolist(), np.log1p(fit.c.to_numpy(float)))
+    # The commonest words of each class have slots of their own.
+    slots: dict[bytes, int] = {}
+    taken: Counter = Counter()
+    for word, k in zip([END, *fit.word], spell.of([END, *fit.word]).tolist()):
+        if taken[k] < WIDTH - 1:
+            slots[word] = taken[k]
+            taken[k] += 1
+    words = spark.sparkContext.broadcast((spell, dict(zip(top.word, np.log10(top.c.to_numpy(float) + 1).tolist())), slots))
 
     def sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        spell_ = held.value[0]
-        total, kinds = np.zeros(spell_.n), np.zeros(spell_.n)
+        spell_, _, slots_ = words.value
+        total = np.zeros((2, CLASSES * WIDTH))
         for b in batches:
-            words, c = b.column(0).cast(pa.binary()).to_pylist(), b.column(1).to_numpy()
-            k = np.where([w == END for w in words], spell_.n - 1, spell_.of(words)) if words else np.zeros(0, int)
-            total += np.bincount(k, weights=c, minlength=spell_.n)
-            kinds += np.bincount(k, minlength=spell_.n)
-        yield pa.RecordBatch.from_pydict({"k": list(range(spell_.n)), "c": total.astype(int), "v": kinds.astype(int)})
+            own, c = b.column(0).cast(pa.binary()).to_pylist(), b.column(1).to_numpy()
+            k = spell_.of(own) * WIDTH + np.fromiter(map(slots_.get, own, repeat(WIDTH - 1)), np.int64, len(own)) if own else np.zeros(0, np.int64)
+            total += np.stack([np.bincount(k, weights=c, minlength=CLASSES * WIDTH), np.bincount(k, minlength=CLASSES * WIDTH)])
+        yield pa.RecordBatch.from_pydict({"k": list(range(CLASSES * WIDTH)), "c": total[0].astype(int), "v": total[1].astype(int)})
 
-    mass = np.ones(classes)
+    seen = np.zeros((2, CLASSES * WIDTH))
     for r in table.mapInArrow(sizes, "k long, c long, v long").groupBy("k").agg(F.sum("c").alias("c"), F.sum("v").alias("v")).collect():
-        mass[r.k] = r.c + r.v + 1
-    log_mass = np.log10(mass)
-
-    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        spell_, w, common = held.value
-        tokens, model = shared("tokens", ("score", spell_.key), lambda: Tokens(spell_, common)), Model(spell_.n, w)
+        seen[:, r.k] = r.c, r.v
+    # One unknown word for each class: in the slot that words share.
+    mass = seen.sum(0) + (np.arange(CLASSES * WIDTH) % WIDTH == WIDTH - 1)
+    cells = (mass + 0.01 if n else np.ones_like(mass)).reshape(WIDTH, WIDTH, WIDTH)
+    priors = [np.log(cells.sum((1, 2)))[None], np.log(cells.sum(2)), np.log(cells.reshape(CLASSES, WIDTH))]
+    priors = [p - np.log(np.exp(p).sum(1, keepdims=True)) for p in priors]
+    log_mass = np.log10(np.maximum(mass, 1))
+
+    def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens = shared("tokens", made, lambda: Tokens(*words.value))
         for part, groups in text_groups(batches):
-            at, flat, number = tokens.of(groups)
-            f, size = features(number, groups, spell_.n)
-            k, first = number >> 20, np.cumsum(size) - size
-            chained = np.add.reduceat(model.log10(f, k) - log_mass[k], first)
-            log = tokens.logs[at]
+            at = tokens.of(groups)
+            size = np.fromiter(map(len, groups), np.int64, len(groups))
+            first = np.cumsum(size) - size
+            number, log = tokens.numbers[at], tokens.logs[at]
             rare = np.isnan(log)
             known, logs = size - np.add.reduceat(rare.astype(np.int64), first), np.add.reduceat(np.where(rare, 0.0, log), first)
             where = np.flatnonzero(rare)
-            times_of = Counter(zip(np.repeat(np.arange(len(groups)), size)[where].tolist(), (flat[i] for i in where.tolist())))
-            who, words, times = [x[0] for x in times_of], [x[1] for x in times_of], list(times_of.values())
-            key = part.column(0).to_numpy()
-            own = pa.StructArray.from_arrays([pa.array(x) for x in (chained, size, known, logs)], names=["chain", "n", "known", "logs"])
-            # A text's own row carries a name that no word has, its own, so that the join spreads these rows too.
-            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array([f"\n{k}" for k in key]), pa.nulls(len(key), pa.int32()), own], names=["key", "word", "t", "own"])
-            if who:
-                yield pa.RecordBatch.from_arrays([pa.array(key[who]), pa.array(words, pa.binary()).cast(pa.string()), pa.array(times, pa.int32()), pa.nulls(len(who), own.type)], names=["key", "word", "t", "own"])
-
-    keyed = rows.withColumn("key", F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.coalesce("text", F.lit(""))))
-    seen = keyed.select("key", "text").mapInArrow(look, "key long, word string, t int, own struct<chain:double,n:long,known:long,logs:double>")
-    met = seen.join(table, "word", "left")
-    total = lambda x: F.coalesce(F.sum(x), F.lit(0))
-    sums = met.groupBy("key").agg(
-        F.count("own").alias("rows"), total("own.chain").alias("chain"), total("own.n").alias("n"),
-        (total("own.known") + total(F.when(F.col("c").isNotNull(), F.col("t")))).alias("known"), (total("own.logs") + total(F.col("t") * F.log10(F.col("c") + 1.0))).alias("logs"),
-    )
-    each = lambda c: F.col(c) / F.col("rows")  # noqa: E731  equal rows add up to as many times one
-    out = keyed.select("key", "doc_id", "held_out").join(sums, "key")
-    whole = lambda c: F.round(each(c)).cast("long")
-    return out.select("doc_id", "held_out", whole("n").alias("n_tokens"), whole("known").alias("n_known"), F.lit(n).cast("long").alias("train_tokens"), (each("logs") - each("n") * float(np.log10(n + v + 1))).alias("base_score"), (each("logs") + each("chain")).alias("score"))
+            pairs, times = np.unique(np.repeat(np.arange(len(groups)), size)[where] << 32 | at[where].astype(np.int64), return_counts=True)
+            ends = pa.array(np.searchsorted(pairs, np.arange(len(groups) + 1) << 32), pa.int32())
+            found = pa.array([tokens.words[k] for k in (pairs & 0xFFFFFFFF).tolist()], pa.binary()).cast(pa.string())
+            found = pa.ListArray.from_arrays(ends, pa.StructArray.from_arrays([found, pa.array(times, pa.int32())], names=["word", "t"]))
+            data = number.astype("<u4").tobytes()
+            own = pa.array([data[4 * s : 4 * (s + k)] for s, k in zip(first.tolist(), size.tolist())], pa.binary())
+            yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(known), pa.array(logs), found, own], names=["row", "doc_id", "held_out", "known", "logs", "rare", "numbers"])
+
+    kind, made = docs.schema["doc_id"].dataType.simpleString(), uuid.uuid4().hex
+    numbered = rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", "held_out", "text")
+    texts = written(numbered.mapInArrow(put, f"row long, doc_id {kind}, held_out boolean, known long, logs double, rare array<struct<word:string,t:int>>, numbers binary"))
+    model = train(texts.where("not held_out").select("numbers"), priors, n, rates) if n else Model(1 << 12, priors)
+    held = spark.sparkContext.broadcast(model)
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, number, context, size in number_groups(batches):
+            each = held.value.log10(context, number) - log_mass[number >> U(SLOT)]
+            yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(size), pa.array(np.add.reduceat(each, np.cumsum(size) - size))], names=["row", "doc_id", "held_out", "known", "logs", "n", "chain"])
+
+    scored = texts.select("row", "doc_id", "held_out", "known", "logs", "numbers").mapInArrow(look, f"row long, doc_id {kind}, held_out boolean, known long, logs double, n long, chain double")
+    met = texts.select("row", F.inline("rare")).join(table, "word")
+    rare = met.groupBy("row").agg(F.sum("t").alias("more"), F.sum(F.col("t") * F.log10(F.col("c") + 1.0)).alias("rare_logs"))
+    out = scored.join(rare, "row", "left").withColumn("logs", F.col("logs") + F.coalesce("rare_logs", F.lit(0.0)))
+    return out.select("doc_id", "held_out", F.col("n").alias("n_tokens"), (F.col("known") + F.coalesce("more", F.lit(0))).alias("n_known"), F.lit(n).cast("long").alias("train_tokens"), (F.col("logs") - F.col("n") * float(np.log10(n + v + 1))).alias("base_score"), (F.col("logs") + F.col("chain")).alias("score"))

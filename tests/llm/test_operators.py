@@ -365,20 +365,97 @@ def test_maxent_lm(docs, none):
     assert score(none).count() == 0
 
 
-def test_class_probabilities_sum_to_one():
-    from ravelin.llm.maxent_lm import BATCH, Classes, Model, Tokens, features
-
-    rng = np.random.default_rng(1)
-    words = [bytes(rng.choice(list(b"abcdef"), 4).tolist()) for _ in range(200)]
-    tokens = Tokens(Classes(words, np.ones(200), 6))
-    groups = [[words[i] for i in rng.integers(0, 200, 50)] + [b"\n"] for _ in range(20)]
-    number = tokens.of(groups)[2]
-    f, _ = features(number, groups, 6)
-    m = Model(6)
-    before = m.log10(f, number >> 20).mean()
-    for _ in range(20):
-        m.learn(f, number >> 20, np.zeros(len(m.w), np.float32), np.zeros(len(m.w), np.float32))
-    assert np.allclose(m.probabilities(f[:, :BATCH]).sum(1), 1, atol=1e-5) and m.log10(f, number >> 20).mean() > before
+def slow_scores(items, spell, slots, rates, rows, prior=60.0):
+    """The model over again, a token at a time: (chain of log10 of group, class and slot, class and slot of each token) of each text."""
+    import xxhash
+
+    from ravelin.llm import maxent_lm as m
+
+    mask, log = 0xFFFFFFFF, np.log
+    start = m.CLASSES << m.CLASS
+    texts = []
+    for held, words in items:
+        numbers = [xxhash.xxh32_intdigest(w) & 0xFFFFF | slots.get(w, 7) << 20 | int(spell.of([w])[0]) << 23 for w in words]
+        tokens = []
+        for i, x in enumerate(numbers):
+            one, two, three = (numbers[i - d] if i >= d else start for d in (1, 2, 3))
+            near = Counter(y >> 26 for y in numbers[max(0, i - 12) : i]).most_common()
+            near.sort(key=lambda v: (-v[1], v[0]))
+            both = (near[1][0] if len(near) > 1 else 8) + 9 * (near[0][0] if near else 8)
+            keys = (one, one * 0x85EBCA6B & mask ^ two, ((one >> 23) * 131 + (two >> 23)) * 131 + (three >> 23), two, both)
+            context = [(k + 0x9E3779B1 * (t + 1)) * 0xC2B2AE35 & mask for t, k in enumerate(keys)]
+            k, slot = x >> 23, x >> 20 & 7
+            steps = []
+            for level, (target, parent) in enumerate(((k // 8, 0), (k % 8, k // 8), (slot, k))):
+                at = [(((c ^ c >> 15) ^ parent * 0x9E3779B1 + level & mask) * 0x85EBCA6B & mask) >> 33 - rows.bit_length() for c in context]
+                steps.append((level, target, parent, at))
+            tokens.append(steps)
+        texts.append((held, tokens, numbers))
+    return texts
+
+
+def test_maxent_scores_against_slow_model(spark):
+    """Every part of a score by loops over tokens and dictionaries; and the model beats the counts on held-out texts."""
+    from ravelin.llm import maxent_lm as m
+
+    rng = random.Random(11)
+    tongues = [["".join(rng.choice(a) for _ in range(rng.randint(2, 6))) for _ in range(60)] for a in ("aeioublt", "kzwxyqnr")]
+    items = []
+    for k in range(220):
+        own = tongues[k % 2]
+        items.append((k, " ".join(own[int(rng.random() ** 2 * 60)] for _ in range(rng.randint(0, 60)))))
+    df = spark.createDataFrame(items, "doc_id long, text string").repartition(5)
+    got = {r.doc_id: r for r in m.score(df, fitted_words=40).collect()}
+    split = [(zlib.crc32(str(i).encode()) % 7 == 2, [*t.encode().split(), m.END]) for i, t in items]
+    c = Counter(w for held, ws in split if not held for w in ws)
+    order = sorted((w for w in c if w != m.END), key=lambda w: (-c[w], w))[:40]
+    spell = m.Classes(order, np.log1p(np.array([c[w] for w in order], float)))
+    slots, taken = {}, Counter()
+    for w in [m.END, *order]:
+        k = int(spell.of([w])[0])
+        if taken[k] < 7:
+            slots[w] = taken[k]
+            taken[k] += 1
+    place = lambda w: int(spell.of([w])[0]) * 8 + slots.get(w, 7)
+    mass = np.array([float(k % 8 == 7) for k in range(512)])
+    for w, n in c.items():
+        mass[place(w)] += n + 1
+    cells = (mass + 0.01).reshape(8, 8, 8)
+    unit = lambda x: x / x.sum(1, keepdims=True)
+    priors = [unit(cells.sum((1, 2))[None]), unit(cells.sum(2)), unit(cells.reshape(64, 8))]
+    rows = m.rows_for(sum(c.values()))
+    texts = slow_scores(split, spell, slots, (0.5, 0.5), rows)
+    weights: dict = {}
+
+    def chances(level, parent, at):
+        s = np.log(priors[level][parent]) + sum(weights.get((level, t, r), 0) for t, r in enumerate(at))
+        return np.exp(s) / np.exp(s).sum()
+
+    seen: dict = {}
+    for held, tokens, _ in texts:
+        for level, target, _, at in (s for token in tokens for s in token if not held):
+            for t, r in enumerate(at):
+                seen.setdefault((level, t, r), np.zeros(8))[target] += 1
+    for rate in (0.5, 0.5):
+        expected: dict = {}
+        for held, tokens, _ in texts:
+            for level, _, parent, at in (s for token in tokens for s in token if not held):
+                p = chances(level, parent, at)
+                for t, r in enumerate(at):
+                    expected[level, t, r] = expected.get((level, t, r), 0) + p
+        new = dict(weights)
+        for f, e in expected.items():
+            more = 60 * e / e.sum()
+            new[f] = weights.get(f, 0) + np.clip(rate * np.log((seen[f] + more + 1e-9) / (e + more + 1e-9)), -4, 4)
+        weights = new
+    for (i, _), (_, words), (_, tokens, _) in zip(items, split, texts):
+        want = sum(np.log10(chances(level, parent, at)[target]) for token in tokens for level, target, parent, at in token)
+        want += sum(np.log10(c[w] + 1) - np.log10(max(mass[place(w)], 1)) for w in words)
+        assert abs(want - got[i].score) < 1e-3 * max(1, abs(want)), (i, want, got[i].score)
+    held = [r for r in got.values() if r.held_out]
+    assert sum(r.score - r.base_score for r in held) > 0.1 * sum(r.n_tokens for r in held)
+    again = {r.doc_id: r.score for r in m.score(df.repartition(2), fitted_words=40).collect()}
+    assert all(abs(again[i] - got[i].score) < 1e-3 for i in again)
 
 
 def test_quality_crf(spark, docs, none):
