@@ -33,7 +33,7 @@ CLASSES = WIDTH * WIDTH
 LEVELS, TEMPLATES = 3, 5
 NEAR = 12  # words before whose groups make a feature
 PAIRS = 1 << 10  # hashed byte pairs
-BATCH = 65_536
+BATCH = 16_384
 #: A token in 32 bits: 20 of its spelling's hash, 6 of its class, 3 of its slot.
 SLOT, CLASS = 20, 23
 U = np.uint32
@@ -101,7 +101,10 @@ class Classes:
                 if len(code) > 4 * most:  # a giant word in it
                     sums = np.stack([np.bincount(code[f : f + k], minlength=PAIRS) for f, k in zip(first, n)]) @ self.table
                 else:
-                    sums = np.add.reduceat(self.table[code], first)
+                    sums = np.empty((len(n), self.table.shape[1]), np.float32)
+                    for k in np.unique(n):  # words of one length at a time
+                        own = np.flatnonzero(n == k)
+                        sums[own] = self.table[code[first[own, None] + np.arange(k)]].sum(1)
                 out[start : i + 1] = (sums / np.sqrt(n)[:, None] - self.bias).argmax(1)
                 start, size = i + 1, 0
         out[[k for k, w in enumerate(words) if w == END]] = CLASSES - 1
@@ -170,7 +173,8 @@ class Model:
     """Weights (levels x templates x rows x 8) and the unigram logits of each level's parent (1, 8 or 64 of them)."""
 
     def __init__(self, rows: int, priors: list[np.ndarray]):
-        self.rows, self.priors = rows, [p.astype(np.float32) for p in priors]
+        self.rows, self.priors, self.blank = rows, [p.astype(np.float32) for p in priors], True
+        self.shares = [np.exp(p) / np.exp(p).sum(1, keepdims=True) for p in self.priors]
         self.w = np.zeros((LEVELS * TEMPLATES * rows, WIDTH), np.float32)
 
     def levels(self, context: np.ndarray, number: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
@@ -182,6 +186,8 @@ class Model:
             yield level, target, parent, at
 
     def probabilities(self, level: int, parent: np.ndarray, at: np.ndarray) -> np.ndarray:
+        if self.blank:  # without weights, what the counts say
+            return self.shares[level][parent]
         s = self.priors[level][parent]
         for t in range(TEMPLATES):
             first = (level * TEMPLATES + t) * self.rows
@@ -222,6 +228,7 @@ class Model:
 
     def step(self, seen: np.ndarray, expected: np.ndarray, rate: float, prior: float = 60.0) -> None:
         """Along log(seen / expected), each softened by ``prior`` events shared out as expected."""
+        self.blank = False
         share = expected / np.maximum(expected.sum(1, keepdims=True), 1e-9)
         self.w += np.clip(rate * np.log((seen + prior * share + 1e-9) / (expected + prior * share + 1e-9)), -4, 4).astype(np.float32)
 
