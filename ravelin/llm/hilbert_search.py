@@ -47,30 +47,30 @@ def hilbert_keys(cells: np.ndarray, bits: int) -> np.ndarray:
     return key.astype(np.int64)
 
 
-def nearest_in_block(data: pd.DataFrame, queries: pd.DataFrame, keep: int) -> pd.DataFrame:
-    """The ``keep`` nearest rows of a block to each query whose window covers them, by the stored codes."""
+def nearest_in_block(data: pd.DataFrame, queries: pd.DataFrame, keep: int, stored: str) -> pd.DataFrame:
+    """The ``keep`` nearest rows of a block to each query whose window covers them, and all that are as near as the last of them."""
+    none = pd.DataFrame({"query": [], "point": [], "near": []}).astype({"query": np.int64, "point": np.int64, "near": float})
     if not len(data) or not len(queries):
-        return pd.DataFrame({"query": [], "point": [], "near": []}).astype({"query": np.int64, "point": np.int64, "near": float})
+        return none
     data = data.sort_values("rank")
-    x = np.stack([np.frombuffer(c, np.int8) for c in data.code]).astype(np.float32)
-    q = np.stack([np.frombuffer(c, np.int8) for c in queries.code]).astype(np.float32)
+    x, q = (np.stack([np.frombuffer(c, stored) for c in d.code]).astype(np.float64) for d in (data, queries))
     rank, point, size = data["rank"].to_numpy(), data.point.to_numpy(), (x * x).sum(1)
-    out = []
-    step = max(1, 4_000_000 // len(x))
+    out = [none]
+    step = max(1, 2_000_000 // len(x))
     for s in range(0, len(q), step):
-        part = queries.iloc[s : s + step]
-        d = size - 2 * (q[s : s + step] @ x.T) + (q[s : s + step] ** 2).sum(1)[:, None]
+        part, own_size = queries.iloc[s : s + step], (q[s : s + step] ** 2).sum(1)[:, None]
+        d = np.maximum(size - 2 * (q[s : s + step] @ x.T) + own_size, 0)
         lo, hi, own = (part[c].to_numpy()[:, None] for c in ("lo", "hi", "query"))
         d[(rank < lo) | (rank > hi) | (point == own)] = np.inf
         k = min(keep, len(x))
-        best = np.argpartition(d, k - 1, axis=1)[:, :k]
-        near = np.take_along_axis(d, best, 1)
-        row, col = np.nonzero(np.isfinite(near))
-        out.append(pd.DataFrame({"query": part["query"].to_numpy()[row], "point": point[best[row, col]], "near": near[row, col].astype(float)}))
+        last = np.partition(d, k - 1, axis=1)[:, k - 1 : k]
+        # Rounding is far below this share of the terms; the exact distances come last.
+        row, col = np.nonzero((d <= last + 1e-9 * (own_size + size)) & np.isfinite(d))
+        out.append(pd.DataFrame({"query": part["query"].to_numpy()[row], "point": point[col], "near": d[row, col]}))
     return pd.concat(out)
 
 
-def search(df: DataFrame, k: int = 10, query_every: int = 100, curves: int = 10, share: float = 0.1, least_window: int = 512, dims: int = 8, bits: int = 7, block: int = 4_096, seed: int = 3, id_column: str = "vec_id", vector_column: str = "embedding") -> DataFrame:
+def search(df: DataFrame, k: int = 10, query_every: int = 100, curves: int = 24, share: float = 0.015, least_window: int = 256, dims: int = 8, bits: int = 7, block: int = 4_096, sample_size: int = 16_384, seed: int = 3, id_column: str = "vec_id", vector_column: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score: for each row whose id is divisible by ``query_every``, the ``k`` nearest other rows found.
 
     ``score`` is the Euclidean distance of the original vectors in double precision; ties go to the smaller id. Vectors that are
@@ -78,6 +78,10 @@ def search(df: DataFrame, k: int = 10, query_every: int = 100, curves: int = 10,
     are one point of the curves and answer with their smallest ids, so their number costs nothing; an id given twice is two
     candidates, and a query's rows of its own id are left out. Fewer candidates than ``k`` give them all.
 
+    An empty table, or one without usable vectors, gives no rows; other columns, whatever their names, are left out. Coordinates of the curves'
+    grid lie between outer quantiles of a bounded sample (``sample_size`` points of least hash); what lies beyond is put at the edge, so
+    single far rows do not coarsen it. Blocks measure the vectors themselves and keep all that are as near as the last one wanted.
+
     A query sees ``share`` of all ranks (``least_window`` at least) on each side on each curve. Vectors without structure need a window
     in proportion to the table for a given recall; for clustered ones a smaller share will do.
     """
@@ -86,8 +90,9 @@ def search(df: DataFrame, k: int = 10, query_every: int = 100, curves: int = 10,
     kind = rows.schema["vec_id"].dataType.simpleString()
     good = rows.where(F.col("vec_id").isNotNull() & usable(rows, "vector"))
     asks = F.col("vec_id") % query_every == 0
-    points = cut(good.groupBy("vector").agg(F.min("vec_id").cast("long").alias("point"), F.max(asks).alias("asks"), F.max(F.transform("vector", F.abs)).alias("top")))
-    n, top = points.agg(F.count("*"), F.max(F.array_max("top"))).first()
+    stored = "<f4" if rows.schema["vector"].dataType.elementType.typeName() == "float" else "<f8"
+    points = cut(good.groupBy("vector").agg(F.min("vec_id").cast("long").alias("point"), F.max(asks).alias("asks")))
+    n = points.count()
     if not n:
         return spark.createDataFrame([], f"query_id {kind}, rank int, vec_id {kind}, score double")
     copies = good.withColumn("at", F.row_number().over(Window.partitionBy("vector").orderBy("vec_id"))).where(F.col("at") <= k + 1)
@@ -96,16 +101,14 @@ def search(df: DataFrame, k: int = 10, query_every: int = 100, curves: int = 10,
     rng = np.random.default_rng(seed)
     dims = min(dims, size)
     ways = [np.linalg.qr(rng.standard_normal((size, dims)))[0] for _ in range(curves)]
-    ends = points.select("vector").mapInArrow(lambda bs: reach(bs, ways), "way int, dim int, lo double, hi double").groupBy("way", "dim").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).collect()
-    lo, hi = np.zeros((curves, dims)), np.ones((curves, dims))
-    for e in ends:
-        lo[e.way, e.dim], hi[e.way, e.dim] = e.lo, e.hi
+    sample = matrix(points.select("vector").orderBy(F.xxhash64("vector")).limit(sample_size).toArrow().column("vector"))
+    lo, hi = np.quantile(np.stack([sample @ way for way in ways]), [0.003, 0.997], axis=1)
     shift = rng.uniform(0, 0.25, (curves, dims))
 
     def order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             x = matrix(b.column("vector"))
-            code = pa.array([c.tobytes() for c in np.rint(x * (127 / top)).astype(np.int8)], pa.binary())
+            code = pa.array([v.tobytes() for v in x.astype(stored)], pa.binary())
             for c, way in enumerate(ways):
                 cells = ((x @ way - lo[c]) / np.maximum(hi[c] - lo[c], 1e-300) / 1.25 + shift[c] / 1.25) * (1 << bits)
                 keys = hilbert_keys(np.clip(cells, 0, (1 << bits) - 1).astype(np.int64), bits)
@@ -124,14 +127,17 @@ def search(df: DataFrame, k: int = 10, query_every: int = 100, curves: int = 10,
 
     # Curves follow each other in one row of ranks: curve c has the ranks from c n on.
     ranked = laid.select("point", "asks", "code").mapInArrow(number, "rank long, point long, asks boolean, code binary")
-    window, keep = max(least_window, int(np.ceil(share * n))), 2 * k + 4
+    window, keep = max(least_window, int(np.ceil(share * n))), k + 1
     base = F.floor(F.col("rank") / n) * n
     asked = ranked.where("asks").select(F.col("point").alias("query"), "code", F.greatest(F.col("rank") - window, base).alias("lo"), F.least(F.col("rank") + window, base + n - 1).alias("hi"))
     asked = asked.withColumn("block", F.explode(F.sequence(F.floor(F.col("lo") / block), F.floor(F.col("hi") / block))))
-    blocks = ranked.select(F.floor(F.col("rank") / block).alias("block"), "rank", "point", "code")
-    seen = blocks.groupBy("block").cogroup(asked.groupBy("block")).applyInPandas(lambda d, q: nearest_in_block(d, q, keep), "query long, point long, near double")
+    # As many parts of a block's queries as keep each to some thousands, whatever the table.
+    parts = max(1, -(-2 * window // query_every // 4_096))
+    asked = asked.withColumn("part", F.pmod(F.xxhash64("query"), F.lit(parts)))
+    blocks = ranked.select(F.floor(F.col("rank") / block).alias("block"), "rank", "point", "code", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))).alias("part"))
+    seen = blocks.groupBy("block", "part").cogroup(asked.groupBy("block", "part")).applyInPandas(lambda d, q: nearest_in_block(d, q, keep, stored), "query long, point long, near double")
     pairs = seen.groupBy("query", "point").agg(F.min("near").alias("near"))
-    pairs = pairs.withColumn("at", F.row_number().over(Window.partitionBy("query").orderBy("near", "point"))).where(F.col("at") <= keep)
+    pairs = pairs.withColumn("at", F.rank().over(Window.partitionBy("query").orderBy("near"))).where(F.col("at") <= keep)
     pairs = cut(pairs.select("query", "point"))
 
     vectors = points.select("point", "vector").join(copies, "vector")
@@ -147,18 +153,3 @@ def search(df: DataFrame, k: int = 10, query_every: int = 100, curves: int = 10,
     queries = good.where(asks).select(F.col("vec_id").alias("query_id"), "vector").distinct()
     ranks = queries.join(answers, "vector").select("query_id", F.slice(F.filter("best", lambda b: b.vec_id != F.col("query_id")), 1, k).alias("best"))
     return ranks.select("query_id", F.posexplode("best")).select("query_id", (F.col("pos") + 1).alias("rank"), F.col("col.vec_id").alias("vec_id"), F.col("col.score").alias("score"))
-
-
-def reach(batches: Iterator[pa.RecordBatch], ways: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-    """Least and greatest projections of a partition."""
-    ends: dict[tuple[int, int], tuple[float, float]] = {}
-    for b in batches:
-        if b.num_rows:
-            x = matrix(b.column("vector"))
-            for w, way in enumerate(ways):
-                p = x @ way
-                for d, (lo, hi) in enumerate(zip(p.min(0), p.max(0))):
-                    a, z = ends.get((w, d), (lo, hi))
-                    ends[w, d] = (min(a, lo), max(z, hi))
-    if ends:
-        yield pa.RecordBatch.from_pydict({"way": pa.array([k[0] for k in ends], pa.int32()), "dim": pa.array([k[1] for k in ends], pa.int32()), "lo": [float(v[0]) for v in ends.values()], "hi": [float(v[1]) for v in ends.values()]})

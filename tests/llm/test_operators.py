@@ -306,6 +306,25 @@ def test_hilbert_search(spark):
     assert search(df.limit(0)).count() == 0 and search(df.where("vec_id = 100")).count() == 0 and search(df.where("vec_id in (100, 101)")).count() == 1
 
 
+def test_hilbert_search_in_windows(spark):
+    """Recall where windows leave most of the table out, in spite of a row a thousand times as far as the others."""
+    from ravelin.llm.hilbert_search import search
+
+    rng = np.random.default_rng(9)
+    x = (rng.standard_normal((200, 32))[rng.integers(0, 200, 6000)] + 0.25 * rng.standard_normal((6000, 32))).astype(np.float32)
+    x[5] *= 1000
+    x[7] = x[8]
+    got = {}
+    for r in search(spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<float>"), curves=12).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id))
+    x, hit = x.astype(float), 0
+    for q in range(0, 6000, 100):
+        d = np.sqrt(((x - x[q]) ** 2).sum(1))
+        d[q] = np.inf
+        hit += len({v for _, v in got[q]} & set(np.lexsort((np.arange(6000), d))[:10].tolist()))
+    assert len(got) == 60 and all(len(v) == 10 for v in got.values()) and hit >= 0.9 * 600
+
+
 def test_style_trees(spark):
     from ravelin.llm.style_trees import main_text
 
