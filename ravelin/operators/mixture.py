@@ -7,10 +7,10 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ravelin.runtime import ready
+from ravelin.runtime import added, ready, written
 
 
 def _log_parts(x: np.ndarray, w: np.ndarray, mean: np.ndarray, cov: np.ndarray) -> np.ndarray:
@@ -29,14 +29,14 @@ def _shares(x, w, mean, cov) -> tuple[np.ndarray, float]:
     return np.exp(parts - whole[:, None]), float(whole.sum())
 
 
-def fit(table: DataFrame, features: list[str], k: int = 2, restarts: int = 3, rounds: int = 50, tol: float = 1e-4, ridge: float = 1e-6, seed: int = 42, start_rows: int = 2_000) -> dict:
+def fit(table: DataFrame, features: list[str], k: int = 2, restarts: int = 10, rounds: int = 1_000, tol: float = 1e-3, ridge: float = 1e-6, seed: int = 42, start_rows: int = 2_000) -> dict:
     """Weights, means and covariances (components by rising first mean), the mean log-likelihood and whether it settled.
 
     Every round is one pass over all rows that gathers the weighted moments of all restarts at once. Starts are means of random
     parts of a sample of at most ``start_rows`` rows.
     """
     spark = ready(table.sparkSession)
-    own = table.select(*(F.col(f).cast("double").alias(f"c{i}") for i, f in enumerate(features))).na.drop()
+    own = written(table.select(*(F.col(f).cast("double").alias(f"c{i}") for i, f in enumerate(features))).na.drop())  # read again in each round
     scale = own.agg(F.count("*"), *(F.avg(c) for c in own.columns), *(F.stddev_pop(c) for c in own.columns)).first()
     d, n = len(features), scale[0]
     shift, spread = np.array(scale[1 : d + 1], float), np.maximum(np.array(scale[d + 1 :], float), 1e-12)
@@ -65,8 +65,7 @@ def fit(table: DataFrame, features: list[str], k: int = 2, restarts: int = 3, ro
             if total:
                 yield pa.RecordBatch.from_arrays([pa.array([r for r, _ in total], pa.int32()), pa.array([c for _, c in total], pa.int32()), pa.array([v.tobytes() for v in total.values()], pa.binary())], names=["r", "c", "v"])
 
-        add = lambda rows: rows.iloc[:1].assign(v=[sum(np.frombuffer(v) for v in rows.v).tobytes()])
-        got = {(x.r, x.c): np.frombuffer(x.v) for x in own.mapInArrow(moments, "r int, c int, v binary").groupBy("r", "c").applyInPandas(lambda rows: add(rows), "r int, c int, v binary").collect()}
+        got = {(x.r, x.c): np.frombuffer(x.v) for x in added(own.mapInArrow(moments, "r int, c int, v binary"), ["r", "c"], "v").collect()}
         for r in sorted(live):
             crosses = [got[r, c][:-1].reshape(d + 1, d + 1) for c in range(k)]
             weight = np.maximum([x[d, d] for x in crosses], 1e-10)
@@ -99,3 +98,14 @@ def label(table: DataFrame, model: dict, name: str = "label") -> DataFrame:
         return out
 
     return table.withColumn(name, likelier(*(F.col(f).cast("double") for f in features)))
+
+
+def save(spark: SparkSession, model: dict, path: str) -> None:
+    """A model as a Parquet table, a row for each component."""
+    rows = [(k, float(w), m.tolist(), c.tolist(), model["log_likelihood"], model["converged"], list(model["features"])) for k, (w, m, c) in enumerate(zip(model["weights"], model["means"], model["covariances"]))]
+    spark.createDataFrame(rows, "component int, weight double, mean array<double>, covariance array<array<double>>, log_likelihood double, converged boolean, features array<string>").coalesce(1).write.mode("overwrite").parquet(path)
+
+
+def load(spark: SparkSession, path: str) -> dict:
+    rows = spark.read.parquet(path).orderBy("component").collect()  # as many as components
+    return {"weights": np.array([r.weight for r in rows]), "means": np.array([r["mean"] for r in rows]), "covariances": np.array([r.covariance for r in rows]), "log_likelihood": rows[0].log_likelihood, "converged": rows[0].converged, "features": rows[0].features}

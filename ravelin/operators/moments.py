@@ -6,12 +6,11 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ravelin.runtime import ready
+from ravelin.runtime import added, ready
 
 
 @dataclass
@@ -83,11 +82,7 @@ def moment_rows(table: DataFrame, columns: list[str], fold: str | None = None) -
             fold_, i, data = zip(*rows)
             yield pa.RecordBatch.from_arrays([pa.array(fold_, pa.int32()), pa.array(i, pa.int32()), pa.array(data, pa.binary())], names=["fold", "i", "row"])
 
-    def add(rows: pd.DataFrame) -> pd.DataFrame:
-        return rows.iloc[:1].assign(row=[sum(np.frombuffer(r) for r in rows["row"]).tobytes()])
-
-    schema = "fold int, i int, row binary"
-    return own.mapInArrow(partial, schema).groupBy("fold", "i").applyInPandas(add, schema), shift
+    return added(own.mapInArrow(partial, "fold int, i int, row binary"), ["fold", "i"], "row"), shift
 
 
 def gathered(rows: list[tuple[int, int, bytes]], shift: np.ndarray) -> dict[int, Moments]:

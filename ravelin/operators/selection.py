@@ -8,7 +8,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ravelin.operators.moments import Moments
@@ -73,6 +73,35 @@ def cross_validated(folds: dict[int, Moments], grid: np.ndarray, fit: Fit, centr
     return np.array([np.mean([error(m, fit(total - m, lam), centred) for m in folds.values()]) for lam in grid])
 
 
+def cross_validation(spark: SparkSession, folds: dict[int, Moments], grid: np.ndarray, fit: Fit, centred: bool = True) -> tuple[np.ndarray, list[np.ndarray]]:
+    """As cross_validated, a Spark task for each penalty and fold; and the refit on all folds of each penalty. Moments have the tensor's size."""
+    keys, total = list(folds), sum(list(folds.values())[1:], list(folds.values())[0])
+    held = spark.sparkContext.broadcast((folds, total))
+    n = len(keys) + 1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        folds_, total_ = held.value
+        for b in batches:
+            for i in b.column(0).to_pylist():
+                lam, k = float(grid[i // n]), i % n
+                beta = fit(total_ if k == len(keys) else total_ - folds_[keys[k]], lam)
+                e = 0.0 if k == len(keys) else error(folds_[keys[k]], beta, centred)
+                yield pa.RecordBatch.from_arrays([pa.array([i]), pa.array([float(e)]), pa.array([[float(v) for v in beta]], pa.list_(pa.float64()))], names=["id", "e", "beta"])
+
+    tasks = spark.range(0, len(grid) * n, 1, min(len(grid) * n, 4 * spark.sparkContext.defaultParallelism))
+    rows = sorted(tasks.mapInArrow(run, "id long, e double, beta array<double>").collect())
+    errors = np.array([np.mean([r.e for r in rows[j * n : j * n + n - 1]]) for j in range(len(grid))])
+    return errors, [np.array(rows[j * n + n - 1].beta) for j in range(len(grid))]
+
+
+def centred_prediction(design: DataFrame, coefficients: list[float], x: str = "x", y: str = "y") -> DataFrame:
+    """Column ``y_hat`` of packed tensors ``x``: (x - mean x) . b + mean y, with the means of all rows of ``design``."""
+    means = design.agg(F.avg(y).alias("mean_y"), F.array(*(F.avg(F.get(x, k)) for k in range(len(coefficients)))).alias("mean_x"))  # one row
+    b = F.array(*(F.lit(float(c)) for c in coefficients))
+    away = F.zip_with(F.zip_with(F.col(x), F.col("mean_x"), lambda u, v: u - v), b, lambda u, v: u * v)
+    return design.crossJoin(F.broadcast(means)).withColumn("y_hat", F.col("mean_y") + F.aggregate(away, F.lit(0.0), lambda s, v: s + v)).drop("mean_x", "mean_y")
+
+
 def fit_group(feature: np.ndarray) -> Fit:
     return lambda m, lam: group_lasso(m, feature, lam)[1]
 

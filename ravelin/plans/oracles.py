@@ -60,6 +60,7 @@ def oracle_sql() -> dict[str, str]:
         "block_norms": f"WITH {GRAD} SELECT j, round(norm, 5) AS norm, round(mean, 5) AS mean FROM nm",
         "soft_threshold_step": f"WITH {GRAD}, t AS (SELECT max(norm) / 2 AS top FROM nm) SELECT gr.j, CAST(row_number() OVER (PARTITION BY gr.j ORDER BY g, s) - 1 AS INT) AS k, round(CASE WHEN norm > top THEN grad * (1 - top / norm) ELSE 0 END, 5) AS value FROM gr JOIN nm ON nm.j = gr.j, t",
         "tensor_inner_product": f"WITH {CELLS} SELECT subject, round(sum(value / (1 + g + j + s)), 4) AS y_hat FROM cells GROUP BY 1",
+        "centred_prediction": f"WITH {CELLS}, m AS (SELECT g, j, s, avg(value) AS mv FROM cells GROUP BY 1, 2, 3), c2 AS (SELECT subject, sum((value - mv) / (1 + (cells.g * 4 + cells.j) * 2 + cells.s)) AS d FROM cells JOIN m ON m.g = cells.g AND m.j = cells.j AND m.s = cells.s GROUP BY 1), my AS (SELECT avg(s_acctbal) AS y FROM supplier WHERE s_suppkey IN (SELECT subject FROM c2)) SELECT subject, round(y + d, 3) AS y_hat FROM c2, my WHERE subject IN (SELECT s_suppkey FROM supplier)",
         "tensor_contract_mode": f"WITH {CELLS} SELECT subject, j, s, round(sum(value * (g + 1) / 3.0), 5) AS value FROM cells GROUP BY 1, 2, 3",
         "kronecker": f"WITH {DENSE}, t AS (SELECT subject, slide, avg(CASE WHEN label = 1 THEN 1.0 ELSE 0.0 END) AS w1, avg(CASE WHEN label = 2 THEN 1.0 ELSE 0.0 END) AS w2, sum(CASE WHEN label = 1 THEN tax ELSE 0 END) / count(tax) AS t1, sum(CASE WHEN label = 2 THEN tax ELSE 0 END) / count(tax) AS t2 FROM obj GROUP BY 1, 2) " + " UNION ALL ".join(f"SELECT subject, slide, {2 * a + b} AS k, round(w{a + 1} * t{b + 1}, 6) AS value FROM t" for a in (0, 1) for b in (0, 1)),
         "l1_normalize": f"WITH {NAIVE}, v AS (SELECT subject, abs(quantity) + abs(discount) + abs(tax) AS l, CASE WHEN abs(quantity) >= abs(discount) AND abs(quantity) >= abs(tax) THEN sign(-quantity) WHEN abs(discount) >= abs(tax) THEN sign(discount) ELSE sign(tax) END AS sg, quantity, discount, tax FROM av) " + " UNION ALL ".join(f"SELECT subject, {k} AS k, round({f} * sg / l, 6) AS value FROM v" for k, f in enumerate(("-quantity", "discount", "tax"))),

@@ -143,9 +143,14 @@ def group_scale(spark: SparkSession, sf: str) -> DataFrame:
 
 def _gradients(spark: SparkSession, sf: str) -> DataFrame:
     """Covariance with the outcome of each tensor cell over its feature's scale."""
-    cells = _cells(spark, sf).join(views.dense_outcomes(spark, sf), "subject")
-    scale = _cells(spark, sf).join(views.dense_outcomes(spark, sf), "subject").groupBy("j", "subject").agg(F.sum(F.col("value") * F.col("value")).alias("v")).groupBy("j").agg(arrays.guarded(F.sqrt(F.avg("v"))).alias("gnorm"))
-    return cells.groupBy("g", "j", "s").agg(F.covar_pop("value", "y").alias("cov")).join(F.broadcast(scale), "j").withColumn("grad", F.col("cov") / F.col("gnorm"))  # as long as the features
+    x = tensors.packed(tensors.assemble(views.dense_objects(spark, sf), DENSE), DENSE).join(views.dense_outcomes(spark, sf), "subject")
+    at = lambda g, j, s: F.get("x", (g * len(DENSE) + j) * 2 + s)
+    cells = [(g, j, s) for j in range(len(DENSE)) for g in (0, 1) for s in (0, 1)]
+    # One aggregate over packed tensors, as wide as a tensor; then one row.
+    norm = lambda j: arrays.guarded(F.sqrt(F.avg(sum((at(g, j, s) * at(g, j, s) for g in (0, 1) for s in (0, 1)), F.lit(0.0)))))
+    whole = x.agg(*(F.covar_pop(at(*c), "y").alias("cov_%d_%d_%d" % c) for c in cells), *(norm(j).alias(f"norm_{j}") for j in range(len(DENSE))))
+    rows = [F.struct(F.lit(g).alias("g"), F.lit(j).alias("j"), F.lit(s).alias("s"), (F.col(f"cov_{g}_{j}_{s}") / F.col(f"norm_{j}")).alias("grad")) for g, j, s in cells]
+    return whole.select(F.inline(F.array(*rows)))
 
 
 def lambda_max_group(spark: SparkSession, sf: str) -> DataFrame:
@@ -268,6 +273,12 @@ def missing_settings(spark: SparkSession, sf: str) -> DataFrame:
     return missing(grid, done, ["p_brand", "p_size"])
 
 
+def centred_prediction(spark: SparkSession, sf: str) -> DataFrame:
+    """Predictions from tensors by coefficients 1 / (1 + place), about the means of tensors and outcomes."""
+    packed = tensors.packed(tensors.assemble(views.dense_objects(spark, sf), DENSE), DENSE).join(views.dense_outcomes(spark, sf), "subject")
+    return rounded(selection.centred_prediction(packed, [1.0 / (1 + k) for k in range(4 * len(DENSE))]).select("subject", "y_hat"), "y_hat", n=3)
+
+
 def ratio_to_first(spark: SparkSession, sf: str) -> DataFrame:
     """Errors over the first estimator's, as plots show them."""
     e = _errors(spark, sf)

@@ -38,10 +38,9 @@ def summed(folds: dict[int, Moments]) -> Moments:
 
 def _curve(spark: SparkSession, folds: dict[int, Moments], grid: np.ndarray, fit: selection.Fit, centred: bool = True) -> DataFrame:
     """lam, cv_mse, chosen, at_boundary and the refit's coefficients: as many rows as penalties."""
-    errors = selection.cross_validated(folds, grid, fit, centred)
+    errors, fits = selection.cross_validation(spark, folds, grid, fit, centred)
     best, spread = selection.least(errors), selection.lambda_spread(grid, errors)
-    total = summed(folds)
-    rows = [(float(lam), float(e), k == best, bool(lam == spread), selection.at_boundary(grid, best), [float(v) for v in fit(total, lam)]) for k, (lam, e) in enumerate(zip(grid, errors))]
+    rows = [(float(lam), float(e), k == best, bool(lam == spread), selection.at_boundary(grid, best), [float(v) for v in b]) for k, (lam, e, b) in enumerate(zip(grid, errors, fits))]
     return spark.createDataFrame(rows, "lam double, cv_mse double, chosen boolean, spread_rule boolean, at_boundary boolean, coefficients array<double>")
 
 
@@ -58,14 +57,14 @@ def lasso_cv(spark: SparkSession, sf: str) -> DataFrame:
     folds = moments_of(selection.hash_folds(design(spark, sf), "subject"), len(modes["j"]))
     mean = solvers._onto(modes["j"], np.full(len(modes["j"]), 0.25))
     folds = {k: m.mapped(mean) for k, m in folds.items()}
-    return _curve(spark, folds, selection.lasso_path(summed(folds), 30), selection.fit_lasso())
+    return _curve(spark, folds, selection.lasso_path(summed(folds)), selection.fit_lasso())
 
 
 def _alternating(spark: SparkSession, sf: str, modes: dict[str, np.ndarray], restart: bool = True) -> DataFrame:
     folds = moments_of(selection.hash_folds(design(spark, sf), "subject"), len(modes["j"]))
     total = summed(folds)
-    grid = np.geomspace(1e-3, 1.0, 8) * total.covariance[-1, -1] ** 0.5
-    errors = selection.cross_validated(folds, grid, selection.fit_alternating(modes))
+    grid = np.geomspace(1e-4, 1.0, 15) * total.covariance[-1, -1] ** 0.5
+    errors, _ = selection.cross_validation(spark, folds, grid, selection.fit_alternating(modes))
     lam = float(grid[selection.least(errors)])
     v = selection.best_restart(total, modes, lam)
     mse = solvers.error(total, solvers.coefficients(v, modes))
@@ -91,8 +90,8 @@ def two_mode_lasso(spark: SparkSession, sf: str) -> DataFrame:
     folds = {k: x.mapped(solvers._onto(cell, np.full(len(cell), 0.5))) for k, x in folds.items()}
     modes = {"g": np.arange(2 * len(DENSE)) // len(DENSE), "j": np.arange(2 * len(DENSE)) % len(DENSE)}
     total = summed(folds)
-    grid = np.geomspace(1e-3, 1.0, 8) * total.covariance[-1, -1] ** 0.5
-    errors = selection.cross_validated(folds, grid, selection.fit_alternating(modes))
+    grid = np.geomspace(1e-4, 1.0, 15) * total.covariance[-1, -1] ** 0.5
+    errors, _ = selection.cross_validation(spark, folds, grid, selection.fit_alternating(modes))
     lam = float(grid[selection.least(errors)])
     v = selection.best_restart(total, modes, lam)
     shift = float(total.mean[-1] - solvers.coefficients(v, modes) @ total.mean[:-1])
@@ -128,11 +127,11 @@ def mixture_fit(spark: SparkSession, sf: str) -> DataFrame:
 def mixture_threshold_search(spark: SparkSession, sf: str) -> DataFrame:
     """Embedding components pruned at falling thresholds until a mixture of what stays settles."""
     wide = views.wide_features(spark, sf)
-    names = [c for c in wide.columns if c.startswith(("e", "x")) and c != "embedding"][-11:]
-    pairs = screen.correlation_pairs(wide, names, few=4)
+    names = [c for c in wide.columns if c.startswith(("e", "x")) and c != "embedding"]
+    pairs = screen.correlation_pairs(wide, names)
     for above in (0.99, 0.95, 0.9, 0.85, 0.8, 0.75, 0.7):
         stay, gone = screen.prune(pairs, names, above)
-        model = mixture.fit(wide, stay, rounds=40, tol=1e-3)
+        model = mixture.fit(wide, stay)
         if model["converged"]:
             rows = [(above, f, f in stay, model["log_likelihood"]) for f in names]
             return spark.createDataFrame(rows, "threshold double, feature string, kept boolean, log_likelihood double")
@@ -179,15 +178,20 @@ def _fits(folds: dict[int, Moments], modes: dict[str, np.ndarray], truth: np.nda
     grid = solvers.penalty_grid(solvers.largest_penalty(total, feature))
     lam = float(grid[selection.least(selection.cross_validated(folds, grid, selection.fit_group(feature)))])
     group = solvers.group_lasso(total, feature, lam)[1]
-    rank_one = solvers.coefficients(selection.best_restart(total, modes, float(grid[3])), modes)
+    rank_grid = np.geomspace(1e-4, 1.0, 15) * total.covariance[-1, -1] ** 0.5
+    rank_lam = float(rank_grid[selection.least(selection.cross_validated(folds, rank_grid, selection.fit_alternating(modes)))])
+    rank_one = solvers.coefficients(selection.best_restart(total, modes, rank_lam), modes)
+    two = {"p": modes["g"] * 2 + modes["s"], "j": modes["j"]}
+    joint_lam = float(rank_grid[selection.least(selection.cross_validated(folds, rank_grid, selection.fit_alternating(two)))])
+    joint = solvers.coefficients(selection.best_restart(total, two, joint_lam), two)
     means = {k: m.mapped(solvers._onto(feature, np.full(d, 0.25))) for k, m in folds.items()}
-    path = selection.lasso_path(summed(means), 20)
+    path = selection.lasso_path(summed(means))
     plain = solvers.lasso(summed(means), float(path[selection.least(selection.cross_validated(means, path, selection.fit_lasso()))]))
     known = truth != 0
     oracle = np.zeros(d)
     oracle[known] = solvers.least_squares(total.mapped(np.eye(d + 1)[[*np.flatnonzero(known), d]]))[1]
     block_mean = lambda b: np.bincount(feature, weights=b) / np.bincount(feature)
-    fits = [("tensor", block_mean(group), solvers.error(total, group)), ("rank1", block_mean(rank_one), solvers.error(total, rank_one)), ("naive", plain, solvers.error(summed(means), plain)), ("oracle", block_mean(oracle), solvers.error(total, oracle))]
+    fits = [("tensor", block_mean(group), solvers.error(total, group)), ("rank1", block_mean(rank_one), solvers.error(total, rank_one)), ("joint", block_mean(joint), solvers.error(total, joint)), ("naive", plain, solvers.error(summed(means), plain)), ("oracle", block_mean(oracle), solvers.error(total, oracle))]
     real = np.bincount(feature, weights=np.abs(truth)) > 0
     unit = lambda x: x / np.abs(x).sum() if np.abs(x).sum() > 0 else x
     return [(name, float((np.abs(b[real]) > 1e-6).mean()), float((np.abs(b[~real]) > 1e-6).mean()), float(np.abs(unit(b) - unit(block_mean(truth))).sum()), float(mse)) for name, b, mse in fits]

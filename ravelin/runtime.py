@@ -6,7 +6,10 @@ import os
 import tempfile
 import uuid
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 
@@ -23,6 +26,8 @@ def ready(spark: SparkSession) -> SparkSession:
         sc.environment["PYTHONPATH"] = os.pathsep.join(x for x in (ROOT, known) if x)
     if not sc.getCheckpointDir():
         named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not sc.master.startswith("local["):
+            raise ValueError("name a folder that driver and executors share in spark.checkpoint.dir")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-checkpoint-"))
     return spark
 
@@ -43,3 +48,16 @@ def written(df: DataFrame) -> DataFrame:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return ready(spark).read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def added(rows: DataFrame, keys: list[str], column: str) -> DataFrame:
+    """Sums of arrays of doubles (binary ``column``) by ``keys``, in two steps: no group gathers more than some root of the tasks' rows."""
+
+    def add(part: pa.Table) -> pa.Table:
+        total = np.sum([np.frombuffer(v.as_buffer()) for c in part[column].chunks for v in c], axis=0)
+        return part.slice(0, 1).set_column(part.column_names.index(column), column, pa.array([total.tobytes()], pa.binary()))
+
+    kinds = ", ".join(f"{c} {k}" for c, k in rows.dtypes)
+    salted = rows.withColumn("salt", F.pmod(F.spark_partition_id(), F.lit(64)))
+    once = salted.groupBy(*keys, "salt").applyInArrow(lambda t: add(t), f"{kinds}, salt int").drop("salt")
+    return once.groupBy(*keys).applyInArrow(lambda t: add(t), kinds)

@@ -33,15 +33,17 @@ def load_slides(spark: SparkSession, base: str, kind: str = "parquet", schema: s
 
     Folders without a file of that kind are passed over. NaN becomes null, so that means skip it.
     """
+    where = f"{base}/*{marker}*/"
     if kind == "xlsx":
         if schema is None:
             raise ValueError("workbooks need a schema")
-        raw = spark.read.format("binaryFile").option("pathGlobFilter", "*.xlsx").option("recursiveFileLookup", "true").load(base).select("path", "content")
+        # The marker is in the pattern of folders: other folders' workbooks are not listed, read or parsed.
+        raw = spark.read.format("binaryFile").option("pathGlobFilter", "*.xlsx").load(where).select("path", "content")
         objects = read_workbooks(raw, schema)
     else:
-        reader = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", f"*.{kind}")
+        reader = spark.read.option("pathGlobFilter", f"*.{kind}")
         reader = reader.schema(schema) if schema else reader
-        objects = (reader.option("header", "true").csv(base) if kind == "csv" else reader.option("mergeSchema", "true").parquet(base)).withColumn("path", F.col("_metadata.file_path"))
+        objects = (reader.option("header", "true").csv(where) if kind == "csv" else reader.option("mergeSchema", "true").parquet(where)).withColumn("path", F.col("_metadata.file_path"))
     objects = objects.withColumn("path", F.url_decode("path"))
     reals = {f.name: F.nanvl(F.col(f"`{f.name}`"), F.lit(None).cast(f.dataType)) for f in objects.schema if isinstance(f.dataType, (T.DoubleType, T.FloatType))}
     return keep_cortex(_located(objects.withColumns(reals), marker), drop=drop)
@@ -96,7 +98,7 @@ def read_workbooks(files: DataFrame, schema: str) -> DataFrame:
 def load_outcomes(spark: SparkSession, path: str, name: str, value: str) -> DataFrame:
     """Outcome rows in file order: name, y and their place."""
     rows = spark.read.option("header", "true").csv(path)
-    return rows.select(F.col(f"`{name}`").alias("name"), F.try_to_number(F.col(f"`{value}`"), F.lit("S999999999.999999")).cast("double").alias("y"), F.monotonically_increasing_id().alias("place"))
+    return rows.select(F.col(f"`{name}`").alias("name"), F.col(f"`{value}`").try_cast("double").alias("y"), F.monotonically_increasing_id().alias("place"))
 
 
 def load_features(spark: SparkSession, path: str) -> DataFrame:
@@ -119,3 +121,42 @@ def save_correlations(pairs: DataFrame, names: list[str], path: str) -> None:
 def missing_settings(grid: DataFrame, results: DataFrame, keys: list[str]) -> DataFrame:
     """Settings of the grid without results."""
     return grid.select(*keys).distinct().join(results.select(*keys).distinct(), keys, "left_anti")
+
+
+def save_results(results: DataFrame, path: str, setting: list[str]) -> None:
+    """Long results of a study (setting columns, rep, estimator, metric, value), a folder for each setting."""
+    results.write.mode("overwrite").partitionBy(*setting).parquet(path)
+
+
+def load_results(spark: SparkSession, path: str, grid: DataFrame, setting: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Results of the settings of a grid, and the settings that have none."""
+    results = spark.read.parquet(path)
+    return results.join(grid.select(*setting).distinct(), setting, "left_semi"), missing_settings(grid, results, setting)
+
+
+def settings_summary(results: DataFrame, setting: list[str]) -> DataFrame:
+    """Mean and median of each metric by setting and estimator, numbers only."""
+    from ravelin.operators.selection import metric_summary
+
+    return metric_summary(results, [*setting, "estimator", "metric"])
+
+
+def save_tensors(tensors: DataFrame, path: str) -> None:
+    """Packed tensors (subject, x), or labelled objects, as Parquet; read them back with load_tensors."""
+    tensors.write.mode("overwrite").parquet(path)
+
+
+def load_tensors(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path)
+
+
+def feature_places(features: DataFrame, wanted: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Ordinals (j, name) of wanted names, and the names that the list lacks, for a warning. Both are as long as a table is wide."""
+    return features.join(wanted.select("name").distinct(), "name", "left_semi").select("j", "name"), wanted.select("name").distinct().join(features, "name", "left_anti")
+
+
+def screening_report(pairs: DataFrame, below: float = 0.8, most: int = 10) -> DataFrame:
+    """Features by rank with whether they are candidates and among the most independent: the report of a screening as a table."""
+    from ravelin.operators.features import ranked
+
+    return ranked(pairs).withColumns({"candidate": F.col("max_abs_corr") < below, "among_first": F.col("rank") <= most})
