@@ -207,7 +207,7 @@ def similar_texts(docs: DataFrame, words: int = 5, similarity: float = 0.8, radi
     open. So there are many vantage-point trees, each over short fingerprints of its own within a narrow ``radius``: bits grow with the
     logarithm of the number of texts, and trees are as many as bring a pair just at ``similarity`` together but for a chance of ``missed``.
     Pairs that a tree finds meet 128 further bits, of which more would differ than are let pass once in 10 million such pairs, then the
-    whole sets. First each point meets one of those found for it, so that large groups join; then all pairs of different groups are verified.
+    whole sets. First each point meets one of those found for it in each tree, ``stars`` times, so that large groups join; then all pairs of different groups are verified.
     """
     import xxhash
 
@@ -239,7 +239,7 @@ def similar_texts(docs: DataFrame, words: int = 5, similarity: float = 0.8, radi
     points = written(points.withColumn("id", F.monotonically_increasing_id()))
     laid = points.select("id", "w0", "w1", "size", F.posexplode("fps").alias("tree", "fp"))
 
-    def candidates(rows: DataFrame, all_pairs: bool) -> DataFrame:
+    def candidates(rows: DataFrame, turn: int, all_pairs: bool) -> DataFrame:
         """(a, b) of points that a tree brings together and 128 bits do not part: each point's least one by hash, or all of different groups."""
 
         def compare(cell: pa.Table) -> pa.Table:
@@ -249,7 +249,7 @@ def similar_texts(docs: DataFrame, words: int = 5, similarity: float = 0.8, radi
             at = order[first]
             number, own, fp, w0, w1, root, size = (cell[c].to_numpy()[at] for c in ("id", "own", "fp", "w0", "w1", "root", "size"))
             fp, w0, w1 = fp.view(np.uint32), w0.view(U), w1.view(U)
-            code = (number.astype(U) * U(0x9E3779B97F4A7C15)) >> U(20)
+            code = (number.astype(U) * U(0x9E3779B97F4A7C15 + 2 * turn)) >> U(20)
             got_a, got_b, best = [], [], np.full(len(number), -1)
             rank = np.argsort(np.argsort(code, kind="stable"))
             least = np.full(len(number), len(number))
@@ -303,7 +303,7 @@ def similar_texts(docs: DataFrame, words: int = 5, similarity: float = 0.8, radi
         rows = laid.withColumn("root", F.col("id")) if roots is None else laid.join(roots, "id", "left").withColumn("root", F.coalesce("component", "id")).drop("component")
         if tried is not None:  # points that were near none have no more to look for
             rows = rows.join(tried.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "id", "left_semi")
-        pairs = cut(candidates(rows, last) if tried is None else candidates(rows, last).join(tried, ["a", "b"], "left_anti"))
+        pairs = cut(candidates(rows, turn, last) if tried is None else candidates(rows, turn, last).join(tried, ["a", "b"], "left_anti"))
         if sets is None:
             wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(points, "id").select("id", F.col("text.doc_id").alias("doc"), "text.key")
             text = keyed.join(wanted, keyed.doc_id.eqNullSafe(wanted.doc) & (keyed.key == wanted.key)).groupBy("id").agg(F.min("text").alias("text"))
