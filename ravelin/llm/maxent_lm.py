@@ -284,7 +284,7 @@ def counts(docs: DataFrame) -> DataFrame:
 
 
 def rows_for(tokens: int, least: int = 12, most: int = 16) -> int:
-    """Hashed rows of a template and level: a power of two that grows with the training tokens, 65,536 at most (25 MB of weights in all)."""
+    """Hashed rows of a template and level: a power of two that grows with the training tokens, 65,536 at most (31 MB of weights in all)."""
     return 1 << min(most, max(least, max(tokens, 1).bit_length() - 12))
 
 
