@@ -156,6 +156,27 @@ def near_duplicates(docs: DataFrame, radius: int = 2, words: int = 3, seed: int
     return prints.join(named, "fp").select("doc_id", hexed.alias("fingerprint"), "component_id")
 
 
+def shared_counts(sets: list[np.ndarray], i: np.ndarray, j: np.ndarray, width: int = 16_384) -> np.ndarray:
+    """How many members sets i and j share, pair by pair; few pairs by merging them, many by bit columns of ``width`` members at a time."""
+    if len(i) < 2 * len(sets):
+        return np.fromiter((len(np.intersect1d(sets[a], sets[b], assume_unique=True)) for a, b in zip(i.tolist(), j.tolist())), np.int64, len(i))
+    row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    _, member, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    column = np.cumsum(times > 1) - 1
+    row, member = row[times[member] > 1], column[member[times[member] > 1]]
+    order = np.argsort(member, kind="stable")
+    row, member = row[order], member[order]
+    same = np.zeros(len(i), np.int64)
+    for lo in range(0, int(column[-1]) + 1, width):
+        s, e = np.searchsorted(member, [lo, lo + width])
+        on = np.zeros((len(sets), width), bool)
+        on[row[s:e], member[s:e] - lo] = True
+        bits = np.packbits(on, axis=1).view(U)
+        for k in range(0, len(i), 8192):
+            same[k : k + 8192] += np.bitwise_count(bits[i[k : k + 8192]] & bits[j[k : k + 8192]]).sum(axis=1, dtype=np.int64)
+    return same
+
+
 class Shingles:
     """Hashed sets of texts' shingles, and majority bits over them."""
 
@@ -196,7 +217,7 @@ def chances(bits: int, radius: int, differ: float) -> float:
     return sum(math.comb(bits, k) * differ**k * (1 - differ) ** (bits - k) for k in range(radius + 1))
 
 
-def similar_texts(docs: DataFrame, words: int = 5, similarity: float = 0.8, radius: int = 1, missed: float = 0.005, stars: int = 1, shard: int = 400_000) -> DataFrame:
+def similar_texts(docs: DataFrame, words: int = 5, similarity: float = 0.8, radius: int = 1, missed: float = 0.005, block: int = 500, shard: int = 400_000) -> DataFrame:
     """doc_id, key (xxhash64 of the text), root (its group), component_id (smallest doc_id that links reach) of every row of ``docs`` (doc_id, text).
 
     Texts whose sets of ``words``-word shingles have a Jaccard similarity of ``similarity`` or more are linked; a shorter text is one
@@ -207,7 +228,9 @@ def similar_texts(docs: DataFrame, words: int = 5, similarity: float = 0.8, radi
     open. So there are many vantage-point trees, each over short fingerprints of its own within a narrow ``radius``: bits grow with the
     logarithm of the number of texts, and trees are as many as bring a pair just at ``similarity`` together but for a chance of ``missed``.
     Pairs that a tree finds meet 128 further bits, of which more would differ than are let pass once in 10 million such pairs, then the
-    whole sets. First each point meets one of those found for it in each tree, ``stars`` times, so that large groups join; then all pairs of different groups are verified.
+    whole sets. First each point meets one of those found for it in each tree, so that large groups join; then all pairs of different groups
+    are verified. Pairs are verified in cells: blocks of some ``block`` points alike (or of 250 times as many shingles) with each other, so a
+    set moves once for each block that its point has a pair in, not once for each pair. A cell compares all that it holds, a superset of the pairs found.
     """
     import xxhash
 
@@ -239,84 +262,120 @@ def similar_texts(docs: DataFrame, words: int = 5, similarity: float = 0.8, radi
     points = written(points.withColumn("id", F.monotonically_increasing_id()))
     laid = points.select("id", "w0", "w1", "size", F.posexplode("fps").alias("tree", "fp"))
 
-    def candidates(rows: DataFrame, turn: int, all_pairs: bool) -> DataFrame:
-        """(a, b) of points that a tree brings together and 128 bits do not part: each point's least one by hash, or all of different groups."""
+    def brought(rows: DataFrame, all_pairs: bool) -> DataFrame:
+        """What the trees bring together, of different roots, and 128 bits do not part.
+
+        Either (a, b), each point with its least one by hash; or for all pairs (x, y, id), the points that have a pair across blocks x and y.
+        """
 
         def compare(cell: pa.Table) -> pa.Table:
             number, own = cell["id"].to_numpy(), cell["own"].to_numpy()
             order = np.argsort(~own, kind="stable")
             _, first = np.unique(number[order], return_index=True)
             at = order[first]
-            number, own, fp, w0, w1, root, size = (cell[c].to_numpy()[at] for c in ("id", "own", "fp", "w0", "w1", "root", "size"))
+            number, own, fp, w0, w1, root, size, block = (cell[c].to_numpy()[at] for c in ("id", "own", "fp", "w0", "w1", "root", "size", "block"))
             fp, w0, w1 = fp.view(np.uint32), w0.view(U), w1.view(U)
-            code = (number.astype(U) * U(0x9E3779B97F4A7C15 + 2 * turn)) >> U(20)
-            got_a, got_b, best = [], [], np.full(len(number), -1)
-            rank = np.argsort(np.argsort(code, kind="stable"))
-            least = np.full(len(number), len(number))
+            blocks, where = np.unique(block, return_inverse=True)
+            rank = np.argsort(np.argsort(number.astype(U) * U(0x9E3779B97F4A7C15) >> U(20), kind="stable"))
+            least, met = np.full(len(number), len(number)), [np.zeros(0, np.int64)]
 
             def found(i: np.ndarray, j: np.ndarray) -> None:
-                near = (root[i] != root[j]) & (np.minimum(size[i], size[j]) >= similarity * np.maximum(size[i], size[j]) - 1e-9)
-                i, j = i[near], j[near]
-                near = np.bitwise_count(w0[i] ^ w0[j]).astype(np.int64) + np.bitwise_count(w1[i] ^ w1[j]) <= most
-                i, j = i[near], j[near]
+                i, j = alike(i, j, root, size, w0, w1)
                 if all_pairs:
-                    low = number[i] < number[j]
-                    got_a.append(number[i[low]])
-                    got_b.append(number[j[low]])
-                    got_a.append(number[j[~low]])
-                    got_b.append(number[i[~low]])
+                    met.append(np.unique(np.concatenate([i * len(blocks) + where[j], j * len(blocks) + where[i]])))
                 else:
                     np.minimum.at(least, i, rank[j])
                     np.minimum.at(least, j, rank[i])
 
             pairs_in(fp, np.flatnonzero(own), radius, found)
-            if not all_pairs:
-                i = np.flatnonzero(least < len(number))
-                j = np.argsort(rank)[least[i]]
-                got_a, got_b = [np.minimum(number[i], number[j])], [np.maximum(number[i], number[j])]
-            ab = np.unique(np.stack([np.concatenate([np.zeros(0, np.int64), *x]) for x in (got_a, got_b)], 1), axis=0)
+            if all_pairs:
+                i, other = np.divmod(np.unique(np.concatenate(met)), max(1, len(blocks)))
+                return pa.table({"x": np.minimum(block[i], blocks[other]), "y": np.maximum(block[i], blocks[other]), "id": number[i]})
+            i = np.flatnonzero(least < len(number))
+            j = np.argsort(rank)[least[i]]
+            ab = np.unique(np.stack([np.minimum(number[i], number[j]), np.maximum(number[i], number[j])], 1), axis=0)
             return pa.table({"a": ab[:, 0], "b": ab[:, 1]})
 
         cells = divided(shards(rows, levels_for(rows, shard, 0), radius), shard, ["id"])
-        return cells.groupBy("tree", "node", "h", "q").applyInArrow(compare, "a long, b long").distinct()
+        return cells.groupBy("tree", "node", "h", "q").applyInArrow(compare, "x long, y long, id long" if all_pairs else "a long, b long").distinct()
+
+    def alike(i: np.ndarray, j: np.ndarray, root: np.ndarray, size: np.ndarray, w0: np.ndarray, w1: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        near = (root[i] != root[j]) & (np.minimum(size[i], size[j]) >= similarity * np.maximum(size[i], size[j]) - 1e-9)
+        i, j = i[near], j[near]
+        near = np.bitwise_count(w0[i] ^ w0[j]).astype(np.int64) + np.bitwise_count(w1[i] ^ w1[j]) <= most
+        return i[near], j[near]
 
     def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = Shingles(words)
         for b in batches:
             for lo in range(0, b.num_rows, 500):
                 part = b.slice(lo, 500)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([shingles.set_of(t or "").tobytes() for t in part.column(1).to_pylist()], pa.binary())], names=["id", "shingles"])
+                sets = pa.array([shingles.set_of(t or "").tobytes() for t in part.column(4).to_pylist()], pa.binary())
+                yield pa.RecordBatch.from_arrays([*part.columns[:4], sets], names=["id", "size", "w0", "w1", "shingles"])
 
-    def compare_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Edges that connect each cell (x, y) as all its near pairs do; rows of a cell follow each other."""
+        rest = None
         for b in batches:
-            near = np.zeros(b.num_rows, bool)
-            for k, (x, y) in enumerate(zip(b.column(2), b.column(3))):
-                x, y = np.frombuffer(x.as_buffer(), U), np.frombuffer(y.as_buffer(), U)
-                both = np.sort(np.concatenate([x, y]), kind="stable")
-                same = int((both[1:] == both[:-1]).sum())
-                near[k] = same >= similarity * (len(both) - same) - 1e-9
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(near)], names=["a", "b", "near"])
-
-    edges, roots, sets, tried = spark.createDataFrame([], "a long, b long"), None, None, None
-    for turn in range(stars + 1):
-        last = turn == stars
-        rows = laid.withColumn("root", F.col("id")) if roots is None else laid.join(roots, "id", "left").withColumn("root", F.coalesce("component", "id")).drop("component")
-        if tried is not None:  # points that were near none have no more to look for
-            rows = rows.join(tried.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "id", "left_semi")
-        pairs = cut(candidates(rows, turn, last) if tried is None else candidates(rows, turn, last).join(tried, ["a", "b"], "left_anti"))
-        if sets is None:
-            wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(points, "id").select("id", F.col("text.doc_id").alias("doc"), "text.key")
-            text = keyed.join(wanted, keyed.doc_id.eqNullSafe(wanted.doc) & (keyed.key == wanted.key)).groupBy("id").agg(F.min("text").alias("text"))
-            sets = written(text.mapInArrow(sets_of, "id long, shingles binary"))
-        side = lambda c: sets.select(F.col("id").alias(c), F.col("shingles").alias(f"{c}_set"))
-        verified = cut(pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "a_set", "b_set").mapInArrow(compare_sets, "a long, b long, near boolean"))
-        tried = verified.select("a", "b") if tried is None else tried.union(verified.select("a", "b"))
-        found = verified.where("near").select("a", "b")
-        if found.isEmpty():
-            continue
-        edges = edges.union(found)
-        roots = cut(components(edges))
-    named = points.select("point", "id") if roots is None else points.join(roots, "id", "left").select("point", F.coalesce("component", "id").alias("id"))
+            rows = pa.Table.from_batches([b] if rest is None else [*rest.to_batches(), b])
+            x, y = rows["x"].to_numpy(), rows["y"].to_numpy()
+            last = int(np.flatnonzero((x == x[-1]) & (y == y[-1]))[0]) if len(x) else 0
+            rest = rows.slice(last)  # its cell may go on in the next batch
+            yield from near_pairs(rows.slice(0, last))
+        if rest is not None:
+            yield from near_pairs(rest)
+
+    def near_pairs(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        if not rows.num_rows:
+            return
+        x, y, number, root, size, w0, w1 = (rows[c].to_numpy() for c in ("x", "y", "id", "root", "size", "w0", "w1"))
+        w0, w1 = w0.view(U), w1.view(U)
+        sets = [np.frombuffer(v.as_buffer(), U) for c in rows["shingles"].chunks for v in c]
+        edges = [0, *(np.flatnonzero((x[1:] != x[:-1]) | (y[1:] != y[:-1])) + 1).tolist(), len(x)]
+        got = []
+        for s, e in zip(edges, edges[1:]):
+            i, j = alike(*(k + s for k in np.triu_indices(e - s, 1)), root, size, w0, w1)
+            if not len(i):
+                continue
+            same = shared_counts(sets[s:e], i - s, j - s)
+            near = same >= similarity * (size[i].astype(np.int64) + size[j] - same) - 1e-9
+            forest = Forest(e - s)
+            forest.join(i[near] - s, j[near] - s)
+            other = np.flatnonzero(forest.label != np.arange(e - s))
+            got.append(np.stack([number[s:e][other], number[s:e][forest.label[other]]]))
+        ab = np.concatenate([np.zeros((2, 0), np.int64), *got], axis=1)
+        yield pa.RecordBatch.from_arrays([pa.array(ab[0]), pa.array(ab[1])], names=["a", "b"])
+
+    def in_cells(pairs: DataFrame) -> DataFrame:
+        """(x, y, id): the blocks of a pair, and each of its ends."""
+        ends = pairs.join(blocks.toDF("a", "p"), "a").join(blocks.toDF("b", "q"), "b")
+        return ends.select(F.least("p", "q").alias("x"), F.greatest("p", "q").alias("y"), F.explode(F.array("a", "b")).alias("id")).distinct()
+
+    def near(cells: DataFrame, roots: DataFrame | None) -> DataFrame:
+        rows = rooted(cells.join(sets, "id"), roots).select("x", "y", "id", "root", "size", "w0", "w1", "shingles")
+        return cut(rows.repartition("x", "y").sortWithinPartitions("x", "y").mapInArrow(verify, "a long, b long"))
+
+    def rooted(rows: DataFrame, roots: DataFrame | None) -> DataFrame:
+        if roots is None:
+            return rows.withColumn("root", F.col("id"))
+        return rows.join(roots, "id", "left").withColumn("root", F.coalesce("component", "id")).drop("component")
+
+    # Points alike meet the same one of least hash, so blocks by it hold points alike, whose sets a cell takes once for all their pairs.
+    pairs = cut(brought(rooted(laid, None).withColumn("block", F.lit(0).cast("long")), False))
+    both = pairs.union(pairs.select("b", "a")).toDF("id", "hub")
+    hubs = both.union(both.select("id", "id").distinct()).groupBy("id").agg(F.min_by("hub", F.xxhash64("hub")).alias("hub")).join(points.select("id", "size"), "id")
+    parts = hubs.groupBy("hub").agg(F.ceil(F.greatest(F.count("*") / block, F.sum("size") / (250 * block))).cast("int").alias("parts"))
+    blocks = cut(hubs.join(parts, "hub").select("id", F.xxhash64("hub", F.pmod(F.xxhash64("id"), "parts")).alias("block")))
+    wanted = blocks.select("id").join(points, "id").select("id", F.col("text.doc_id").alias("doc"), "text.key", "size", "w0", "w1")
+    text = keyed.join(wanted, keyed.doc_id.eqNullSafe(wanted.doc) & (keyed.key == wanted.key)).groupBy("id", "size", "w0", "w1").agg(F.min("text").alias("text"))
+    sets = written(text.mapInArrow(sets_of, "id long, size int, w0 long, w1 long, shingles binary"))
+    first = near(in_cells(pairs), None)
+    roots = cut(components(first))
+    rows = rooted(laid.join(blocks, "id"), roots)  # points that were near none have no more to look for
+    second = near(brought(rows, True), roots)
+    if not second.isEmpty():
+        roots = cut(components(first.union(second)))
+    named = points.join(roots, "id", "left").select("point", F.coalesce("component", "id").alias("id"))
     own = prints.join(named, "point", "left").select("doc_id", "key", F.coalesce("id", F.lit(-1)).alias("root"))
     names = own.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     return own.join(names, "root").select("doc_id", "key", "root", "component_id")

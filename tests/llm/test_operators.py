@@ -553,6 +553,35 @@ def test_pipeline_near_copies(spark):
     assert near_copies(spark, df.limit(0), "").count() == 0
 
 
+def test_similar_texts_in_a_group_around_the_threshold(spark):
+    from ravelin.llm.simhash_trees import shared_counts, similar_texts
+
+    rng = random.Random(9)
+    base, own = [f"w{k}" for k in range(120)], []
+    for i in range(300):  # alike, most pairs below 0.8, some above
+        t = list(base)
+        for at in rng.sample(range(120), rng.choice([0, 1, 2, 3, 4])):
+            t[at] = f"x{rng.randrange(40)}"
+        own.append((i, t))
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in own], "doc_id long, text string").repartition(5)
+    sets = {i: {tuple(t[k : k + 5]) for k in range(len(t) - 4)} for i, t in own}
+    label = {i: i for i in sets}
+    for a, b in itertools.combinations(sorted(sets), 2):
+        same = len(sets[a] & sets[b])
+        if same >= 0.8 * (len(sets[a]) + len(sets[b]) - same) and label[a] != label[b]:
+            low, high = sorted((label[a], label[b]))
+            label = {i: low if c == high else c for i, c in label.items()}
+    for block in (20, 500):
+        assert {r.doc_id: r.component_id for r in similar_texts(df, block=block).collect()} == label
+    assert len(set(label.values())) > 20
+
+    numbers = np.random.default_rng(1)
+    some = [np.unique(numbers.integers(0, 900, n)).astype(np.uint64) for n in (1, 40, 300, 500, 700)]
+    i, j = np.triu_indices(5, 1)
+    want = [len(np.intersect1d(some[a], some[b])) for a, b in zip(i, j)]
+    assert shared_counts(some, i, j).tolist() == shared_counts(some, i, j, 64).tolist() == want and shared_counts(some, i[:3], j[:3]).tolist() == want[:3]
+
+
 def test_pipeline_keeps_texts_that_share_an_id(spark):
     import corpus_pipeline
 
