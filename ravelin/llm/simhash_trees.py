@@ -260,7 +260,7 @@ def similar_texts(docs: DataFrame, words: int = 5, similarity: float = 0.8, radi
     # Equal sets are one point, with the text of least id to verify on; numbers for points, as rows are many.
     points = prints.where("size > 0").groupBy("point").agg(F.min(F.struct("doc_id", "key")).alias("text"), *(F.first(c).alias(c) for c in ("size", "w0", "w1", "fps")))
     points = written(points.withColumn("id", F.monotonically_increasing_id()))
-    laid = points.select("id", "w0", "w1", "size", F.posexplode("fps").alias("tree", "fp"))
+    narrow = points.select("id", "w0", "w1", "size", "fps")
 
     def brought(rows: DataFrame, all_pairs: bool) -> DataFrame:
         """What the trees bring together, of different roots, and 128 bits do not part.
@@ -287,7 +287,7 @@ def similar_texts(docs: DataFrame, words: int = 5, similarity: float = 0.8, radi
                     np.minimum.at(least, i, rank[j])
                     np.minimum.at(least, j, rank[i])
 
-            pairs_in(fp, np.flatnonzero(own), radius, found)
+            pairs_in(fp, np.flatnonzero(own), radius, found, 500_000)
             if all_pairs:
                 i, other = np.divmod(np.unique(np.concatenate(met)), max(1, len(blocks)))
                 return pa.table({"x": np.minimum(block[i], blocks[other]), "y": np.maximum(block[i], blocks[other]), "id": number[i]})
@@ -296,6 +296,7 @@ def similar_texts(docs: DataFrame, words: int = 5, similarity: float = 0.8, radi
             ab = np.unique(np.stack([np.minimum(number[i], number[j]), np.maximum(number[i], number[j])], 1), axis=0)
             return pa.table({"a": ab[:, 0], "b": ab[:, 1]})
 
+        rows = rows.select("id", "w0", "w1", "size", "root", "block", F.posexplode("fps").alias("tree", "fp"))
         cells = divided(shards(rows, levels_for(rows, shard, 0), radius), shard, ["id"])
         return cells.groupBy("tree", "node", "h", "q").applyInArrow(compare, "x long, y long, id long" if all_pairs else "a long, b long").distinct()
 
@@ -361,7 +362,7 @@ def similar_texts(docs: DataFrame, words: int = 5, similarity: float = 0.8, radi
         return rows.join(roots, "id", "left").withColumn("root", F.coalesce("component", "id")).drop("component")
 
     # Points alike meet the same one of least hash, so blocks by it hold points alike, whose sets a cell takes once for all their pairs.
-    pairs = cut(brought(rooted(laid, None).withColumn("block", F.lit(0).cast("long")), False))
+    pairs = cut(brought(rooted(narrow, None).withColumn("block", F.lit(0).cast("long")), False))
     both = pairs.union(pairs.select("b", "a")).toDF("id", "hub")
     hubs = both.union(both.select("id", "id").distinct()).groupBy("id").agg(F.min_by("hub", F.xxhash64("hub")).alias("hub")).join(points.select("id", "size"), "id")
     parts = hubs.groupBy("hub").agg(F.ceil(F.greatest(F.count("*") / block, F.sum("size") / (250 * block))).cast("int").alias("parts"))
@@ -371,7 +372,7 @@ def similar_texts(docs: DataFrame, words: int = 5, similarity: float = 0.8, radi
     sets = written(text.mapInArrow(sets_of, "id long, size int, w0 long, w1 long, shingles binary"))
     first = near(in_cells(pairs), None)
     roots = cut(components(first))
-    rows = rooted(laid.join(blocks, "id"), roots)  # points that were near none have no more to look for
+    rows = written(rooted(narrow.join(blocks, "id"), roots))  # points that were near none have no more to look for
     second = near(brought(rows, True), roots)
     if not second.isEmpty():
         roots = cut(components(first.union(second)))
