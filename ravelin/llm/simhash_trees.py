@@ -362,11 +362,15 @@ def similar_texts(docs: DataFrame, words: int = 5, similarity: float = 0.8, radi
         return rows.join(roots, "id", "left").withColumn("root", F.coalesce("component", "id")).drop("component")
 
     # Points alike meet the same one of least hash, so blocks by it hold points alike, whose sets a cell takes once for all their pairs.
+    # Small ones of one component of the pairs go together: a point then has few blocks to meet.
     pairs = cut(brought(rooted(narrow, None).withColumn("block", F.lit(0).cast("long")), False))
     both = pairs.union(pairs.select("b", "a")).toDF("id", "hub")
     hubs = both.union(both.select("id", "id").distinct()).groupBy("id").agg(F.min_by("hub", F.xxhash64("hub")).alias("hub")).join(points.select("id", "size"), "id")
-    parts = hubs.groupBy("hub").agg(F.ceil(F.greatest(F.count("*") / block, F.sum("size") / (250 * block))).cast("int").alias("parts"))
-    blocks = cut(hubs.join(parts, "hub").select("id", F.xxhash64("hub", F.pmod(F.xxhash64("id"), "parts")).alias("block")))
+    hubs = cut(hubs.join(components(pairs), "id"))
+    parts = lambda by, name: hubs.groupBy(by).agg(F.ceil(F.greatest(F.count("*") / block, F.sum("size") / (250 * block))).cast("int").alias(name))
+    chunk = F.xxhash64("hub", F.pmod(F.xxhash64("id"), "chunks"))
+    blocks = hubs.join(parts("hub", "chunks"), "hub").join(parts("component", "parts"), "component")
+    blocks = cut(blocks.select("id", F.xxhash64("component", F.pmod(chunk, "parts")).alias("block")))
     wanted = blocks.select("id").join(points, "id").select("id", F.col("text.doc_id").alias("doc"), "text.key", "size", "w0", "w1")
     text = keyed.join(wanted, keyed.doc_id.eqNullSafe(wanted.doc) & (keyed.key == wanted.key)).groupBy("id", "size", "w0", "w1").agg(F.min("text").alias("text"))
     sets = written(text.mapInArrow(sets_of, "id long, size int, w0 long, w1 long, shingles binary"))
