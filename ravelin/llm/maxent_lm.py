@@ -183,15 +183,17 @@ class Model:
         k, slot = number >> U(CLASS), number >> U(SLOT) & U(WIDTH - 1)
         for level, (target, parent) in enumerate(((k // WIDTH, np.zeros_like(k)), (k % WIDTH, k // WIDTH), (slot, k))):
             at = ((context ^ parent * U(0x9E3779B1) + U(level)) * U(0x85EBCA6B)) >> shift
-            yield level, target, parent, at
+            yield level, target, parent, at.astype(np.intp)
 
     def probabilities(self, level: int, parent: np.ndarray, at: np.ndarray) -> np.ndarray:
         if self.blank:  # without weights, what the counts say
             return self.shares[level][parent]
-        s = self.priors[level][parent]
+        s = self.priors[level].take(parent, axis=0)
+        own = np.empty_like(s)
         for t in range(TEMPLATES):
             first = (level * TEMPLATES + t) * self.rows
-            s += self.w[first : first + self.rows][at[t]]
+            self.w[first : first + self.rows].take(at[t], axis=0, out=own, mode="clip")  # all are inside; "raise" would copy
+            s += own
         np.exp(s, out=s)
         s /= (s @ np.ones(WIDTH, np.float32))[:, None]
         return s
@@ -220,7 +222,7 @@ class Model:
             for level, target, parent, at in self.levels(context[:, own], number[own]):
                 p = np.ascontiguousarray(self.probabilities(level, parent, at).T, dtype=float)
                 for t in range(TEMPLATES):
-                    k, row = level * TEMPLATES + t, at[t].astype(np.int64)
+                    k, row = level * TEMPLATES + t, at[t]
                     for c in range(WIDTH):
                         expected[k, c] += np.bincount(row, weights=p[c], minlength=self.rows)
                     if seen is not None:
