@@ -77,6 +77,12 @@ def op10_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_digests(table(spark, sf_dir, "documents"), tokenizer(PIECE_BPE))
 
 
+def op13_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ravelin.llm.token_store import read_tokens, write_tokens
+
+    return read_tokens(spark, write_tokens(table(spark, sf_dir, "documents"), tokenizer(BYTE_BPE)), with_ids=False)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
 

@@ -66,10 +66,20 @@ def merge_long(text: str, ranks: dict[tuple[str, str], int]) -> int:
     return left
 
 
+def is_plain_byte_level(spec: dict) -> bool:
+    """Whether a tokenizer file is byte-level BPE with the pattern above, no normalizer and no rule that looks beyond a pre-token."""
+    pre, model, added = spec.get("pre_tokenizer") or {}, spec["model"], spec["added_tokens"]
+    split = pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True)
+    merges = model["type"] == "BPE" and not any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges"))
+    return split and merges and not spec.get("normalizer") and not any(t["lstrip"] or t["rstrip"] or t["single_word"] or set(t["content"]) & set(WHITE) for t in added)
+
+
 def load(path: str) -> dict:
     """Merge ranks, the proven strings and the special strings of a byte-level BPE file; its size is the vocabulary's."""
     with open(path, encoding="utf-8") as f:
         spec = json.load(f)
+    if not is_plain_byte_level(spec):
+        raise ValueError("only byte-level BPE files without normalizer, prefix space or options of added tokens are handled")
     pairs = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in spec["model"]["merges"]]
     ranks = {p: k for k, p in enumerate(pairs)}
     special = [t["content"] for t in spec["added_tokens"]]
