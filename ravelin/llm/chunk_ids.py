@@ -153,7 +153,7 @@ class Chunks:
 class TextIds:
     """Ids of many texts, each with its end id."""
 
-    def __init__(self, spec: str, end_id: int, most: int = 1_200_000):
+    def __init__(self, spec: str, end_id: int, most: int = 500_000):
         self.encoder, self.end_id, self.most = ByteIds(spec), end_id, most
         self.chunks = Chunks(self.learn, firsts=True)
         self.clear()
@@ -167,7 +167,7 @@ class TextIds:
 
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts end to end, and how many each has."""
-        if len(self.chunks.row) > self.most or self.places.used > 16_000_000:
+        if len(self.chunks.row) > self.most or self.places.used > 4_000_000:
             self.clear()
         rows, count, _, odd = self.chunks(texts)
         if odd.any():

@@ -118,7 +118,7 @@ def located(uri: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(uri)
 
 
-def write_tokens(docs: DataFrame, path: str, store: str | None = None, end_id: int = 2, per_file: int = 8_000_000, per_task: int = 64_000_000, id_column: str = "doc_id", text_column: str = "text") -> str:
+def write_tokens(docs: DataFrame, path: str, store: str | None = None, end_id: int = 2, per_file: int = 4_000_000, per_task: int = 64_000_000, id_column: str = "doc_id", text_column: str = "text") -> str:
     """Encode every whole text by the byte-level BPE file at ``path``, each with ``end_id`` after it, and write token files; their folder.
 
     Texts are sorted by id, nulls first, and by their text where ids are equal: rows that repeat are written each. A null or empty text is its end id
@@ -159,7 +159,7 @@ def write_tokens(docs: DataFrame, path: str, store: str | None = None, end_id: i
 
         held_ids = 0
         for batch in batches:
-            for who, texts in slices(batch, 4000, 8_000_000):
+            for who, texts in slices(batch, 4000, 3_000_000):
                 found, sizes = ids(texts)
                 waiting.append((who, found.astype(np.uint32), sizes))
                 held_ids += len(found)
@@ -220,7 +220,7 @@ def read_tokens(spark: SparkSession, store: str, with_ids: bool = True) -> DataF
     return token_files(spark, store).select("part", "at", "content").mapInArrow(read, kind)
 
 
-def tokens_at(spark: SparkSession, store: str, wanted: DataFrame, place: str = "place", width: int = 8_000_000, salts: int = 16) -> DataFrame:
+def tokens_at(spark: SparkSession, store: str, wanted: DataFrame, place: str = "place", width: int = 4_000_000, salts: int = 16) -> DataFrame:
     """Ids at single places of the whole stream: (place, token), read from the files by place, without decoding them.
 
     Places meet files by blocks of ``width`` places, and a file's places come in up to ``salts`` groups. Places that are null or outside the stream give no row; repeated ones give one each.
