@@ -77,6 +77,12 @@ def op10_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_digests(table(spark, sf_dir, "documents"), tokenizer(PIECE_BPE))
 
 
+def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ravelin.llm.phrases import collocations
+
+    return collocations(table(spark, sf_dir, "documents")).drop("doc_id", "at")
+
+
 def op13_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ravelin.llm.token_store import read_tokens, write_tokens
 
@@ -105,4 +111,21 @@ def oracle_sql() -> dict[str, str]:
             d AS (SELECT q.vec_id AS query_id, c.vec_id, sqrt(list_sum(list_transform(list_zip(q.v, c.v), lambda p: (p[1] - p[2]) * (p[1] - p[2])))) AS score FROM good q JOIN good c ON q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0),
             r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id) AS n FROM d)
             SELECT query_id, CAST(n AS INT) AS rank, vec_id, score FROM r WHERE n <= 10""",
+        "op11_phrases": r"""
+            WITH pieces AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+            words AS (SELECT lang, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda x: x <> '') AS w FROM pieces),
+            spans AS (SELECT lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i : i + k - 1], ' '))) AS phrase FROM words, range(1, 5) AS t(k) WHERE len(w) >= k),
+            f AS (SELECT lang, phrase, k, count(*) AS f FROM spans GROUP BY ALL),
+            total AS (SELECT lang, sum(f) AS n FROM f WHERE k = 1 GROUP BY lang),
+            found AS (SELECT lang, phrase, f AS a, k, string_split(phrase, ' ') AS w FROM f WHERE k > 1 AND f >= 30),
+            inner_parts AS (SELECT lang, a, w, k, unnest(range(2, k)) AS size FROM found WHERE k > 2),
+            longer AS (SELECT lang, phrase, max(a) AS top FROM (SELECT lang, a, unnest(list_transform(range(1, k - size + 2), lambda i: array_to_string(w[i : i + size - 1], ' '))) AS phrase FROM inner_parts) GROUP BY lang, phrase),
+            cuts AS (SELECT lang, phrase, a, unnest(range(1, k)) AS c, w, k FROM found),
+            scored AS (
+                SELECT cuts.lang, cuts.phrase, a, h.f AS l, r.f AS r, CAST((CAST(2000000 AS HUGEINT) * a) // (h.f + r.f) AS BIGINT) AS score, c FROM cuts
+                JOIN f h ON h.lang = cuts.lang AND h.phrase = array_to_string(w[1 : c], ' ') JOIN f r ON r.lang = cuts.lang AND r.phrase = array_to_string(w[c + 1 : cuts.k], ' ')),
+            least AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, c) = 1),
+            kept AS (SELECT least.* FROM least LEFT JOIN longer USING (lang, phrase) WHERE top IS NULL OR 100 * top < 80 * a)
+            SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, CAST(n AS BIGINT) AS n, score FROM kept JOIN total USING (lang)
+            QUALIFY row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) <= 2000""",
     }
