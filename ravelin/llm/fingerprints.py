@@ -43,10 +43,16 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def same_bytes(buffer: np.ndarray, start: np.ndarray, size: np.ndarray, other: np.ndarray) -> bool:
+def gathered(buffer: np.ndarray, start: np.ndarray, size: np.ndarray, block: int = 1 << 15) -> np.ndarray:
+    """The bytes of ranges end to end; the index arrays are made for a block of ranges at a time."""
+    parts = [buffer[ragged(start[lo : lo + block], size[lo : lo + block])] for lo in range(0, len(start), block)]
+    return np.concatenate(parts) if parts else buffer[:0]
+
+
+def same_bytes(buffer: np.ndarray, start: np.ndarray, size: np.ndarray, other: np.ndarray, block: int = 1 << 15) -> bool:
     """Whether each range holds the bytes of the range of its size that begins at ``other``."""
-    for lo in range(0, len(start), 1 << 18):
-        s, n, o = start[lo : lo + (1 << 18)], size[lo : lo + (1 << 18)], other[lo : lo + (1 << 18)]
+    for lo in range(0, len(start), block):
+        s, n, o = start[lo : lo + block], size[lo : lo + block], other[lo : lo + block]
         if not np.array_equal(buffer[ragged(s, n)], buffer[ragged(o, n)]):
             return False
     return True
@@ -89,6 +95,6 @@ def strings(buffer: np.ndarray, start: np.ndarray, end: np.ndarray, apart: str =
     if not len(start):
         return []
     size = end - start
-    held = np.append(buffer, np.uint8(ord(apart)))[ragged(start, size + 1)]
+    held = gathered(np.append(buffer, np.uint8(ord(apart))), start, size + 1)
     held[np.cumsum(size + 1) - 1] = ord(apart)
     return held[:-1].tobytes().decode().split(apart)

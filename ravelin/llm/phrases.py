@@ -17,8 +17,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ravelin.llm.common import ready, shared, written
-from ravelin.llm.fingerprints import Fingerprints, ended, grouped, mixed
-from ravelin.llm.packing import ragged, slices
+from ravelin.llm.fingerprints import Fingerprints, ended, gathered, grouped, mixed
+from ravelin.llm.packing import slices
 
 #: A-Z to a-z (fixed values by rule), bytes that end a piece, bytes that part words.
 LOWER = np.where((np.arange(256) >= 65) & (np.arange(256) <= 90), np.arange(256) + 32, np.arange(256)).astype(np.uint8)
@@ -78,16 +78,15 @@ def reader() -> Reader:
 def texts_of(words: Words, start: np.ndarray, end: np.ndarray) -> pa.Array:
     """Ranges of the buffer as an Arrow column."""
     size = end - start
-    data = words.buffer[ragged(start, size)]
+    data = gathered(words.buffer, start, size)
     return pa.Array.from_buffers(pa.large_string(), len(size), [None, pa.py_buffer(np.append(0, np.cumsum(size))), pa.py_buffer(data)]).cast(pa.string())
 
 
 def distinct(words: Words, langs: list[str], start: np.ndarray, end: np.ndarray, key: np.ndarray, seed: np.ndarray, text: np.ndarray, ids: pa.Array) -> pa.RecordBatch:
-    """A row for each distinct phrase of some ranges: lang, phrase, count, and the text and byte (among its words) of an occurrence."""
+    """A row for each distinct phrase of some ranges: lang, phrase, count, and the id of a text that holds it."""
     first, _, n = grouped(words.buffer, start, end, key, seed)
     own = text[first]
-    begin = words.start[np.searchsorted(words.text, own)]
-    return pa.RecordBatch.from_arrays([pa.array(langs).take(pa.array(own)), texts_of(words, start[first], end[first]), pa.array(n, pa.int64()), ids.take(pa.array(own)), pa.array(start[first] - begin, pa.int64())], names=["lang", "phrase", "f", "doc_id", "at"])
+    return pa.RecordBatch.from_arrays([pa.array(langs).take(pa.array(own)), texts_of(words, start[first], end[first]), pa.array(n, pa.int64()), ids.take(pa.array(own))], names=["lang", "phrase", "f", "doc_id"])
 
 
 def pieces_of(docs: DataFrame, id_column: str, lang_column: str, text_column: str) -> DataFrame:
@@ -100,7 +99,7 @@ def word_counts(rows: DataFrame) -> DataFrame:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         read = reader()
         for batch in batches:
-            for ids, langs, texts in slices(batch, 8000, 4_000_000):
+            for ids, langs, texts in slices(batch, 4000, 1_500_000):
                 langs = langs.to_pylist()
                 w, seed, prefix = read(langs, texts)
                 if len(w):
@@ -166,7 +165,7 @@ def word_keys(words: DataFrame) -> DataFrame:
     return words.select("lang", "phrase").mapInArrow(key, "keys binary")
 
 
-def likely_pairs(rows: DataFrame, frequent: Filter, least: int, buckets: int, held: int = 2_000_000) -> DataFrame:
+def likely_pairs(rows: DataFrame, frequent: Filter, least: int, buckets: int, held: int = 1_000_000) -> DataFrame:
     """(keys): blocks of keys of neighbouring frequent words that may occur ``least`` times; none that does is missing.
 
     A task adds up ``held`` pairs, then sends each bucket's keys (the 32 bits after the bucket's) and counts as two arrays.
@@ -188,7 +187,7 @@ def likely_pairs(rows: DataFrame, frequent: Filter, least: int, buckets: int, he
             return pa.RecordBatch.from_arrays([pa.array(bucket[edge[:-1]], pa.int64()), pa.array([low[a:b].tobytes() for a, b in cut], pa.binary()), pa.array([times[a:b].tobytes() for a, b in cut], pa.binary())], names=["bucket", "low", "times"])
 
         for batch in batches:
-            for _, langs, texts in slices(batch, 8000, 4_000_000):
+            for _, langs, texts in slices(batch, 4000, 1_500_000):
                 w, seed, prefix = read(langs.to_pylist(), texts)
                 if len(w) > 1:
                     known = sent.value.has(read.keys(prefix, w.start, w.end, seed))
@@ -215,13 +214,13 @@ def likely_pairs(rows: DataFrame, frequent: Filter, least: int, buckets: int, he
 
 
 def phrase_counts(rows: DataFrame, pairs: Filter, longest: int) -> DataFrame:
-    """(lang, phrase, f, doc_id, at) of all phrases of 2 to ``longest`` words whose pairs are in the filter, with one occurrence each."""
+    """(lang, phrase, f, doc_id) of all phrases of 2 to ``longest`` words whose pairs are in the filter; doc_id is that of a text that holds it."""
     sent = rows.sparkSession.sparkContext.broadcast(pairs)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         read = reader()
         for batch in batches:
-            for ids, langs, texts in slices(batch, 8000, 4_000_000):
+            for ids, langs, texts in slices(batch, 4000, 1_500_000):
                 langs = langs.to_pylist()
                 w, seed, prefix = read(langs, texts)
                 if len(w) < 2:
@@ -241,12 +240,12 @@ def phrase_counts(rows: DataFrame, pairs: Filter, longest: int) -> DataFrame:
                         yield distinct(w, langs, w.start[same], w.end[same + n - 1], key, seed[same], w.text[same], ids)
 
     kind = rows.schema["doc_id"].dataType.simpleString()
-    found = rows.mapInArrow(count, f"lang string, phrase string, f long, doc_id {kind}, at long")
-    return found.groupBy("lang", "phrase").agg(F.sum("f").alias("f"), F.min(F.struct("doc_id", "at")).alias("where")).select("lang", "phrase", "f", "where.doc_id", "where.at")
+    found = rows.mapInArrow(count, f"lang string, phrase string, f long, doc_id {kind}")
+    return found.groupBy("lang", "phrase").agg(F.sum("f").alias("f"), F.min("doc_id").alias("doc_id"))
 
 
 def frequent_phrases(docs: DataFrame, least: int = 30, longest: int = 4, most_bits: int = 1 << 28, per_bucket: int = 4_000_000, id_column: str = "doc_id", lang_column: str = "lang", text_column: str = "text") -> tuple[DataFrame, DataFrame]:
-    """Words (lang, phrase, f) and frequent phrases of 2 to ``longest`` words with an occurrence (lang, phrase, f, doc_id, at), both written."""
+    """Words (lang, phrase, f) and frequent phrases of 2 to ``longest`` words with an occurrence (lang, phrase, f, doc_id), both written."""
     rows = pieces_of(docs, id_column, lang_column, text_column)
     ready(docs.sparkSession)
     words = written(word_counts(rows))
@@ -260,12 +259,12 @@ def frequent_phrases(docs: DataFrame, least: int = 30, longest: int = 4, most_bi
 
 
 def collocations(docs: DataFrame, least: int = 30, longest: int = 4, first: int = 2000, inside: int = 80, most_bits: int = 1 << 28, id_column: str = "doc_id", lang_column: str = "lang", text_column: str = "text", salts: int = 32) -> DataFrame:
-    """Each language's ``first`` phrases by score: lang, rank, phrase, a, l, r, n, score, doc_id, at.
+    """Each language's ``first`` phrases by score: lang, rank, phrase, a, l, r, n, score, doc_id.
 
     Texts are lower-cased (A-Z), cut into pieces at . , ; : ! ? and line ends, and those into words at spaces and tabs. A phrase of 2 to ``longest`` words with
     a >= ``least`` occurrences is a candidate; of its cuts into a first part (l occurrences) and a rest (r) the one of least floor(2000000 a / (l + r)) counts, the
     earliest among equals; candidates inside a longer one with ``inside`` percent of their occurrences or more are left out. Order: score, a, then the phrase's bytes.
-    doc_id and at show an occurrence: the text's id and the byte where it begins among the text's words, each followed by one space. Null texts are empty, a null language is ``und``;
+    doc_id is that of a text that holds the phrase, a small one. Null texts are empty, a null language is ``und``;
     empty texts and tables give no rows; repeated rows count each; very long texts are read whole, one at a time. Nothing grows with the input in one task: what is
     sent are filters of up to ``most_bits`` bits, and beyond those only more phrases are counted.
     """
@@ -289,5 +288,5 @@ def collocations(docs: DataFrame, least: int = 30, longest: int = 4, first: int
     some = kept.withColumn("salt", F.pmod(F.xxhash64("phrase"), F.lit(salts))).withColumn("rank", F.row_number().over(Window.partitionBy("lang", "salt").orderBy(*order))).where(F.col("rank") <= first)
     best = some.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).where(F.col("rank") <= first).drop("salt")
     total = words.groupBy("lang").agg(F.sum("f").alias("n"))  # a row for each language
-    out = best.join(total, "lang").join(phrases.select("lang", "phrase", "doc_id", "at"), ["lang", "phrase"])
-    return out.select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score", "doc_id", "at")
+    out = best.join(total, "lang").join(phrases.select("lang", "phrase", "doc_id"), ["lang", "phrase"])
+    return out.select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score", "doc_id")

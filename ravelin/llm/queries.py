@@ -80,7 +80,7 @@ def op10_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ravelin.llm.phrases import collocations
 
-    return collocations(table(spark, sf_dir, "documents")).drop("doc_id", "at")
+    return collocations(table(spark, sf_dir, "documents")).drop("doc_id")
 
 
 def op13_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
