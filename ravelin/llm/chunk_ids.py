@@ -27,9 +27,9 @@ KNOWN = "ɐ"
 class Places:
     """Ids of entries end to end in one array that grows; an entry's number gives its (first, number) there."""
 
-    def __init__(self):
+    def __init__(self, kind=np.uint32):
         self.where, self.n = np.zeros((1 << 16, 2), np.int64), 0
-        self.flat, self.used = np.zeros(1 << 18, np.uint32), 0
+        self.flat, self.used = np.zeros(1 << 18, kind), 0
 
     def store(self, ids: np.ndarray, where: np.ndarray) -> np.ndarray:
         while self.used + len(ids) > len(self.flat):

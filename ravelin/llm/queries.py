@@ -83,6 +83,12 @@ def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations(table(spark, sf_dir, "documents")).drop("doc_id")
 
 
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ravelin.llm.token_alignment import align_tokens
+
+    return align_tokens(table(spark, sf_dir, "documents"), tokenizer(BYTE_BPE), tokenizer(PIECE_BPE))
+
+
 def op13_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ravelin.llm.token_store import read_tokens, write_tokens
 
