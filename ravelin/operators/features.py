@@ -7,7 +7,7 @@ from itertools import combinations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ravelin.operators.moments import gram
+from ravelin.operators.gram import wide_correlations
 
 
 def naive_average(objects: DataFrame, features: list[str], by: str = "subject") -> DataFrame:
@@ -16,16 +16,12 @@ def naive_average(objects: DataFrame, features: list[str], by: str = "subject")
 
 
 def correlation_pairs(table: DataFrame, features: list[str], few: int = 24) -> DataFrame:
-    """(i, j, f1, f2, r) for i < j; r is null if a feature is constant. Few features take one aggregate, many one pass of Gram blocks."""
-    spark = table.sparkSession
+    """(i, j, f1, f2, r) for i < j; r is null if a feature is constant. Few features take one aggregate, many one pass of block products."""
     if len(features) <= few:
         flat = lambda a, b: (F.stddev_pop(a) > 0) & (F.stddev_pop(b) > 0)
         rows = [F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.lit(a).alias("f1"), F.lit(b).alias("f2"), F.when(flat(a, b), F.covar_pop(a, b) / F.nullif(F.stddev_pop(a) * F.stddev_pop(b), F.lit(0.0))).alias("r")) for (i, a), (j, b) in combinations(enumerate(features), 2)]
         return table.agg(F.array(*rows).alias("p")).select(F.inline("p"))
-    m = gram(table, features)
-    r = m.correlations()
-    rows = [(i, j, features[i], features[j], None if r[i, j] != r[i, j] else float(r[i, j])) for i, j in combinations(range(len(features)), 2)]
-    return spark.createDataFrame(rows, "i int, j int, f1 string, f2 string, r double")  # as many rows as pairs of columns
+    return wide_correlations(table.select(F.array(*(F.col(f).cast("double") for f in features)).alias("v")), features)
 
 
 def both_orders(pairs: DataFrame) -> DataFrame:
@@ -51,6 +47,11 @@ def most_independent(pairs: DataFrame, n: int = 10) -> DataFrame:
     return ranked(pairs).orderBy("rank").limit(n)
 
 
+def candidate_matrix(pairs: DataFrame, below: float = 0.8) -> DataFrame:
+    """The correlations among the candidates."""
+    return sub_matrix(pairs, candidates(pairs, below))
+
+
 def sub_matrix(pairs: DataFrame, features: DataFrame) -> DataFrame:
     """Pairs of which both are among ``features``."""
     own = features.select("feature")
@@ -59,11 +60,16 @@ def sub_matrix(pairs: DataFrame, features: DataFrame) -> DataFrame:
 
 def prune(pairs: DataFrame, features: list[str], above: float = 0.95) -> tuple[list[str], list[str]]:
     """Drop, again and again, the feature in most pairs beyond ``above`` (the first among equals): what stays, what went."""
-    bad = {(r.i, r.j) for r in pairs.where(F.abs("r") > above).select("i", "j").collect()}  # pairs of columns
+    beside: dict[int, set[int]] = {}
+    for r in pairs.where(F.abs("r") > above).select("i", "j").toLocalIterator():  # pairs beyond the threshold only
+        beside.setdefault(r.i, set()).add(r.j)
+        beside.setdefault(r.j, set()).add(r.i)
     gone: list[int] = []
-    while bad:
-        times = [sum(k in p for p in bad) for k in range(len(features))]
-        worst = times.index(max(times))
+    while beside:
+        worst = min(beside, key=lambda k: (-len(beside[k]), k))
         gone.append(worst)
-        bad = {p for p in bad if worst not in p}
-    return [f for k, f in enumerate(features) if k not in gone], [features[k] for k in gone]
+        for other in beside.pop(worst):
+            beside[other].discard(worst)
+            if not beside[other]:
+                del beside[other]
+    return [f for k, f in enumerate(features) if k not in set(gone)], [features[k] for k in gone]

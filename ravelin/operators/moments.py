@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ravelin.runtime import added, ready
@@ -49,6 +49,11 @@ class Moments:
         s[s <= 1e-12 * np.maximum(1, np.abs(self.mean))] = np.nan
         return c / np.outer(s, s)
 
+    def picked(self, columns: list[int] | np.ndarray) -> Moments:
+        """Moments of some of the columns, in the given order."""
+        at = np.asarray(columns, int)
+        return Moments(self.n, self.sums[at], self.cross[np.ix_(at, at)], self.shift[at])
+
     def mapped(self, w: np.ndarray) -> Moments:
         """Moments of columns multiplied by w (new = w old)."""
         return Moments(self.n, w @ self.sums, w @ self.cross @ w.T, w @ self.shift)
@@ -103,3 +108,40 @@ def fold_moments(table: DataFrame, columns: list[str], fold: str | None = None)
 def gram(table: DataFrame, columns: list[str]) -> Moments:
     d = len(columns)
     return fold_moments(table, columns).get(0, Moments(0, np.zeros(d), np.zeros((d, d)), np.zeros(d)))
+
+
+def fold_set_moments(table: DataFrame, columns: list[str], folds: list[Column]) -> list[dict[int, Moments]]:
+    """Moments by fold for each of several ways to deal the rows over folds, from one pass over the rows.
+
+    A task adds up a matrix for each fold of each way; rows are not copied. Rows with a null in any column have no part.
+    """
+    ready(table.sparkSession)
+    d = len(columns)
+    own = table.select(*(F.col(c).cast("double").alias(f"c{k}") for k, c in enumerate(columns)), F.array(*(f.cast("int") for f in folds)).alias("folds")).na.drop()
+    means = own.agg(*(F.avg(c) for c in own.columns[:-1])).first()
+    shift = np.array([m or 0.0 for m in means])
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[tuple[int, int], np.ndarray] = {}
+        for b in batches:
+            if not b.num_rows:
+                continue
+            x = np.column_stack([*(c.to_numpy(zero_copy_only=False) for c in b.columns[:-1]), np.ones(b.num_rows)]) - np.append(shift, 0)
+            at = b.column(d).flatten().to_numpy().reshape(b.num_rows, -1)
+            for way in range(at.shape[1]):
+                order = np.argsort(at[:, way], kind="stable")
+                edge = np.append(np.flatnonzero(np.diff(at[order, way], prepend=at[order[0], way] - 1)), len(order))
+                for s, e in zip(edge[:-1], edge[1:]):
+                    part = x[order[s:e]]
+                    key = way, int(at[order[s], way])
+                    sums[key] = sums.get(key, 0) + part.T @ part
+        rows = [(w, k, i, m[i].tobytes()) for (w, k), m in sums.items() for i in range(d + 1)]
+        if rows:
+            way, fold, i, data = zip(*rows)
+            yield pa.RecordBatch.from_arrays([pa.array(way, pa.int32()), pa.array(fold, pa.int32()), pa.array(i, pa.int32()), pa.array(data, pa.binary())], names=["way", "fold", "i", "row"])
+
+    rows = added(own.mapInArrow(partial, "way int, fold int, i int, row binary"), ["way", "fold", "i"], "row").collect()
+    by: dict[int, list] = {w: [] for w in range(len(folds))}
+    for r in rows:
+        by[r.way].append((r.fold, r.i, r.row))
+    return [gathered(by[w], shift) for w in range(len(folds))]

@@ -11,6 +11,8 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ravelin.functions.noise import noisy
+from ravelin.operators.medians import exact_median
 from ravelin.operators.moments import Moments
 from ravelin.operators.solvers import alternating, coefficients, error, group_lasso, lasso
 from ravelin.runtime import cut
@@ -56,6 +58,11 @@ def bootstrap(table: DataFrame, key: str, reps: int = 1, seed: int = 42) -> Data
     return draws.join(rows, "place").drop("place")
 
 
+def noisy_bootstrap(table: DataFrame, key: str, x: str, sigma: float, reps: int = 1, seed: int = 42) -> DataFrame:
+    """As bootstrap, with normal noise of deviation ``sigma`` on every entry of the array ``x``: another for each draw, the same for any partitions."""
+    return bootstrap(table, key, reps, seed).withColumn(x, noisy(F.col(x), sigma, seed + 1, F.col("rep"), F.col("draw")))
+
+
 def split(table: DataFrame, key: str, share: float = 0.2, seed: int = 42) -> DataFrame:
     """Column ``test``: true for max(1, round(n share)) rows of least draw, ties by key. Rows of one key may fall on both sides after a bootstrap; split
     before it to keep them together."""
@@ -73,25 +80,30 @@ def cross_validated(folds: dict[int, Moments], grid: np.ndarray, fit: Fit, centr
     return np.array([np.mean([error(m, fit(total - m, lam), centred) for m in folds.values()]) for lam in grid])
 
 
-def cross_validation(spark: SparkSession, folds: dict[int, Moments], grid: np.ndarray, fit: Fit, centred: bool = True) -> tuple[np.ndarray, list[np.ndarray]]:
-    """As cross_validated, a Spark task for each penalty and fold; and the refit on all folds of each penalty. Moments have the tensor's size."""
-    keys, total = list(folds), sum(list(folds.values())[1:], list(folds.values())[0])
-    held = spark.sparkContext.broadcast((folds, total))
-    n = len(keys) + 1
+def cross_validation(spark: SparkSession, folds: dict[int, Moments] | list[dict[int, Moments]], grid: np.ndarray, fit: Fit, centred: bool = True) -> tuple[np.ndarray, list[np.ndarray]]:
+    """As cross_validated, a Spark task for each penalty and fold; and the refit on all folds of each penalty. Moments have the tensor's size.
+
+    A list gives each penalty folds of its own, over the same rows.
+    """
+    sets = folds if isinstance(folds, list) else [folds] * len(grid)
+    totals = [sum(list(f.values())[1:], list(f.values())[0]) for f in sets]
+    jobs = [(j, k) for j, f in enumerate(sets) for k in (*f, None)]
+    held = spark.sparkContext.broadcast((folds if isinstance(folds, list) else [folds], totals if isinstance(folds, list) else totals[:1]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        folds_, total_ = held.value
+        sets_, totals_ = held.value
         for b in batches:
             for i in b.column(0).to_pylist():
-                lam, k = float(grid[i // n]), i % n
-                beta = fit(total_ if k == len(keys) else total_ - folds_[keys[k]], lam)
-                e = 0.0 if k == len(keys) else error(folds_[keys[k]], beta, centred)
+                j, k = jobs[i]
+                own, total = sets_[min(j, len(sets_) - 1)], totals_[min(j, len(totals_) - 1)]
+                beta = fit(total if k is None else total - own[k], float(grid[j]))
+                e = 0.0 if k is None else error(own[k], beta, centred)
                 yield pa.RecordBatch.from_arrays([pa.array([i]), pa.array([float(e)]), pa.array([[float(v) for v in beta]], pa.list_(pa.float64()))], names=["id", "e", "beta"])
 
-    tasks = spark.range(0, len(grid) * n, 1, min(len(grid) * n, 4 * spark.sparkContext.defaultParallelism))
-    rows = sorted(tasks.mapInArrow(run, "id long, e double, beta array<double>").collect())
-    errors = np.array([np.mean([r.e for r in rows[j * n : j * n + n - 1]]) for j in range(len(grid))])
-    return errors, [np.array(rows[j * n + n - 1].beta) for j in range(len(grid))]
+    tasks = spark.range(0, len(jobs), 1, max(1, min(len(jobs), 4 * spark.sparkContext.defaultParallelism)))
+    rows = {r.id: r for r in tasks.mapInArrow(run, "id long, e double, beta array<double>").collect()}
+    errors = np.array([np.mean([rows[i].e for i, (own, k) in enumerate(jobs) if own == j and k is not None]) for j in range(len(grid))])
+    return errors, [np.array(rows[i].beta) for i, (_, k) in enumerate(jobs) if k is None]
 
 
 def centred_prediction(design: DataFrame, coefficients: list[float], x: str = "x", y: str = "y") -> DataFrame:
@@ -118,9 +130,8 @@ def fit_alternating(modes: dict[str, np.ndarray], compat: bool = False) -> Fit:
 
 def best_restart(m: Moments, modes: dict[str, np.ndarray], lam: float, restarts: int = 3, seed: int = 42, compat: bool = False) -> dict[str, np.ndarray]:
     """Of random starts, the fit of least training error; the first among equals."""
-    rng, best, least = np.random.default_rng(seed), None, np.inf
-    for _ in range(restarts):
-        start = {k: rng.uniform(-1, 1, x.max() + 1) if k == "j" else rng.dirichlet(np.ones(x.max() + 1)) for k, x in modes.items()}
+    best, least = None, np.inf
+    for start in starts(modes, restarts, seed):
         v = alternating(m, modes, lam, start, compat=compat)
         e = error(m, coefficients(v, modes))
         if best is None or e < least:
@@ -128,6 +139,27 @@ def best_restart(m: Moments, modes: dict[str, np.ndarray], lam: float, restarts:
     return best
 
 
+def starts(modes: dict[str, np.ndarray], n: int, seed: int) -> list[dict[str, np.ndarray]]:
+    """Random starts: uniform entries for j, weights that add up to 1 for the other modes."""
+    rng = np.random.default_rng(seed)
+    return [{k: rng.uniform(-1, 1, x.max() + 1) if k == "j" else rng.dirichlet(np.ones(x.max() + 1)) for k, x in modes.items()} for _ in range(n)]
+
+
+def restarts(spark: SparkSession, m: Moments, modes: dict[str, np.ndarray], lam: float, n: int = 3, seed: int = 42, compat: bool = False) -> dict[str, np.ndarray]:
+    """As best_restart, a Spark task for each start."""
+    held = spark.sparkContext.broadcast(m)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in b.column(0).to_pylist():
+                v = alternating(held.value, modes, lam, starts(modes, n, seed)[i], compat=compat)
+                yield pa.RecordBatch.from_arrays([pa.array([i]), pa.array([error(held.value, coefficients(v, modes))]), pa.array([[v[k].tolist() for k in modes]], pa.list_(pa.list_(pa.float64())))], names=["id", "e", "v"])
+
+    rows = spark.range(0, n, 1, n).mapInArrow(run, "id long, e double, v array<array<double>>").collect()
+    best = min(rows, key=lambda r: (r.e, r.id))
+    return {k: np.array(x) for k, x in zip(modes, best.v)}
+
+
 def least(errors: np.ndarray) -> int:
     return int(np.argmin(errors))
 
@@ -170,7 +202,20 @@ def selection_metrics(fits: DataFrame, by: list[str], tiny: float = 1e-6) -> Dat
     return joined
 
 
-def metric_summary(values: DataFrame, by: list[str], value: str = "value") -> DataFrame:
-    """Mean and median of the values that are numbers."""
+def metric_summary(values: DataFrame, by: list[str], value: str = "value", limit: int = 1_000_000) -> DataFrame:
+    """Number, mean and median of the values that are numbers; medians are exact for groups of any size."""
     real = F.when(~F.isnan(value), F.col(value))
-    return values.groupBy(*by).agg(F.count(real).alias("n"), F.avg(real).alias("mean"), F.median(real).alias("median"))
+    means = values.groupBy(*by).agg(F.count(real).alias("_count"), F.avg(real).alias("_mean"))
+    middle = exact_median(values, by, value, limit).select(*(F.col(c).alias(f"_{c}_") for c in by), "median")
+    joined = means.join(middle, [F.col(c).eqNullSafe(F.col(f"_{c}_")) for c in by], "left")
+    return joined.select(*by, F.col("_count").alias("n"), F.col("_mean").alias("mean"), "median")
+
+
+def nonzero_features(coefficients: DataFrame, tiny: float = 0.0) -> DataFrame:
+    """Features (j) of which any coefficient (g, j, s, coef) is beyond ``tiny``."""
+    return coefficients.groupBy("j").agg(F.max(F.abs("coef")).alias("top")).where(F.col("top") > tiny).select("j")
+
+
+def arithmetic_grid(first: float, last: float, step: float) -> np.ndarray:
+    """first, first + step, ... below last."""
+    return first + step * np.arange(max(0, int(np.ceil(round((last - first) / step, 9)))))

@@ -47,8 +47,10 @@ def lasso(m: Moments, lam: float, sweeps: int = 100_000, tol: float = 1e-10) ->
 
 
 def least_squares(m: Moments) -> tuple[float, np.ndarray]:
-    """Intercept and coefficients of least norm."""
+    """Intercept and coefficients of least norm; NaN where the moments hold what is no number."""
     a, c = _centred(m)
+    if not (np.isfinite(a).all() and np.isfinite(c).all()):
+        return float("nan"), np.full(len(c), np.nan)
     b = np.linalg.lstsq(a, c, rcond=None)[0]
     return float(m.mean[-1] - b @ m.mean[:-1]), b
 
@@ -119,7 +121,7 @@ def _onto(mode: np.ndarray, weights: np.ndarray) -> np.ndarray:
 def alternating(m: Moments, modes: dict[str, np.ndarray], lam: float, start: dict[str, np.ndarray], sparse: str = "j", rounds: int = 50, tol: float = 0.01, compat: bool = False) -> dict[str, np.ndarray]:
     """Rank-one coefficients: a vector for each mode, of which ``sparse`` is a lasso and the others least squares in turn.
 
-    Vectors are L1-normalized; entries under 0.001 are set to zero. The scale, with its sign, goes to the first mode that is not sparse.
+    Iterates that are no numbers end the rounds; the vectors before them are the result. Vectors are L1-normalized; entries under 0.001 are set to zero. The scale, with its sign, goes to the first mode that is not sparse.
     With ``compat`` the scale is the last one measured for that mode, without its sign, and the last least-squares vector of three
     modes stays as it is fitted.
     """
@@ -133,10 +135,15 @@ def alternating(m: Moments, modes: dict[str, np.ndarray], lam: float, start: dic
         whole = product()
         size = float(np.prod([np.abs(v[k]).sum() for k in others]))
         v[sparse] = signed(lasso(m.mapped(_onto(modes[sparse], product(sparse))), lam * size))[0]
+        if not np.isfinite(v[sparse]).all():
+            v = old
+            break
         if not np.abs(v[sparse]).max() > 0:
             break
         for n, k in enumerate(others):
             fitted = least_squares(m.mapped(_onto(modes[k], product(k))))[1]
+            if not np.isfinite(fitted).all():
+                break
             if compat and n and n == len(others) - 1:
                 v[k] = fitted
                 continue
@@ -145,6 +152,11 @@ def alternating(m: Moments, modes: dict[str, np.ndarray], lam: float, start: dic
                 scale = factor
             elif n == 0:
                 scale = abs(factor)
+        else:
+            fitted = v[sparse]
+        if not np.isfinite(fitted).all():  # the last vectors that are numbers count
+            v = old
+            break
         if len(modes) == 2:
             moved = np.linalg.norm(product() - whole)
         else:

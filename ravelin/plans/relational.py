@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ravelin.functions import arrays, keys
 from ravelin.operators import features as screen
 from ravelin.operators import selection, tensors
-from ravelin.runtime import table
+from ravelin.runtime import small, table
 from ravelin.sources import views
 from ravelin.sources.slides import missing_settings as missing
 
@@ -268,7 +268,7 @@ def metric_summary(spark: SparkSession, sf: str) -> DataFrame:
 def missing_settings(spark: SparkSession, sf: str) -> DataFrame:
     """Brand and size settings that no large order line has."""
     p = table(spark, sf, "part")
-    grid = p.select("p_brand").distinct().crossJoin(F.broadcast(p.select("p_size").distinct()))  # dimensions of the grid
+    grid = p.select("p_brand").distinct().crossJoin(small(p.select("p_size").distinct()))  # dimensions of the grid
     done = table(spark, sf, "lineitem").where("l_quantity >= 50").join(p, F.col("l_partkey") == F.col("p_partkey"))
     return missing(grid, done, ["p_brand", "p_size"])
 

@@ -66,7 +66,7 @@ def _alternating(spark: SparkSession, sf: str, modes: dict[str, np.ndarray], res
     grid = np.geomspace(1e-4, 1.0, 15) * total.covariance[-1, -1] ** 0.5
     errors, _ = selection.cross_validation(spark, folds, grid, selection.fit_alternating(modes))
     lam = float(grid[selection.least(errors)])
-    v = selection.best_restart(total, modes, lam)
+    v = selection.restarts(spark, total, modes, lam)
     mse = solvers.error(total, solvers.coefficients(v, modes))
     rows = [(m, k, float(x), lam, float(errors.min()), mse) for m, vec in v.items() for k, x in enumerate(vec)]
     return spark.createDataFrame(rows, "mode string, k int, coef double, lam double, cv_mse double, train_mse double")
@@ -93,7 +93,7 @@ def two_mode_lasso(spark: SparkSession, sf: str) -> DataFrame:
     grid = np.geomspace(1e-4, 1.0, 15) * total.covariance[-1, -1] ** 0.5
     errors, _ = selection.cross_validation(spark, folds, grid, selection.fit_alternating(modes))
     lam = float(grid[selection.least(errors)])
-    v = selection.best_restart(total, modes, lam)
+    v = selection.restarts(spark, total, modes, lam)
     shift = float(total.mean[-1] - solvers.coefficients(v, modes) @ total.mean[:-1])
     rows = [(mode, k, float(x), lam, float(errors.min()), shift) for mode, vec in v.items() for k, x in enumerate(vec)]
     return spark.createDataFrame(rows, "mode string, k int, coef double, lam double, cv_mse double, intercept double")

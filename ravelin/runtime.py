@@ -50,6 +50,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return ready(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def small(df: DataFrame, most: int = 100_000) -> DataFrame:
+    """A table marked for broadcast if it has ``most`` rows at most; else as it is, so that joins shuffle it."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
 def added(rows: DataFrame, keys: list[str], column: str) -> DataFrame:
     """Sums of arrays of doubles (binary ``column``) by ``keys``, in two steps: no group gathers more than some root of the tasks' rows."""
 

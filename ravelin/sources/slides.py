@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
-import re
-import zipfile
-from collections.abc import Iterator
+import itertools
+from collections.abc import Callable, Iterator
 from io import BytesIO
-from xml.etree import ElementTree
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ravelin.functions.keys import subject_key
+from ravelin.runtime import ready, small
+from ravelin.sources.workbooks import columns_of, register, sheet_rows
 
 
 def keep_cortex(objects: DataFrame, flag: str = "In Medulla", drop: tuple[str, ...] = ()) -> DataFrame:
@@ -33,13 +34,14 @@ def load_slides(spark: SparkSession, base: str, kind: str = "parquet", schema: s
 
     Folders without a file of that kind are passed over. NaN becomes null, so that means skip it.
     """
+    ready(spark)
     where = f"{base}/*{marker}*/"
     if kind == "xlsx":
         if schema is None:
             raise ValueError("workbooks need a schema")
         # The marker is in the pattern of folders: other folders' workbooks are not listed, read or parsed.
-        raw = spark.read.format("binaryFile").option("pathGlobFilter", "*.xlsx").load(where).select("path", "content")
-        objects = read_workbooks(raw, schema)
+        register(spark)
+        objects = spark.read.format("workbooks").schema(f"{schema}, path string").option("marker", marker).load(base)
     else:
         reader = spark.read.option("pathGlobFilter", f"*.{kind}")
         reader = reader.schema(schema) if schema else reader
@@ -49,50 +51,19 @@ def load_slides(spark: SparkSession, base: str, kind: str = "parquet", schema: s
     return keep_cortex(_located(objects.withColumns(reals), marker), drop=drop)
 
 
-def sheet_rows(content: bytes) -> Iterator[dict[str, str]]:
-    """Rows of a workbook's first sheet by the names in its first row."""
-    space = {"m": "http://schemas.openxmlformats.org/spreadsheetml/2006/main"}
-    with zipfile.ZipFile(BytesIO(content)) as z:
-        names = z.namelist()
-        shared = []
-        if "xl/sharedStrings.xml" in names:
-            shared = ["".join(t.text or "" for t in s.iter(f"{{{space['m']}}}t")) for s in ElementTree.fromstring(z.read("xl/sharedStrings.xml")).findall("m:si", space)]
-        sheet = min((n for n in names if re.fullmatch(r"xl/worksheets/sheet\d+\.xml", n)), key=lambda n: int(re.search(r"(\d+)\.xml", n)[1]))
-        head: dict[str, str] | None = None
-        for row in ElementTree.fromstring(z.read(sheet)).iter(f"{{{space['m']}}}row"):
-            cells = {}
-            for c in row.findall("m:c", space):
-                value = c.findtext("m:v", namespaces=space)
-                if c.get("t") == "s" and value is not None:
-                    value = shared[int(value)]
-                elif c.get("t") == "inlineStr":
-                    value = "".join(t.text or "" for t in c.iter(f"{{{space['m']}}}t"))
-                cells[re.match("[A-Z]+", c.get("r"))[0]] = value
-            if head is None:
-                head = {k: v for k, v in cells.items() if v}
-            elif cells:
-                yield {name: cells.get(k) for k, name in head.items()}
-
-
 def read_workbooks(files: DataFrame, schema: str) -> DataFrame:
-    """One row for each sheet row of each file (path, content); columns absent from a sheet are null."""
+    """One row for each sheet row of each file (path, content), for stores that only Spark opens; columns absent from a sheet are null."""
     kinds = T.StructType.fromDDL(schema)
+    whole = T.StructType([*kinds, T.StructField("path", T.StringType())])
 
-    def rows(batches):
-        import pandas as pd
-
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for path, content in zip(b.path, b.content):
-                got = pd.DataFrame(list(sheet_rows(content)), columns=kinds.fieldNames(), dtype=object)
-                for f in kinds:
-                    if not isinstance(f.dataType, T.StringType):
-                        got[f.name] = pd.to_numeric(got[f.name], errors="coerce")
-                        if isinstance(f.dataType, (T.IntegerType, T.LongType)):
-                            got[f.name] = got[f.name].astype("Int64")
-                got["path"] = path
-                yield got
+            for path, content in zip(*(c.to_pylist() for c in b.columns)):
+                found = ([*r, path] for r in sheet_rows(BytesIO(content), kinds.fieldNames()))
+                while part := list(itertools.islice(found, 10_000)):
+                    yield columns_of(part, whole)
 
-    return files.mapInPandas(rows, T.StructType([*kinds, T.StructField("path", T.StringType())]))
+    return files.select("path", "content").mapInArrow(rows, whole)
 
 
 def load_outcomes(spark: SparkSession, path: str, name: str, value: str) -> DataFrame:
@@ -120,12 +91,30 @@ def save_correlations(pairs: DataFrame, names: list[str], path: str) -> None:
 
 def missing_settings(grid: DataFrame, results: DataFrame, keys: list[str]) -> DataFrame:
     """Settings of the grid without results."""
-    return grid.select(*keys).distinct().join(results.select(*keys).distinct(), keys, "left_anti")
+    return grid.select(*keys).distinct().join(small(results.select(*keys).distinct()), keys, "left_anti")
 
 
 def save_results(results: DataFrame, path: str, setting: list[str]) -> None:
-    """Long results of a study (setting columns, rep, estimator, metric, value), a folder for each setting."""
-    results.write.mode("overwrite").partitionBy(*setting).parquet(path)
+    """Long results of a study (setting columns, rep, estimator, metric, value), a folder for each setting: those of the results are replaced, others stay."""
+    results.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*setting).parquet(path)
+
+
+def run_missing(spark: SparkSession, path: str, grid: DataFrame, setting: list[str], study: Callable[[DataFrame], DataFrame]) -> int:
+    """Run a study for the settings of a grid that have no stored results, and add its results to them: how many settings were run."""
+    lacking = grid.select(*setting).distinct() if not _exists(spark, path) else load_results(spark, path, grid, setting)[1]
+    n = lacking.count()
+    if n:
+        save_results(study(lacking), path, setting)
+    return n
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    from pyspark.errors import AnalysisException
+
+    try:
+        return bool(spark.read.parquet(path).columns)
+    except AnalysisException:  # no folder yet, or none with results
+        return False
 
 
 def load_results(spark: SparkSession, path: str, grid: DataFrame, setting: list[str]) -> tuple[DataFrame, DataFrame]:

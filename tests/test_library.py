@@ -46,9 +46,31 @@ def test_query_against_sql(spark, duck, name):
         assert all(u == v or isinstance(u, float) and abs(u - v) <= 1e-4 * max(1, abs(v)) for u, v in zip(x, y))
 
 
-@pytest.mark.parametrize("name", sorted(set(catalog.queries()) - set(catalog.oracle_sql()) - {"simulation_grid"}))
-def test_study_runs(spark, name):
-    assert catalog.queries()[name](spark, "/root/testdata/sf0.01").count() > 0
+def test_mixture_study(spark):
+    """Sizes, shares and means of the labelled objects, put together again, are those of the objects."""
+    from ravelin.sources import views
+
+    got = catalog.queries()["mixture_fit"](spark, SF).toPandas()
+    objects = views.dense_objects(spark, SF).where("excluded = 0").toPandas()
+    assert got.n.sum() == len(objects) and np.allclose(got.w1 + got.w2, 1) and 0 < (got.n * got.w1).sum() < len(objects)
+    for f in ("quantity", "price", "discount", "tax"):
+        want = objects.groupby(["subject", "slide"])[f].mean()
+        own = got.set_index(["subject", "slide"])
+        assert np.allclose((own[f"weighted1_{f}"] + own[f"weighted2_{f}"])[want.index], want)
+
+
+def test_threshold_search(spark):
+    from ravelin.sources import views
+
+    got = catalog.queries()["mixture_threshold_search"](spark, SF).toPandas()
+    wide = views.wide_features(spark, SF).toPandas().drop(columns=["subject", "label"])
+    r = np.triu(np.abs(np.corrcoef(wide.to_numpy().T)), 1) > got.threshold[0]
+    left, gone = {(i, j) for i, j in zip(*np.nonzero(r))}, []
+    while left:
+        times = [sum(k in p for p in left) for k in range(wide.shape[1])]
+        gone.append(times.index(max(times)))
+        left = {p for p in left if gone[-1] not in p}
+    assert {f for f, kept in zip(got.feature, got.kept) if not kept} == {wide.columns[k] for k in gone} and list(got.feature) == list(wide.columns) and got.log_likelihood.nunique() == 1
 
 
 def test_entry(spark):
