@@ -38,3 +38,8 @@ def block_soft(block: Column, by: Column) -> Column:
 def guarded(x: Column, least: float = 1e-10) -> Column:
     """A denominator, or 1 where it is tiny."""
     return F.when(x > least, x).otherwise(1.0)
+
+
+def half_even(x: Column, digits: int = 0) -> Column:
+    """Rounded to the nearest, halves to the even neighbour: 2.5 is 2."""
+    return F.bround(x, digits)

@@ -43,6 +43,14 @@ def numbered(table: DataFrame, *order: str) -> DataFrame:
     return laid.mapInArrow(number, f"{kinds}, place long")
 
 
+def section_breaks(table: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """Column ``new_section``: whether a row's keys differ from those of the row before it in the order; the first row begins one. Nulls equal nulls."""
+    rows = numbered(table, *order)
+    before = rows.select((F.col("place") + 1).alias("place"), F.struct(*keys).alias("_before"))
+    same = F.col("_before").isNotNull() & F.struct(*keys).eqNullSafe(F.col("_before"))
+    return rows.join(before, "place", "left").withColumn("new_section", ~same).drop("_before")
+
+
 def block_folds(table: DataFrame, *order: str, k: int = 5) -> DataFrame:
     """Runs of n div k rows in their order; the last fold takes what is over."""
     n = table.count()

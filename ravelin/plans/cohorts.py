@@ -49,13 +49,13 @@ def all_slide_tensors(spark: SparkSession, sf: str) -> DataFrame:
     """Dense tensors as long as the subject of most slides asks for; what a subject lacks is zero."""
     slides = _many_slides(spark, sf)
     x = tensors.packed(slides, ["total"], CLUSTERS, most=tensors.slide_count(slides))
-    return rounded(x.select("subject", F.posexplode("x").alias("k", "value")), "value", n=4)
+    return rounded(x.select("subject", F.posexplode("x").alias("k", "value")), "value")
 
 
 def ragged_tensors(spark: SparkSession, sf: str) -> DataFrame:
     """Each subject's tensor with its own number of slides."""
     x = tensors.packed(_many_slides(spark, sf), ["total"], CLUSTERS, most=None)
-    return rounded(x.select("subject", "n_slides", F.posexplode("x").alias("k", "value")), "value", n=4)
+    return rounded(x.select("subject", "n_slides", F.posexplode("x").alias("k", "value")), "value")
 
 
 def two_mode_contraction(spark: SparkSession, sf: str) -> DataFrame:
@@ -126,6 +126,18 @@ def normalized_coefficients(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(fits.selected(one.withColumn("fit", F.lit("gradient"))).select("feature", "normalized"), "normalized", n=5)
 
 
+def section_breaks(spark: SparkSession, sf: str) -> DataFrame:
+    """The table of brands and sizes with their parts, and where a new brand begins."""
+    p = table(spark, sf, "part").groupBy("p_brand", "p_size").agg(F.count("*").alias("n"))
+    return selection.section_breaks(p, ["p_brand"], ["p_brand", "p_size"]).withColumn("n", F.col("n").cast("long"))
+
+
+def rounded_shares(spark: SparkSession, sf: str) -> DataFrame:
+    """Objects of each slide that a share of an eighth takes, halves to the even number."""
+    s = tensors.slide_statistics(views.sparse_objects(spark, sf), ["total"])
+    return s.select("subject", "slide", arrays.half_even(F.col("n") / 8.0).cast("int").alias("taken"), arrays.half_even(F.col("n") / 8.0, 2).alias("eighth"))
+
+
 def group_lasso_uncentred(spark: SparkSession, sf: str) -> DataFrame:
     """Penalties by the error of predictions with the fit's own intercept, neither side centred by the test rows; the spread rule chooses."""
     folds = moments_of(selection.hash_folds(design(spark, sf), "subject"), len(MODES["j"]))
@@ -280,6 +292,8 @@ def oracle_sql() -> dict[str, str]:
         "fold_errors": f"WITH {price} SELECT fold, count(*) AS n, round(avg((y - y_hat) * (y - y_hat)), 2) AS mse FROM hat GROUP BY 1",
         "exact_medians": "SELECT l_linestatus, round(median(l_extendedprice), 4) AS median FROM lineitem GROUP BY 1",
         "clustering_summary": f"WITH {o.DENSE} " + " UNION ALL ".join([count("subjects", "count(DISTINCT subject)"), count("slides", "count(DISTINCT (subject, slide))"), count("objects", "count(*)"), *(count(f"cluster {g}", f"count(*) FILTER (WHERE label = {g})") for g in (1, 2)), *(count(f"share {g}", f"round((count(*) FILTER (WHERE label = {g})) / count(*), 6)") for g in (1, 2)), "SELECT 'subjects of slides ' || n, CAST(count(*) AS DOUBLE) FROM (SELECT count(DISTINCT slide) AS n FROM obj GROUP BY subject) GROUP BY n"]),
+        "section_breaks": "WITH p AS (SELECT p_brand, p_size, count(*) AS n FROM part GROUP BY 1, 2) SELECT p_brand, p_size, n, row_number() OVER w - 1 AS place, coalesce(lag(p_brand) OVER w <> p_brand, true) AS new_section FROM p WINDOW w AS (ORDER BY p_brand, p_size)",
+        "rounded_shares": f"WITH {o.SPARSE}, st AS (SELECT subject, slide, count(*) AS n FROM obj GROUP BY 1, 2) SELECT subject, slide, CAST(round_even(n / 8.0, 0) AS INT) AS taken, round_even(n / 8.0, 2) AS eighth FROM st",
         "nonzero_features": f"WITH {o.GRAD} SELECT j FROM gr GROUP BY j HAVING max(abs(grad)) > 20",
         "tau_on_norms": f"WITH {o.GRAD}, {o.RESID}, tau AS (SELECT stddev_samp(r) * sqrt(2 * ln(40.0) / count(r)) AS tau FROM res) SELECT j, round(CASE WHEN norm < tau THEN 0.0 ELSE mean END, 4) AS beta FROM nm, tau",
         "normalized_coefficients": f"WITH {o.GRAD}, sz AS (SELECT sum(abs(mean)) AS size, arg_max(sign(mean), abs(mean)) AS side FROM nm WHERE abs(mean) > 1e-6) SELECT CAST(j AS VARCHAR) AS feature, round(mean / size * side, 5) AS normalized FROM nm, sz WHERE abs(mean) > 1e-6",

@@ -65,7 +65,7 @@ def oracle_sql() -> dict[str, str]:
         "kronecker": f"WITH {DENSE}, t AS (SELECT subject, slide, avg(CASE WHEN label = 1 THEN 1.0 ELSE 0.0 END) AS w1, avg(CASE WHEN label = 2 THEN 1.0 ELSE 0.0 END) AS w2, sum(CASE WHEN label = 1 THEN tax ELSE 0 END) / count(tax) AS t1, sum(CASE WHEN label = 2 THEN tax ELSE 0 END) / count(tax) AS t2 FROM obj GROUP BY 1, 2) " + " UNION ALL ".join(f"SELECT subject, slide, {2 * a + b} AS k, round(w{a + 1} * t{b + 1}, 6) AS value FROM t" for a in (0, 1) for b in (0, 1)),
         "l1_normalize": f"WITH {NAIVE}, v AS (SELECT subject, abs(quantity) + abs(discount) + abs(tax) AS l, CASE WHEN abs(quantity) >= abs(discount) AND abs(quantity) >= abs(tax) THEN sign(-quantity) WHEN abs(discount) >= abs(tax) THEN sign(discount) ELSE sign(tax) END AS sg, quantity, discount, tax FROM av) " + " UNION ALL ".join(f"SELECT subject, {k} AS k, round({f} * sg / l, 6) AS value FROM v" for k, f in enumerate(("-quantity", "discount", "tax"))),
         "simple_ols": f"WITH {SLOPES} SELECT nation, j, n, round(slope, 3) AS slope, round(my - slope * mx, 2) AS intercept FROM sl",
-        "hard_threshold_variants": f"WITH {GRAD}, c AS (SELECT unnest([0.001, 0.01, 50.0]) AS thr) SELECT j, CAST(thr AS DOUBLE) AS thr, 'raw' AS kind, round(CASE WHEN abs(mean) < thr THEN 0.0 ELSE mean END, 4) AS beta FROM nm, c UNION ALL SELECT j, CAST(thr AS DOUBLE), 'norm', round(CASE WHEN norm < thr THEN 0.0 ELSE mean END, 4) FROM nm, c",
+        "hard_threshold_variants": f"WITH {GRAD}, c AS (SELECT unnest([0.001, 0.01, 0.02, 50.0]) AS thr) SELECT j, CAST(thr AS DOUBLE) AS thr, 'raw' AS kind, round(CASE WHEN abs(mean) < thr THEN 0.0 ELSE mean END, 4) AS beta FROM nm, c UNION ALL SELECT j, CAST(thr AS DOUBLE), 'norm', round(CASE WHEN norm < thr THEN 0.0 ELSE mean END, 4) FROM nm, c",
         "adaptive_threshold": f"WITH {RESID} SELECT l_returnflag, round(stddev_samp(r) * sqrt(2 * ln(40.0) / count(r)), 5) AS tau FROM res GROUP BY 1",
         "selection_metrics": f"WITH {SLOPES}, t AS (SELECT j, CASE WHEN abs(avg(slope)) > 10 THEN avg(slope) ELSE 0 END AS truth FROM sl GROUP BY j), ft AS (SELECT nation, CASE WHEN abs(slope) > 10 THEN slope ELSE 0 END AS beta, truth FROM sl JOIN t ON t.j = sl.j), sm AS (SELECT nation, sum(abs(beta)) AS sb, sum(abs(truth)) AS st FROM ft GROUP BY 1) SELECT ft.nation, round(coalesce(avg(CASE WHEN abs(truth) > 1e-6 THEN CASE WHEN abs(beta) > 1e-6 THEN 1.0 ELSE 0.0 END END), -1), 6) AS tpr, round(coalesce(avg(CASE WHEN abs(truth) <= 1e-6 THEN CASE WHEN abs(beta) > 1e-6 THEN 1.0 ELSE 0.0 END END), -1), 6) AS fpr, round(sum(abs(CASE WHEN sb > 0 THEN beta / sb ELSE 0 END - CASE WHEN st > 0 THEN truth / st ELSE 0 END)), 5) AS l1 FROM ft JOIN sm ON sm.nation = ft.nation GROUP BY ft.nation",
         "argmin_lambda": f"WITH {ERRORS}, o AS (SELECT *, row_number() OVER (PARTITION BY l_returnflag ORDER BY mse, k) AS n FROM er) SELECT l_returnflag, k, round(CAST(lam AS DOUBLE), 6) AS lam, round(mse, 2) AS mse, CAST(k IN (0, 9) AS INT) AS at_boundary FROM o WHERE n = 1",

@@ -212,10 +212,10 @@ def simple_ols(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def hard_threshold_variants(spark: SparkSession, sf: str) -> DataFrame:
-    """The block means and norms of the first gradient at three thresholds each."""
+    """The block means and norms of the first gradient at four thresholds each; the last one cuts some of them."""
     blocks = _gradients(spark, sf).groupBy("j").agg(F.avg("grad").alias("beta"), F.sqrt(F.sum(F.col("grad") * F.col("grad"))).alias("norm"))
-    cuts = spark.createDataFrame([(0.001,), (0.01,), (50.0,)], "thr double")
-    every = blocks.crossJoin(F.broadcast(cuts))  # three rows
+    cuts = spark.createDataFrame([(0.001,), (0.01,), (0.02,), (50.0,)], "thr double")
+    every = blocks.crossJoin(F.broadcast(cuts))  # four rows
     raw = selection.thresholded(every, F.col("thr")).withColumn("kind", F.lit("raw"))
     return raw.union(selection.thresholded(every, F.col("thr"), size="norm").withColumn("kind", F.lit("norm"))).select("j", "thr", "kind", R("beta", 4).alias("beta"))
 

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ravelin.functions.arrays import half_even
 from ravelin.functions.keys import subject_key
 from ravelin.runtime import ready, small
 from ravelin.sources.workbooks import columns_of, register, sheet_rows
@@ -86,7 +87,7 @@ def save_features(features: DataFrame, path: str) -> None:
 def save_correlations(pairs: DataFrame, names: list[str], path: str) -> None:
     """A square CSV with four decimals from pairs (f1, f2, r) of both orders."""
     square = pairs.groupBy("f1").pivot("f2", names).agg(F.first("r"))
-    square.select(F.col("f1").alias("feature"), *(F.coalesce(F.bround(F.col(f"`{n}`"), 4), F.lit(1.0)).alias(n) for n in names)).coalesce(1).write.mode("overwrite").option("header", "true").csv(path)
+    square.select(F.col("f1").alias("feature"), *(F.coalesce(half_even(F.col(f"`{n}`"), 4), F.lit(1.0)).alias(n) for n in names)).coalesce(1).write.mode("overwrite").option("header", "true").csv(path)
 
 
 def missing_settings(grid: DataFrame, results: DataFrame, keys: list[str]) -> DataFrame:
