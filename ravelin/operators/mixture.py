@@ -112,6 +112,7 @@ def fit(table: DataFrame, features: list[str], k: int = 2, restarts: int = 10, r
     own = written(table.select(*(F.col(f).cast("double").alias(f"c{i}") for i, f in enumerate(features))).na.drop())  # read again in each round
     scale = own.agg(F.count("*"), *(F.avg(c) for c in own.columns), *(F.stddev_pop(c) for c in own.columns)).first()
     d, n = len(features), scale[0]
+    tasks = own.rdd.getNumPartitions()  # of a written table: its files, read without a shuffle
     if not n:
         return {"weights": np.zeros(0), "means": np.zeros((0, d)), "covariances": np.zeros((0, d, d)), "log_likelihood": float("nan"), "converged": True, "features": features}
     shift, spread = np.array(scale[1 : d + 1], float), np.maximum(np.array(scale[d + 1 :], float), 1e-12)
@@ -137,7 +138,7 @@ def fit(table: DataFrame, features: list[str], k: int = 2, restarts: int = 10, r
             if total:
                 yield pa.RecordBatch.from_arrays([pa.array([r for r, _ in total], pa.int32()), pa.array([c for _, c in total], pa.int32()), pa.array([v.tobytes() for v in total.values()], pa.binary())], names=["r", "c", "v"])
 
-        got = {(x.r, x.c): np.frombuffer(x.v) for x in added(own.mapInArrow(moments, "r int, c int, v binary"), ["r", "c"], "v").collect()}
+        got = {(x.r, x.c): np.frombuffer(x.v) for x in added(own.mapInArrow(moments, "r int, c int, v binary"), ["r", "c"], "v", tasks).collect()}
         for r in sorted(live):
             crosses = [got[r, c][:-1].reshape(d + 1, d + 1) for c in range(k)]
             weight = np.maximum([x[d, d] for x in crosses], 1e-10)

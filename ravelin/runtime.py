@@ -55,14 +55,19 @@ def small(df: DataFrame, most: int = 100_000) -> DataFrame:
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
-def added(rows: DataFrame, keys: list[str], column: str) -> DataFrame:
-    """Sums of arrays of doubles (binary ``column``) by ``keys``, in two steps: no group gathers more than some root of the tasks' rows."""
+def added(rows: DataFrame, keys: list[str], column: str, tasks: int | None = None) -> DataFrame:
+    """Sums of arrays of doubles (binary ``column``) by ``keys``, in two steps: no group gathers more than some root of the tasks' rows.
+
+    Where ``tasks`` says that 64 tasks at most have made the rows, each with one row a key, one step is enough.
+    """
 
     def add(part: pa.Table) -> pa.Table:
         total = np.sum([np.frombuffer(v.as_buffer()) for c in part[column].chunks for v in c], axis=0)
         return part.slice(0, 1).set_column(part.column_names.index(column), column, pa.array([total.tobytes()], pa.binary()))
 
     kinds = ", ".join(f"{c} {k}" for c, k in rows.dtypes)
+    if tasks is not None and tasks <= 64:
+        return rows.groupBy(*keys).applyInArrow(lambda t: add(t), kinds)
     salted = rows.withColumn("salt", F.pmod(F.spark_partition_id(), F.lit(64)))
     once = salted.groupBy(*keys, "salt").applyInArrow(lambda t: add(t), f"{kinds}, salt int").drop("salt")
     return once.groupBy(*keys).applyInArrow(lambda t: add(t), kinds)
