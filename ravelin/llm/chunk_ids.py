@@ -153,7 +153,7 @@ class Chunks:
 class TextIds:
     """Ids of many texts, each with its end id."""
 
-    def __init__(self, spec: str, end_id: int, most: int = 500_000):
+    def __init__(self, spec: str, end_id: int, most: int = 400_000):
         self.encoder, self.end_id, self.most = ByteIds(spec), end_id, most
         self.chunks = Chunks(self.learn, firsts=True)
         self.clear()

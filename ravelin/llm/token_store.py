@@ -36,9 +36,11 @@ def encoded(ids: np.ndarray, who: np.ndarray, absent: np.ndarray, ends: np.ndarr
     """A file of texts: their ids end to end, the texts' own ids, which of those are null, and where each text ends."""
     levels, left = [], ids.astype(np.uint32)
     while True:
-        more = left >> BITS
-        levels.append(((left & 255).astype(np.uint8), more > 0))
-        left = more[more > 0]
+        chunks = (left & 255).astype(np.uint8)
+        left = left >> BITS
+        goes_on = left > 0
+        levels.append((chunks, goes_on))
+        left = left[goes_on]
         if not len(left):
             break
     head = np.array([len(ids), len(who), len(levels), *(len(c) for c, _ in levels)], "<u8")
@@ -92,7 +94,7 @@ class TokenFile:
                 out[place] |= values
             if k < self.levels - 1:
                 on = np.flatnonzero(np.unpackbits(np.frombuffer(self.read(bits, -(-n // BLOCK) * (BLOCK // 8)), np.uint8), count=n, bitorder="little"))
-                place = on if place is None else place[on]
+                place = on.astype(np.uint32) if place is None else place[on]
         return out
 
     def at(self, place: int) -> int:
@@ -159,7 +161,7 @@ def write_tokens(docs: DataFrame, path: str, store: str | None = None, end_id: i
 
         held_ids = 0
         for batch in batches:
-            for who, texts in slices(batch, 4000, 3_000_000):
+            for who, texts in slices(batch, 4000, 1_500_000):
                 found, sizes = ids(texts)
                 waiting.append((who, found.astype(np.uint32), sizes))
                 held_ids += len(found)
