@@ -16,7 +16,12 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the line classifier takes for good ones."""
+    """Documents that the line classifier takes for good ones.
+
+    Null and empty texts are scored as one empty line; repeated rows and rows that share an id are kept or dropped each by its own text; a null id takes no part in the
+    training and is scored like any other; very long texts are read whole. A score of exactly the threshold stays. Columns beyond those of documents are left out; an empty table
+    stays empty.
+    """
     scored = score_quality(docs, table(spark, sf_dir, "labels"), carry=COLUMNS[1:])
     return scored.where("predicted = 1").select(*COLUMNS)
 
@@ -25,7 +30,8 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of least id of each group of near copies, once; a group without ids keeps one of its texts.
 
     Near copies share 0.8 or more of their five-word shingles. Of different texts that share the least id of a group one stays; an id
-    whose texts lead several groups keeps each of them.
+    whose texts lead several groups keeps each of them. Null and empty texts are one group; repeated rows stay once; very long texts are compared whole; columns
+    beyond those of documents are left out; an empty table stays empty.
     """
     ready(spark)
     heads = similar_texts(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("root").agg(F.min(F.struct("doc_id", "key")).alias("head"))
@@ -35,13 +41,21 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the bytes of passages that occur earlier; n_chars is the new length."""
+    """All documents, without the bytes of passages that occur earlier; n_chars is the new length.
+
+    A null text becomes the empty text; a document that is all repeat stays with an empty one. Rows equal in id and text share their result; of equal passages the one
+    in the smallest id stays, null ids last. Very long texts are read whole; columns beyond those of documents are left out; an empty table stays empty.
+    """
     cut = remove_repeats(docs, carry=("lang", "source"), with_text=True)
     return cut.select("doc_id", F.col("kept").alias("text"), "lang", "source", F.length("kept").cast("long").alias("n_chars")).select(*COLUMNS)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sequences of 2048 ids, a row for each piece of a document."""
+    """Sequences of 2048 ids, a row for each piece of a document.
+
+    A null or empty text is its end id; repeated rows are packed each; a null id stays null; a long text becomes several pieces; other columns are left out; an
+    empty table gives no rows.
+    """
     return pack(docs, tokenizer(WORD_BPE))
 
 
