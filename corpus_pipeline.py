@@ -37,7 +37,8 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     heads = similar_texts(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("root").agg(F.min(F.struct("doc_id", "key")).alias("head"))
     heads = heads.select(F.col("head.doc_id").alias("id"), F.col("head.key").alias("key"))
     same = docs.doc_id.eqNullSafe(heads.id) & (F.xxhash64(F.coalesce(docs.text, F.lit(""))) == heads.key)
-    return docs.join(heads, same, "left_semi").select(*COLUMNS).dropDuplicates(["doc_id", "text"])
+    kept = docs.join(heads, same, "left_semi").select(*COLUMNS, F.coalesce("text", F.lit("")).alias("same"))
+    return kept.dropDuplicates(["doc_id", "same"]).drop("same")  # a null text repeats an empty one
 
 
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
