@@ -1,9 +1,10 @@
 """Main text of web pages by site style trees.
 
 The pages of a host are merged into one tree of nodes named by their path of tags and classes. A node matters if what it
-holds varies over the pages: its presentation (the sequence of its children's tags) or its content. Entropies over the host's pages,
-in shares of the most they could be, give each node's importance; branches of low importance go, inside main elements too, as do
-branches whose tag or class names a role that is never the article. Each distinct page of a host counts once, and importance is drawn
+holds varies over the pages: its presentation (the sequence of its children's tags), its content as a whole, and the words of its content.
+Entropies over the host's pages, in shares of the most they could be, give each node's importance; branches of low importance go, inside main
+elements too, as do branches whose tag or class names a role that is never the article. A section outside main elements is measured by its words:
+the more pages a word stands on in the section, the less it says. Each distinct page of a host counts once, and importance is drawn
 towards one where few pages hold a node. Being in a main element speaks for a branch; a branch outside stays if it holds enough prose.
 """
 
@@ -11,8 +12,8 @@ from __future__ import annotations
 
 import html
 import re
-from collections import Counter
-from collections.abc import Iterator
+from collections import Counter, defaultdict
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 import xxhash
@@ -33,6 +34,9 @@ MAIN = frozenset(("article", "main"))
 #: Elements that begin a branch of text of their own; and those that are never of low importance as a whole (fixed values).
 BRANCH = frozenset("html body div section article main td th center fieldset".split())
 WHOLE = frozenset(("html", "body"))
+#: Elements whose words are counted, and elements that a paragraph cannot span (fixed values).
+SECTION = frozenset("div section article main td th center fieldset nav footer header aside form menu ul ol dl table".split())
+FENCE = ("article", "main", "section", "div", "td", "th", "table", "li", "body", "aside", "nav", "footer", "header", "form")
 #: Words in a class, id or role that name such a part (fixed values).
 OTHER = frozenset("ad ads adv advert advertisement advertising adbox adslot banner sponsor sponsored promo promotion nav navbar navigation menu menubar breadcrumb breadcrumbs header masthead footer sidebar aside complementary contentinfo widget related recommended share sharing social newsletter subscribe subscription signup cookie cookies consent gdpr notice alert popup modal overlay comment comments respond disqus discussion replies form search login pagination pager toolbar skip".split())
 #: What an opening tag closes if it is open (fixed values).
@@ -51,10 +55,10 @@ def hashed(text: str) -> int:
 class Node:
     """An open element; ``path`` is a hash of its host and of the tags and classes down to it."""
 
-    __slots__ = ("tag", "path", "main", "other", "low", "link", "branch", "start", "children")
+    __slots__ = ("tag", "path", "main", "other", "low", "link", "branch", "start", "children", "words")
 
-    def __init__(self, tag: str, path: int, main: bool, other: bool, low: bool, link: bool, branch: int, start: int):
-        self.tag, self.path, self.main, self.other, self.low, self.link, self.branch, self.start, self.children = tag, path, main, other, low, link, branch, start, []
+    def __init__(self, tag: str, path: int, main: bool, other: bool, low: bool, link: bool, branch: int, start: int, words: set[str] | None):
+        self.tag, self.path, self.main, self.other, self.low, self.link, self.branch, self.start, self.children, self.words = tag, path, main, other, low, link, branch, start, [], words
 
 
 def named_other(attributes: str, main: bool) -> tuple[str, bool]:
@@ -75,11 +79,15 @@ def named_other(attributes: str, main: bool) -> tuple[str, bool]:
     return name, other
 
 
-def walk(page: str, host: str, low: frozenset[int] = frozenset()):
-    """Read a page: its kept blocks and its nodes (name, presentation, content, whether in a main element)."""
-    root = Node("", hashed(host), False, False, False, False, 0, 0)
+def walk(page: str, host: str, low: frozenset[int] = frozenset(), count: bool = False):
+    """Read a page: its kept blocks and its nodes (name, presentation, content, whether in a main element, words).
+
+    A word belongs to the innermost section around it; words are listed only if ``count`` is set. Time is linear in the page, however deep it nests.
+    """
+    root = Node("", hashed(host), False, False, False, False, 0, 0, None)
     stack, nodes, branches = [root], [], 0
-    sums, open_ = [0], Counter()  # sums: hashes of all texts up to each, so that a node's content has one in no time
+    sums = [0]  # hashes of all texts up to each, so that a node's content has one in no time
+    open_: defaultdict[str, list[int]] = defaultdict(list)  # places in the stack by tag
     blocks: list[tuple[str, int, bool, bool, int]] = []
     now: list[str] = []
     where, linked = (False, False, 0), 0
@@ -95,12 +103,16 @@ def walk(page: str, host: str, low: frozenset[int] = frozenset()):
 
     def close() -> None:
         node = stack.pop()
-        open_[node.tag] -= 1
+        open_[node.tag].pop()
         if node.tag in BLOCK:
             flush()
             content = (sums[-1] - sums[node.start] * pow(BASE, len(sums) - 1 - node.start, PRIME)) % PRIME
             if node.tag not in WHOLE:
-                nodes.append((node.path, hashed(",".join(node.children)), content, node.main))
+                nodes.append((node.path, hashed(",".join(node.children)), content, node.main, node.words if count and node.tag in SECTION else ()))
+
+    def last(tags: Iterable[str]) -> int:
+        """The place of the innermost open element of these."""
+        return max((open_[t][-1] for t in tags if open_[t]), default=0)
 
     for m in TOKEN.finditer(page):
         slash, tag = m.group(2), m.group(3)
@@ -111,6 +123,8 @@ def walk(page: str, host: str, low: frozenset[int] = frozenset()):
                 top = stack[-1]
                 if text.strip():
                     sums.append((sums[-1] * BASE + hashed(text.strip())) % PRIME)
+                    if count and top.words is not None:
+                        top.words.update(text.split())
                 if not top.other:
                     if where != (top.main, top.low, top.branch):
                         flush()
@@ -130,13 +144,13 @@ def walk(page: str, host: str, low: frozenset[int] = frozenset()):
         if tag in BLOCK:
             flush()
             if tag != "br":
-                while open_["p"] and not _fenced(stack, "p"):
+                while open_["p"] and last(("p",)) > last(FENCE):
                     close()
-        if tag in MAIN and (open_["nav"] or open_["header"]):
-            while any(n.tag in ("nav", "header") and not n.main for n in stack):  # left open
+        if tag in MAIN:
+            while any(open_[t] and not stack[open_[t][0]].main for t in ("nav", "header")):  # left open
                 close()
-        if tag in CLOSES and any(open_[t] for t in CLOSES[tag]):
-            while (k := next((k for k in range(len(stack) - 1, 0, -1) if stack[k].tag in CLOSES[tag] or stack[k].tag in FENCES.get(tag, ())), 0)) and stack[k].tag in CLOSES[tag]:
+        if tag in CLOSES:
+            while (k := last(CLOSES[tag])) and k > last(FENCES.get(tag, ())):
                 while len(stack) > k:
                     close()
         parent = stack[-1]
@@ -150,9 +164,10 @@ def walk(page: str, host: str, low: frozenset[int] = frozenset()):
         other = parent.other or other and tag not in ("html", "body") or tag in NEVER or tag == "header" and not main
         if m.group(4).rstrip().endswith("/") and tag not in BLOCK:
             continue
-        open_[tag] += 1
+        open_[tag].append(len(stack))
         branches += tag in BRANCH
-        stack.append(Node(tag, path, main, other, parent.low or tag in BLOCK and path in low, parent.link or tag == "a", branches if tag in BRANCH else parent.branch, len(sums) - 1))
+        words = set() if count and tag in SECTION else parent.words
+        stack.append(Node(tag, path, main, other, parent.low or tag in BLOCK and path in low, parent.link or tag == "a", branches if tag in BRANCH else parent.branch, len(sums) - 1, words))
     while len(stack) > 1:
         close()
     flush()
@@ -178,16 +193,6 @@ def chosen(blocks: list[tuple[str, int, bool, bool, int]], prose: int = 100) ->
     return [line for line, _, main, _, branch in kept if main or total[branch] - links_[branch] >= min(prose, inside) and 3 * links_[branch] < total[branch]]
 
 
-def _fenced(stack: list[Node], tag: str) -> bool:
-    """Whether an element that a paragraph cannot span stands above the last open one."""
-    for node in reversed(stack):
-        if node.tag == tag:
-            return False
-        if node.tag in ("article", "main", "section", "div", "td", "th", "table", "li", "body", "aside", "nav", "footer", "header", "form"):
-            return True
-    return True
-
-
 def host_of(url: str) -> Column:
     """The host in a column of urls, in small letters; empty where there is none."""
     found = F.regexp_extract(F.coalesce(F.col(url), F.lit("")), r"^\s*(?:[a-zA-Z][\w+.\-]*:)?//([^/?#\s]*)", 1)
@@ -195,7 +200,7 @@ def host_of(url: str) -> Column:
 
 
 def node_counts(pages: DataFrame, most_sent: int = 500_000) -> DataFrame:
-    """name, main, kind (0 presentation, 1 content, 2 pages), value, n: how often a host's node had a value; added up in each task first.
+    """host, name, main, kind (0 presentation, 1 content, 2 pages, 3 word), value, n: on how many pages a host's node had a value; added up in each task first.
 
     Each of a page's copies on its host counts for its share of one page.
     """
@@ -209,47 +214,74 @@ def node_counts(pages: DataFrame, most_sent: int = 500_000) -> DataFrame:
         seen: Counter = Counter()
 
         def rows() -> pa.RecordBatch:
-            name, main, kind, value = zip(*seen)
-            out = pa.RecordBatch.from_arrays([pa.array(name, pa.int64()), pa.array(main, pa.bool_()), pa.array(kind, pa.int32()), pa.array(value, pa.int64()), pa.array(seen.values(), pa.float64())], names=["name", "main", "kind", "value", "n"])
+            columns = zip(("host", "name", "main", "kind", "value", "n"), (pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.int64(), pa.float64()), (*zip(*seen), seen.values()))
+            out = pa.RecordBatch.from_pydict({c: pa.array(v, k) for c, k, v in columns})
             seen.clear()
             return out
 
         for b in batches:
             for host, page, copies_ in zip(*(c.to_pylist() for c in b.columns)):
-                nodes, part = walk(page or "", host)[1], 1 / copies_
-                for name, style, content, main in nodes:
-                    seen[name, main, 0, style] += part
-                    seen[name, main, 1, content] += part
-                for name, main in {(n[0], n[3]) for n in nodes}:
-                    seen[name, main, 2, 0] += part
+                nodes, part, site = walk(page or "", host, count=True)[1], 1 / copies_, hashed(host)
+                for name, style, content, main, _ in nodes:
+                    seen[site, name, main, 0, style] += part
+                    seen[site, name, main, 1, content] += part
+                held: defaultdict[tuple[int, bool], set[str]] = defaultdict(set)
+                for name, _, _, main, words in nodes:
+                    held[name, main].update(words)
+                for (name, main), words in held.items():
+                    seen[site, name, main, 2, 0] += part
+                    for word in words:
+                        seen[site, name, main, 3, hashed(word)] += part
                 if len(seen) > 200_000:
                     yield rows()
         if seen:
             yield rows()
 
-    return once.mapInArrow(count, "name long, main boolean, kind int, value long, n double")
+    return once.mapInArrow(count, "host long, name long, main boolean, kind int, value long, n double")
 
 
-def low_nodes(pages: DataFrame, least: float = 0.2, prior: float = 2.0, most_sent: int = 500_000) -> DataFrame:
-    """Names of nodes whose presentation and content both vary less than ``least`` of what they could; three quarters of it in main elements.
+def importance_of(pages: DataFrame, prior: float = 2.0, most_sent: int = 500_000) -> DataFrame:
+    """host, name, main, words, whole, style, speech of every node: one row each.
 
-    Importance is the mean of what was seen on a host's distinct pages and of ``prior`` pages of importance one.
+    ``style`` is the entropy of its presentation, ``whole`` the larger of that and of its contents' as wholes. ``speech`` is one less the mean of its
+    words' entropies, log n over log m for a word on n of the m pages that hold the node, each word weighed by n; null without words. All are drawn to
+    one by ``prior`` pages.
     """
     # Shares of copies add up to whole numbers.
-    counts = node_counts(pages, most_sent).groupBy("name", "main", "kind", "value").agg(F.round(F.sum("n")).alias("n"))
+    counts = node_counts(pages, most_sent).groupBy("host", "name", "main", "kind", "value").agg(F.round(F.sum("n")).alias("n"))
     m, log = F.sum("n"), F.sum(F.col("n") * F.log("n"))
-    # Entropy over log m, the entropy of m different values.
-    kinds = counts.groupBy("name", "main", "kind").agg(m.alias("m"), (F.when(m > 1, (F.log(m) - log / m) / F.log(m)).otherwise(1.0)).alias("entropy"))
-    varies = kinds.groupBy("name", "main").agg(F.max(F.when(F.col("kind") == 2, F.col("m"))).alias("pages"), F.max(F.when(F.col("kind") < 2, F.col("entropy"))).alias("entropy"))
-    importance = (F.col("pages") * F.col("entropy") + prior) / (F.col("pages") + prior)
-    return varies.where(importance < F.when(F.col("main"), 0.75 * least).otherwise(least)).select("name")
+    # Entropy over log m, the entropy of m different values; of words the mean log n.
+    kinds = counts.groupBy("host", "name", "main", "kind").agg(
+        m.alias("m"), F.when(F.col("kind") == 3, log / m).otherwise(F.when(m > 1, (F.log(m) - log / m) / F.log(m)).otherwise(1.0)).alias("entropy")
+    )
+    of = lambda kind, value: F.max(F.when(F.col("kind") == kind, F.col(value)))
+    nodes = kinds.groupBy("host", "name", "main").agg(
+        of(2, "m").alias("pages"), F.coalesce(of(3, "m"), F.lit(0.0)).alias("words"), F.max(F.when(F.col("kind") < 2, F.col("entropy"))).alias("whole"),
+        of(0, "entropy").alias("style"), F.when(of(2, "m") > 1, 1 - of(3, "entropy") / F.log(of(2, "m"))).when(of(3, "m") > 0, 1.0).alias("speech"),
+    )
+    drawn = lambda c: ((F.col("pages") * F.col(c) + prior) / (F.col("pages") + prior)).alias(c)
+    return nodes.select("host", "name", "main", "words", *map(drawn, ("whole", "style", "speech")))
+
+
+def low_nodes(pages: DataFrame, least: float = 0.2, prior: float = 2.0, most_sent: int = 500_000, beside: float = 0.6, says: float = 0.9) -> DataFrame:
+    """Names of nodes of low importance.
+
+    Those whose presentation and whole content both vary less than ``least`` of what they could (three quarters of it in main elements); and, outside main
+    elements, sections in which the mean of presentation and words is below ``beside`` of the same mean of the host's section of most words, and whose words alone are below ``says``
+    of that section's. The section of most words (ties: of greatest mean) is never low by the second rule.
+    """
+    nodes = cut(importance_of(pages, prior, most_sent)).withColumn("mean", (F.col("style") + F.col("speech")) / 2)
+    most = nodes.where("words > 0").groupBy("host").agg(F.max(F.struct("words", "mean", "speech")).alias("most"))
+    by_words = ~F.col("main") & (F.col("mean") < beside * F.col("most.mean")) & (F.col("speech") < says * F.col("most.speech"))
+    by_sameness = F.col("whole") < F.when(F.col("main"), 0.75 * least).otherwise(least)
+    return nodes.join(most, "host", "left").where(by_sameness | F.coalesce(by_words, F.lit(False))).select("name").distinct()
 
 
 def main_text(pages: DataFrame, least: float = 0.2, most_sent: int = 500_000) -> DataFrame:
     """page_id, url, text, n_chars of every row of ``pages`` (page_id, url, html).
 
     Null or empty pages have the empty text; repeated rows give repeated results; null ids and urls stay, and a null url is a
-    host of its own; other columns are left out. A page keeps its branches that are not of low importance: those in main elements, and
+    host of its own; other columns are left out; very long and deeply nested pages are read whole; an empty table gives no rows. A page keeps its branches that are not of low importance: those in main elements, and
     those outside that hold enough prose, or all if no main element has text; if all are low, all stay. The set of low nodes goes to the tasks if it has ``most_sent`` members at most; beyond that each page is joined with its host's.
     """
     spark = ready(pages.sparkSession)
