@@ -200,9 +200,10 @@ def host_of(url: str) -> Column:
 
 
 def node_counts(pages: DataFrame, most_sent: int = 500_000) -> DataFrame:
-    """host, name, main, kind (0 presentation, 1 content, 2 pages, 3 word), value, n: on how many pages a host's node had a value; added up in each task first.
+    """name, main, kind (0 presentation, 1 content, 2 host, 3 word), value, n: on how many pages a host's node had a value; added up in each task first.
 
-    Each of a page's copies on its host counts for its share of one page.
+    Each of a page's copies on its host counts for its share of one page. Values are hashes, those of words of 40 bits: most of the rows are words, and
+    two words of a node in one number would shift its mean entropy by no more than their own share.
     """
     keyed = pages.select("host", "html", F.xxhash64("host", F.coalesce("html", F.lit(""))).alias("key"))
     copies = cut(keyed.groupBy("key").agg(F.count("*").alias("copies")).where("copies > 1"))
@@ -214,7 +215,7 @@ def node_counts(pages: DataFrame, most_sent: int = 500_000) -> DataFrame:
         seen: Counter = Counter()
 
         def rows() -> pa.RecordBatch:
-            columns = zip(("host", "name", "main", "kind", "value", "n"), (pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.int64(), pa.float64()), (*zip(*seen), seen.values()))
+            columns = zip(("name", "main", "kind", "value", "n"), (pa.int64(), pa.bool_(), pa.int32(), pa.int64(), pa.float64()), (*zip(*seen), seen.values()))
             out = pa.RecordBatch.from_pydict({c: pa.array(v, k) for c, k, v in columns})
             seen.clear()
             return out
@@ -223,21 +224,21 @@ def node_counts(pages: DataFrame, most_sent: int = 500_000) -> DataFrame:
             for host, page, copies_ in zip(*(c.to_pylist() for c in b.columns)):
                 nodes, part, site = walk(page or "", host, count=True)[1], 1 / copies_, hashed(host)
                 for name, style, content, main, _ in nodes:
-                    seen[site, name, main, 0, style] += part
-                    seen[site, name, main, 1, content] += part
+                    seen[name, main, 0, style] += part
+                    seen[name, main, 1, content] += part
                 held: defaultdict[tuple[int, bool], set[str]] = defaultdict(set)
                 for name, _, _, main, words in nodes:
                     held[name, main].update(words)
                 for (name, main), words in held.items():
-                    seen[site, name, main, 2, 0] += part
+                    seen[name, main, 2, site] += part
                     for word in words:
-                        seen[site, name, main, 3, hashed(word)] += part
+                        seen[name, main, 3, hashed(word) >> 21] += part
                 if len(seen) > 200_000:
                     yield rows()
         if seen:
             yield rows()
 
-    return once.mapInArrow(count, "host long, name long, main boolean, kind int, value long, n double")
+    return once.mapInArrow(count, "name long, main boolean, kind int, value long, n double")
 
 
 def importance_of(pages: DataFrame, prior: float = 2.0, most_sent: int = 500_000) -> DataFrame:
@@ -248,15 +249,15 @@ def importance_of(pages: DataFrame, prior: float = 2.0, most_sent: int = 500_000
     one by ``prior`` pages.
     """
     # Shares of copies add up to whole numbers.
-    counts = node_counts(pages, most_sent).groupBy("host", "name", "main", "kind", "value").agg(F.round(F.sum("n")).alias("n"))
+    counts = node_counts(pages, most_sent).groupBy("name", "main", "kind", "value").agg(F.round(F.sum("n")).alias("n"))
     m, log = F.sum("n"), F.sum(F.col("n") * F.log("n"))
     # Entropy over log m, the entropy of m different values; of words the mean log n.
-    kinds = counts.groupBy("host", "name", "main", "kind").agg(
-        m.alias("m"), F.when(F.col("kind") == 3, log / m).otherwise(F.when(m > 1, (F.log(m) - log / m) / F.log(m)).otherwise(1.0)).alias("entropy")
+    kinds = counts.groupBy("name", "main", "kind").agg(
+        m.alias("m"), F.max("value").alias("value"), F.when(F.col("kind") == 3, log / m).otherwise(F.when(m > 1, (F.log(m) - log / m) / F.log(m)).otherwise(1.0)).alias("entropy")
     )
     of = lambda kind, value: F.max(F.when(F.col("kind") == kind, F.col(value)))
-    nodes = kinds.groupBy("host", "name", "main").agg(
-        of(2, "m").alias("pages"), F.coalesce(of(3, "m"), F.lit(0.0)).alias("words"), F.max(F.when(F.col("kind") < 2, F.col("entropy"))).alias("whole"),
+    nodes = kinds.groupBy("name", "main").agg(
+        of(2, "value").alias("host"), of(2, "m").alias("pages"), F.coalesce(of(3, "m"), F.lit(0.0)).alias("words"), F.max(F.when(F.col("kind") < 2, F.col("entropy"))).alias("whole"),
         of(0, "entropy").alias("style"), F.when(of(2, "m") > 1, 1 - of(3, "entropy") / F.log(of(2, "m"))).when(of(3, "m") > 0, 1.0).alias("speech"),
     )
     drawn = lambda c: ((F.col("pages") * F.col(c) + prior) / (F.col("pages") + prior)).alias(c)
