@@ -249,11 +249,15 @@ def pieces_of(group: list[tuple[int, int, int, bytes]], length: int, k: int, cut
     return out, done
 
 
-def repeated_spans(docs: DataFrame, length: int = 100, shard_bytes: int = 2_000_000, hot: int | None = None) -> DataFrame:
-    """(row, start, end) of spans whose strings of ``length`` bytes all start earlier too; ``docs`` has unique long rows, in order, and texts."""
+def repeated_spans(docs: DataFrame, length: int = 100, shard_bytes: int = 2_000_000, hot: int | None = None, part_bytes: int = 256_000_000) -> DataFrame:
+    """(row, start, end) of spans whose strings of ``length`` bytes all start earlier too; ``docs`` has unique long rows, in order, and texts.
+
+    Minimizers are sorted in as many partitions as the session names, and more where ``part_bytes`` of text each ask for them.
+    """
     spark = ready(docs.sparkSession)
-    parts, back = int(spark.conf.get("spark.sql.shuffle.partitions")), length - K
-    hot = hot or min(50_000, max(2_000, docs.count() // 16))
+    count, size = docs.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    parts, back = max(int(spark.conf.get("spark.sql.shuffle.partitions")), size // part_bytes + 1), length - K
+    hot = hot or min(50_000, max(2_000, count // 16))
     ordered = anchors(docs, length).repartition(parts, "hash").sortWithinPartitions("hash", "around", "row", "at")
     sifted = written(sift(ordered, length, hot))
     tidy(spark)

@@ -196,15 +196,16 @@ def test_suffix_removal(docs, none, plain):
     assert remove_repeats(none).count() == 0
 
 
-@pytest.mark.parametrize("hot", [1, 3, 100_000])
-def test_hot_passages(spark, hot):
+@pytest.mark.parametrize("hot,part_bytes", [(1, 1 << 30), (3, 500), (100_000, 500), (100_000, 1 << 30)])
+def test_hot_passages(spark, hot, part_bytes):
+    """Few and many partitions of minimizers, and hashes that are hot or not."""
     from ravelin.llm.suffix_dedup import repeated_spans
 
     rng = random.Random(2)
     line = "".join(rng.choice("abcdefgh ") for _ in range(260))
     items = [(k, ("".join(rng.choice("abcdefgh ") for _ in range(rng.randint(0, 90))) + line[: rng.randint(90, 260)] + str(k * 977)).encode()) for k in range(60)]
     got = [bytearray(len(d)) for _, d in items]
-    for r in repeated_spans(spark.createDataFrame([(k, d.decode()) for k, d in items], "row long, text string"), hot=hot).collect():
+    for r in repeated_spans(spark.createDataFrame([(k, d.decode()) for k, d in items], "row long, text string"), hot=hot, part_bytes=part_bytes).collect():
         end = min(r.end, len(got[r.row]))
         got[r.row][r.start : end] = b"\1" * (end - r.start)
     assert got == covered(items, 100)
