@@ -31,6 +31,8 @@ def load(path: str) -> dict:
         proto = sentencepiece_model_pb2.ModelProto.FromString(f.read())
     if proto.normalizer_spec.precompiled_charsmap or proto.normalizer_spec.remove_extra_whitespaces or not proto.trainer_spec.byte_fallback:
         raise ValueError("only models with identity normalization and byte fallback are handled")
+    if proto.trainer_spec.model_type != proto.trainer_spec.BPE or any(p.type in (p.USER_DEFINED, p.UNUSED) for p in proto.pieces):
+        raise ValueError("only BPE models without user-defined or unused pieces are handled")
     pieces = {p.piece: (i, p.score) for i, p in enumerate(proto.pieces) if p.type == NORMAL}
     if any(SPACE in p.lstrip(SPACE) for p in pieces):
         raise ValueError("a piece holds the space mark after another character")

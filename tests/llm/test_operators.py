@@ -77,6 +77,25 @@ def test_sentence_pieces(docs, none):
     assert encode_texts(none, tokenizer(PIECE_BPE)).count() == 0
 
 
+@pytest.mark.parametrize("change", ["user_defined", "unused", "unigram"])
+def test_other_piece_models_are_refused(tmp_path, change):
+    from sentencepiece import sentencepiece_model_pb2
+
+    from ravelin.llm.sentence_pieces import load
+
+    with open(tokenizer(PIECE_BPE), "rb") as f:
+        proto = sentencepiece_model_pb2.ModelProto.FromString(f.read())
+    if change == "unigram":
+        proto.trainer_spec.model_type = proto.trainer_spec.UNIGRAM
+    else:
+        piece = proto.pieces[-1]
+        piece.type = piece.USER_DEFINED if change == "user_defined" else piece.UNUSED
+    path = tmp_path / "other.model"
+    path.write_bytes(proto.SerializeToString())
+    with pytest.raises(ValueError):
+        load(str(path))
+
+
 def test_sentence_pieces_of_random_strings():
     import sentencepiece
 
