@@ -13,19 +13,17 @@ as in iterative scaling. Rounds see sums over all texts, so partitions have no s
 
 from __future__ import annotations
 
-import uuid
 from collections import Counter
 from collections.abc import Iterator
-from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ravelin.llm.common import crc_bucket, ready, shared, written
+from ravelin.llm.common import crc_bucket, ready, written
 
 END = b"\n"  # no word holds it
 WIDTH = 8  # of each softmax: groups, classes of a group, slots of a class
@@ -39,8 +37,39 @@ SLOT, CLASS = 20, 23
 U = np.uint32
 
 
-def words_of(text: str | None) -> list[bytes]:
-    return (text or "").encode().lower().split()  # bytes: A-Z only, and the six ASCII white-space characters
+def parts(sizes: np.ndarray, most: int) -> list[tuple[int, int]]:
+    """Ranges of items, in order, of about ``most`` in sum."""
+    edges = [0, *(np.flatnonzero(np.diff((np.cumsum(sizes) - 1) // most)) + 1).tolist(), len(sizes)]
+    return list(zip(edges, edges[1:])) if len(sizes) else []
+
+
+def places(words: pa.Array, among: pa.Array) -> np.ndarray:
+    """Where each word is in ``among``; -1 where it is not."""
+    return pc.fill_null(pc.index_in(words, value_set=among), -1).to_numpy(zero_copy_only=False)
+
+
+def as_bytes(words: pa.Array) -> list[bytes]:
+    return words.cast(pa.binary()).to_numpy(zero_copy_only=False).tolist()  # several times faster than to_pylist()
+
+
+def words_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """Words of all texts, end to end, and how many each text has: A-Z lower-cased, cut at the six ASCII white-space characters."""
+    cut = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts.cast(pa.string()), "")))
+    words, size = cut.flatten(), cut.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+    full = pc.binary_length(words).to_numpy(zero_copy_only=False) > 0
+    if full.all():
+        return words, size
+    upto = np.concatenate([[0], np.cumsum(full)])  # white space at either end leaves an empty word there
+    return words.filter(pa.array(full)), np.diff(upto[np.concatenate([[0], np.cumsum(size)])])
+
+
+def text_groups(batches: Iterator[pa.RecordBatch], most: int = 1 << 21) -> Iterator[tuple[pa.RecordBatch, pa.Array, np.ndarray]]:
+    """Rows with their texts' words and numbers of words, about ``most`` bytes of text at a time; the text is the last column."""
+    for b in batches:
+        last = b.column(b.num_columns - 1)
+        for s, e in parts(pc.fill_null(pc.binary_length(last), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 1, most):
+            yield b.slice(s, e - s), *words_of(last.slice(s, e - s))
+            pa.default_memory_pool().release_unused()  # workers are kept, and so is what Arrow has freed
 
 
 def centres_of(x: np.ndarray, weights: np.ndarray, n: int, rng: np.random.Generator) -> np.ndarray:
@@ -93,57 +122,46 @@ class Classes:
 
     def of(self, words: list[bytes], most: int = 100_000) -> np.ndarray:
         """Classes of words, about ``most`` bytes at a time."""
-        out, start, size = np.empty(len(words), np.int64), 0, 0
-        for i, w in enumerate(words):
-            size += len(w) + 2
-            if size > most or i == len(words) - 1:
-                code, first, n = self.pairs(words[start : i + 1])
-                if len(code) > 4 * most:  # a giant word in it
-                    sums = np.stack([np.bincount(code[f : f + k], minlength=PAIRS) for f, k in zip(first, n)]) @ self.table
-                else:
-                    sums = np.empty((len(n), self.table.shape[1]), np.float32)
-                    for k in np.unique(n):  # words of one length at a time
-                        own = np.flatnonzero(n == k)
+        out = np.empty(len(words), np.int64)
+        for start, stop in parts(np.fromiter(map(len, words), np.int64, len(words)) + 2, most):
+            code, first, n = self.pairs(words[start:stop])
+            if len(code) > 4 * most:  # a giant word in it
+                sums = np.stack([np.bincount(code[f : f + k], minlength=PAIRS) for f, k in zip(first, n)]) @ self.table
+            else:
+                sums = np.empty((len(n), self.table.shape[1]), np.float32)
+                for k in np.unique(n):  # words of one length at a time
+                    own = np.flatnonzero(n == k)
+                    if k > 100:
                         sums[own] = self.table[code[first[own, None] + np.arange(k)]].sum(1)
-                out[start : i + 1] = (sums / np.sqrt(n)[:, None] - self.bias).argmax(1)
-                start, size = i + 1, 0
+                        continue
+                    total = self.table.take(code[first[own]], axis=0)
+                    more = np.empty_like(total)
+                    for d in range(1, k):
+                        total += self.table.take(code[first[own] + d], axis=0, out=more, mode="clip")
+                    sums[own] = total
+            sums /= np.sqrt(n)[:, None]
+            sums -= self.bias
+            out[start:stop] = sums.argmax(1)
         out[[k for k, w in enumerate(words) if w == END]] = CLASSES - 1
         return out
 
 
 class Tokens:
-    """Numbers of the tokens of many texts, laid end to end; each distinct word is looked at once."""
+    """Numbers and logs of counts of words; the log is NaN if the count is not sent."""
 
-    def __init__(self, classes: Classes, common: dict[bytes, float], slots: dict[bytes, int]):
-        self.classes, self.common, self.slots = classes, common, slots
-        self.clear()
+    def __init__(self, classes: Classes, common: pa.Array, logs: np.ndarray, slots: dict[bytes, int]):
+        self.classes, self.common, self.logs = classes, common, np.append(logs, np.nan)
+        self.taken, self.slots = pa.array([w.decode() for w in slots], pa.string()), np.append(np.fromiter(slots.values(), U, len(slots)), U(WIDTH - 1))
 
-    def clear(self) -> None:
-        # Row 0 is no word. The log of a count is NaN if the count is not sent.
-        self.row: dict[bytes, int] = {}
-        self.words: list[bytes] = [b""]
-        self.numbers, self.logs = np.zeros(1, U), np.zeros(1)
+    def slot(self, words: pa.Array) -> np.ndarray:
+        return self.slots[places(words, self.taken)]
 
-    def of(self, texts: list[list[bytes]]) -> np.ndarray:
-        """The row of each token."""
+    def of(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         import xxhash
 
-        if len(self.row) > 400_000:
-            self.clear()
-        flat = list(chain.from_iterable(texts))
-        rows = np.fromiter(map(self.row.get, flat, repeat(0)), U, len(flat))
-        missing = np.flatnonzero(rows == 0)
-        if len(missing):
-            found = list(map(flat.__getitem__, missing.tolist()))
-            new = list(dict.fromkeys(found))
-            self.row.update(zip(new, range(len(self.words), len(self.words) + len(new))))
-            self.words += new
-            hashes = np.fromiter((xxhash.xxh32_intdigest(w) & 0xFFFFF for w in new), U, len(new))
-            slots = np.fromiter(map(self.slots.get, new, repeat(WIDTH - 1)), U, len(new))
-            self.numbers = np.append(self.numbers, hashes | slots << U(SLOT) | self.classes.of(new).astype(U) << U(CLASS))
-            self.logs = np.append(self.logs, np.fromiter(map(self.common.get, new, repeat(np.nan)), float, len(new)))
-            rows[missing] = np.fromiter(map(self.row.__getitem__, found), U, len(found))
-        return rows
+        own = as_bytes(words)
+        hashes = np.fromiter(map(xxhash.xxh32_intdigest, own), U, len(own)) & U(0xFFFFF)
+        return hashes | self.slot(words) << U(SLOT) | self.classes.of(own).astype(U) << U(CLASS), self.logs[places(words, self.common)]
 
 
 def contexts(number: np.ndarray, place: np.ndarray) -> np.ndarray:
@@ -155,15 +173,18 @@ def contexts(number: np.ndarray, place: np.ndarray) -> np.ndarray:
         b[d:] = np.where(place[d:] >= d, number[:-d] if d < len(number) else number[:0], U(CLASSES << CLASS))
         back.append(b)
     a, b, c = (x >> U(CLASS) for x in back)
-    # Of the words just before, in one number: the two groups that hold most of them.
-    sums = np.zeros((len(number) + 1, WIDTH), np.int32)
-    np.cumsum((number >> U(CLASS + 3))[:, None] == np.arange(WIDTH, dtype=U), axis=0, out=sums[1:])
+    # Of the words just before, in one number: the two groups that hold most of them. Groups are counted in the bytes of a sum.
+    sums = np.zeros(len(number) + 1, np.uint64)
+    np.cumsum(np.uint64(1) << (number >> U(CLASS + 3) << U(3)).astype(np.uint64), out=sums[1:])
     at = np.arange(len(number))
-    near = sums[at] - sums[at - np.minimum(place, NEAR)]
-    first = near.argmax(1)
-    near[at, first] = -1
-    second = near.argmax(1)
-    both = np.where(near[at, second] > 0, second, WIDTH).astype(U) + U(WIDTH + 1) * np.where(place > 0, first, WIDTH).astype(U)
+    near = (sums[:-1] - sums[at - np.minimum(place, NEAR)]).astype("<u8").view(np.uint8).reshape(-1, WIDTH)
+    most, next_ = np.zeros((2, len(number)), np.uint8)  # count * 8 + (7 - group): ties to the first group
+    for g in range(WIDTH):
+        own = near[:, g] * np.uint8(WIDTH) + np.uint8(WIDTH - 1 - g)
+        next_ = np.maximum(next_, np.minimum(most, own))
+        most = np.maximum(most, own)
+    first, second = (np.where(x >= WIDTH, WIDTH - 1 - x % WIDTH, WIDTH).astype(U) for x in (most, next_))
+    both = second + U(WIDTH + 1) * first
     keys = (back[0], back[0] * U(0x85EBCA6B) ^ back[1], (a * U(131) + b) * U(131) + c, back[1], both)
     out = np.stack([(k + U(0x9E3779B1 * (t + 1) & 0xFFFFFFFF)) * U(0xC2B2AE35) for t, k in enumerate(keys)])
     return out ^ out >> U(15)
@@ -211,16 +232,18 @@ class Model:
     def zeros(self) -> np.ndarray:
         return np.zeros((LEVELS * TEMPLATES, WIDTH, self.rows))
 
-    def flat(self, sums: np.ndarray) -> np.ndarray:
-        """Sums in the shape of the weights."""
-        return sums.transpose(0, 2, 1).reshape(-1, WIDTH)
-
     def gather(self, context: np.ndarray, number: np.ndarray, seen: np.ndarray | None, expected: np.ndarray) -> None:
-        """Add to each feature's row how often it saw each target, and how often the model expects it; both made by zeros()."""
-        for s in range(0, len(number), BATCH):
-            own = slice(s, s + BATCH)
-            for level, target, parent, at in self.levels(context[:, own], number[own]):
-                p = np.ascontiguousarray(self.probabilities(level, parent, at).T, dtype=float)
+        """Add to each feature's row how often it saw each target, and how often the model expects it; both made by zeros().
+
+        Adding up goes over all rows, so it waits for several tokens a row.
+        """
+        for start in range(0, len(number), max(BATCH, 4 * self.rows)):
+            part = slice(start, start + max(BATCH, 4 * self.rows))
+            p = np.empty((WIDTH, len(number[part])))
+            for level, target, parent, at in self.levels(context[:, part], number[part]):
+                for s in range(0, len(target), BATCH):
+                    own = slice(s, s + BATCH)
+                    p[:, own] = self.probabilities(level, parent[own], at[:, own]).T
                 for t in range(TEMPLATES):
                     k, row = level * TEMPLATES + t, at[t]
                     for c in range(WIDTH):
@@ -235,52 +258,37 @@ class Model:
         self.w += np.clip(rate * np.log((seen + prior * share + 1e-9) / (expected + prior * share + 1e-9)), -4, 4).astype(np.float32)
 
 
-def text_groups(batches: Iterator[pa.RecordBatch], most: int = 60_000) -> Iterator[tuple[pa.RecordBatch, list[list[bytes]]]]:
-    """Rows with their texts' words, about ``most`` words at a time; the text is the last column."""
-    for b in batches:
-        start, group, size = 0, [], 0
-        for i, text in enumerate(b.column(b.num_columns - 1).to_pylist() if b.num_rows else []):
-            group.append([*words_of(text), END])
-            size += len(group[-1])
-            if size > most or i == b.num_rows - 1:
-                yield b.slice(start, i + 1 - start), group
-                start, group, size = i + 1, [], 0
-
-
 def number_groups(batches: Iterator[pa.RecordBatch], most: int = 65_536) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray]]:
     """Rows with their texts' numbers, contexts and sizes, about ``most`` tokens at a time; the numbers are the last column."""
     for b in batches:
         last = b.column(b.num_columns - 1)
-        if not b.num_rows:
-            continue
-        size = pa.compute.binary_length(last).to_numpy(zero_copy_only=False).astype(np.int64) // 4
-        part = np.concatenate([[0], np.flatnonzero(np.diff((np.cumsum(size) - 1) // most)) + 1, [b.num_rows]])
-        for s, e in zip(part, part[1:]):
+        size = pc.binary_length(last).to_numpy(zero_copy_only=False).astype(np.int64) // 4
+        for s, e in parts(size, most):
             own = size[s:e]
             number = np.frombuffer(b"".join(last.slice(s, e - s).to_pylist()), "<u4")
             place = np.arange(len(number)) - np.repeat(np.cumsum(own) - own, own)
             yield b.slice(s, e - s), number, contexts(number, place), own
 
 
-def counts(docs: DataFrame) -> DataFrame:
-    """word and c of all training tokens, ends too; added up in each task first."""
+def counts(docs: DataFrame, most: int = 500_000) -> DataFrame:
+    """word and c of all training tokens, ends too; added up in each task first, up to ``most`` words at a time."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter = Counter()
-
-        def rows() -> pa.RecordBatch:
-            out = pa.RecordBatch.from_arrays([pa.array(list(seen.keys()), pa.binary()).cast(pa.string()), pa.array(list(seen.values()), pa.int64())], names=["word", "c"])
-            seen.clear()
-            return out
-
-        for b in batches:
-            for text in b.column(0).to_pylist():
-                seen.update(words_of(text))
-                seen[END] += 1
-                if len(seen) > 500_000:
-                    yield rows()
-        if seen:
-            yield rows()
+        seen, ends = [], 0
+
+        def added() -> pa.Table:
+            return pa.concat_tables(seen).group_by("word", use_threads=False).aggregate([("c", "sum")]).rename_columns(["word", "c"])
+
+        for part, words, _ in text_groups(batches):
+            seen.append(pa.table(words.value_counts().flatten(), names=["word", "c"]))
+            ends += part.num_rows
+            if sum(t.num_rows for t in seen) > 2 * most:
+                seen = [added()]
+                if seen[0].num_rows > most:
+                    yield from seen.pop().to_batches(most)
+        if ends:
+            seen.append(pa.table({"word": [END.decode()], "c": pa.array([ends], pa.int64())}))
+            yield from added().to_batches(most)
 
     return docs.where("not held_out").select("text").mapInArrow(count, "word string, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
@@ -308,15 +316,15 @@ def train(numbers: DataFrame, priors: list[np.ndarray], tokens: int, rates: tupl
         def look(batches: Iterator[pa.RecordBatch], held=held, first=first) -> Iterator[pa.RecordBatch]:
             m = held.value
             expected, seen_ = m.zeros(), m.zeros() if first else None
-            for _, number, context, _ in number_groups(batches):
+            for _, number, context, _ in number_groups(batches, most=4 * m.rows):
                 m.gather(context, number, seen_, expected)
             salt = TaskContext.get().partitionId() % merged
-            expected = m.flat(expected)
-            both = np.hstack([expected, m.flat(seen_)]) if first else expected
-            for b in range(0, len(both), block):
-                at = np.flatnonzero(expected[b : b + block, 0])
+            for b in range(0, len(m.w), block):
+                k, own = b // m.rows, slice(b % m.rows, b % m.rows + block)
+                at = np.flatnonzero(expected[k, 0, own])
                 if len(at):
-                    yield pa.RecordBatch.from_arrays([pa.array([salt], pa.int32()), pa.array([b // block], pa.int32()), pa.array([at.astype("<i2").tobytes()]), pa.array([both[b + at].astype("<f4").tobytes()])], names=["salt", "block", "at", "v"])
+                    v = np.hstack([x[k, :, own][:, at].T for x in ((expected, seen_) if first else (expected,))])
+                    yield pa.RecordBatch.from_arrays([pa.array([salt], pa.int32()), pa.array([b // block], pa.int32()), pa.array([at.astype("<i2").tobytes()]), pa.array([v.astype("<f4").tobytes()])], names=["salt", "block", "at", "v"])
 
         def add(part: pa.Table) -> pa.Table:
             total = None
@@ -359,6 +367,7 @@ def score(docs: DataFrame, folds: int = 7, fold: int = 2, head: int = 262_144, f
     sizes_ = table.groupBy("c").agg(F.count("*").alias("w")).orderBy(F.desc("c")).limit(head).toPandas()
     least = sizes_.c[sizes_.w.cumsum() <= head].min() if len(sizes_) else 0
     top = table.where(F.col("c") >= (int(least) if least == least else 1 << 62)).toPandas().sort_values(["c", "word"], ascending=[False, True], ignore_index=True)
+    common = pa.array(top.word, pa.string())
     top["word"] = [w.encode() for w in top.word]
     fit = top[top.word != END].head(fitted_words)
     spell = Classes(fit.word.tolist(), np.log1p(fit.c.to_numpy(float)))
@@ -369,14 +378,14 @@ def score(docs: DataFrame, folds: int = 7, fold: int = 2, head: int = 262_144, f
         if taken[k] < WIDTH - 1:
             slots[word] = taken[k]
             taken[k] += 1
-    words = spark.sparkContext.broadcast((spell, dict(zip(top.word, np.log10(top.c.to_numpy(float) + 1).tolist())), slots))
+    words = spark.sparkContext.broadcast(Tokens(spell, common, np.log10(top.c.to_numpy(float) + 1), slots))
 
     def sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        spell_, _, slots_ = words.value
+        tokens = words.value
         total = np.zeros((2, CLASSES * WIDTH))
         for b in batches:
-            own, c = b.column(0).cast(pa.binary()).to_pylist(), b.column(1).to_numpy()
-            k = spell_.of(own) * WIDTH + np.fromiter(map(slots_.get, own, repeat(WIDTH - 1)), np.int64, len(own)) if own else np.zeros(0, np.int64)
+            own, c = b.column(0), b.column(1).to_numpy()
+            k = tokens.classes.of(as_bytes(own)) * WIDTH + tokens.slot(own).astype(np.int64)
             total += np.stack([np.bincount(k, weights=c, minlength=CLASSES * WIDTH), np.bincount(k, minlength=CLASSES * WIDTH)])
         yield pa.RecordBatch.from_pydict({"k": list(range(CLASSES * WIDTH)), "c": total[0].astype(int), "v": total[1].astype(int)})
 
@@ -391,24 +400,26 @@ def score(docs: DataFrame, folds: int = 7, fold: int = 2, head: int = 262_144, f
     log_mass = np.log10(np.maximum(mass, 1))
 
     def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = shared("tokens", made, lambda: Tokens(*words.value))
-        for part, groups in text_groups(batches):
-            at = tokens.of(groups)
-            size = np.fromiter(map(len, groups), np.int64, len(groups))
+        for part, found, size in text_groups(batches):
+            found = found.dictionary_encode()
+            different = pa.concat_arrays([found.dictionary, pa.array([END.decode()])])
+            at = np.insert(found.indices.to_numpy(zero_copy_only=False), np.cumsum(size), len(different) - 1)  # an end after each text
+            size += 1
             first = np.cumsum(size) - size
-            number, log = tokens.numbers[at], tokens.logs[at]
+            numbers, logs = words.value.of(different)
+            number, log = numbers[at], logs[at]
             rare = np.isnan(log)
             known, logs = size - np.add.reduceat(rare.astype(np.int64), first), np.add.reduceat(np.where(rare, 0.0, log), first)
             where = np.flatnonzero(rare)
-            pairs, times = np.unique(np.repeat(np.arange(len(groups)), size)[where] << 32 | at[where].astype(np.int64), return_counts=True)
-            ends = pa.array(np.searchsorted(pairs, np.arange(len(groups) + 1) << 32), pa.int32())
-            found = pa.array([tokens.words[k] for k in (pairs & 0xFFFFFFFF).tolist()], pa.binary()).cast(pa.string())
+            pairs, times = np.unique(np.repeat(np.arange(len(size)), size)[where] << 32 | at[where].astype(np.int64), return_counts=True)
+            ends = pa.array(np.searchsorted(pairs, np.arange(len(size) + 1) << 32), pa.int32())
+            found = different.take(pa.array(pairs & 0xFFFFFFFF))
             found = pa.ListArray.from_arrays(ends, pa.StructArray.from_arrays([found, pa.array(times, pa.int32())], names=["word", "t"]))
             data = number.astype("<u4").tobytes()
             own = pa.array([data[4 * s : 4 * (s + k)] for s, k in zip(first.tolist(), size.tolist())], pa.binary())
             yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(known), pa.array(logs), found, own], names=["row", "doc_id", "held_out", "known", "logs", "rare", "numbers"])
 
-    kind, made = docs.schema["doc_id"].dataType.simpleString(), uuid.uuid4().hex
+    kind = docs.schema["doc_id"].dataType.simpleString()
     numbered = rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", "held_out", "text")
     texts = written(numbered.mapInArrow(put, f"row long, doc_id {kind}, held_out boolean, known long, logs double, rare array<struct<word:string,t:int>>, numbers binary"))
     model = train(texts.where("not held_out").select("numbers"), priors, n, rates) if n else Model(1 << 12, priors)
