@@ -217,7 +217,7 @@ def chances(bits: int, radius: int, differ: float) -> float:
     return sum(math.comb(bits, k) * differ**k * (1 - differ) ** (bits - k) for k in range(radius + 1))
 
 
-def similar_texts(docs: DataFrame, words: int = 5, similarity: float = 0.8, radius: int = 1, missed: float = 0.005, block: int = 500, shard: int = 400_000) -> DataFrame:
+def similar_texts(docs: DataFrame, words: int = 5, similarity: float = 0.8, radius: int = 1, missed: float = 0.005, block: int = 500, shard: int = 400_000, joined: int = 200_000) -> DataFrame:
     """doc_id, key (xxhash64 of the text), root (its group), component_id (smallest doc_id that links reach) of every row of ``docs`` (doc_id, text).
 
     Texts whose sets of ``words``-word shingles have a Jaccard similarity of ``similarity`` or more are linked; a shorter text is one
@@ -231,6 +231,7 @@ def similar_texts(docs: DataFrame, words: int = 5, similarity: float = 0.8, radi
     whole sets. First each point meets one of those found for it in each tree, so that large groups join; then all pairs of different groups
     are verified. Pairs are verified in cells: blocks of some ``block`` points alike (or of 250 times as many shingles) with each other, so a
     set moves once for each block that its point has a pair in, not once for each pair. A cell compares all that it holds, a superset of the pairs found.
+    Up to ``joined`` edges are joined in one task, more in tasks of as many and then in rounds.
     """
     import xxhash
 
@@ -265,7 +266,8 @@ def similar_texts(docs: DataFrame, words: int = 5, similarity: float = 0.8, radi
     def brought(rows: DataFrame, all_pairs: bool) -> DataFrame:
         """What the trees bring together, of different roots, and 128 bits do not part.
 
-        Either (a, b), each point with its least one by hash; or for all pairs (x, y, id), the points that have a pair across blocks x and y.
+        Either (a, b), each point with its least one by hash; or for all pairs (x, y, id), the points that have a pair across blocks x and y;
+        a cell tells them in a row for each two blocks, as most of them are found in nearly every tree.
         """
 
         def compare(cell: pa.Table) -> pa.Table:
@@ -290,7 +292,12 @@ def similar_texts(docs: DataFrame, words: int = 5, similarity: float = 0.8, radi
             pairs_in(fp, np.flatnonzero(own), radius, found, 500_000)
             if all_pairs:
                 i, other = np.divmod(np.unique(np.concatenate(met)), max(1, len(blocks)))
-                return pa.table({"x": np.minimum(block[i], blocks[other]), "y": np.maximum(block[i], blocks[other]), "id": number[i]})
+                x, y = np.minimum(block[i], blocks[other]), np.maximum(block[i], blocks[other])
+                order = np.lexsort((y, x))
+                x, y, ids = x[order], y[order], number[i][order]
+                first = np.flatnonzero(np.append(True, (x[1:] != x[:-1]) | (y[1:] != y[:-1])))[: len(x)]
+                ids = pa.ListArray.from_arrays(pa.array(np.append(first, len(x)), pa.int32()), pa.array(ids))
+                return pa.table({"x": x[first], "y": y[first], "ids": ids})
             i = np.flatnonzero(least < len(number))
             j = np.argsort(rank)[least[i]]
             ab = np.unique(np.stack([np.minimum(number[i], number[j]), np.maximum(number[i], number[j])], 1), axis=0)
@@ -298,7 +305,13 @@ def similar_texts(docs: DataFrame, words: int = 5, similarity: float = 0.8, radi
 
         rows = rows.select("id", "w0", "w1", "size", "root", "block", F.posexplode("fps").alias("tree", "fp"))
         cells = divided(shards(rows, levels_for(rows, shard, 0), radius), shard, ["id"])
-        return cells.groupBy("tree", "node", "h", "q").applyInArrow(compare, "x long, y long, id long" if all_pairs else "a long, b long").distinct()
+        cells = cells.groupBy("tree", "node", "h", "q").applyInArrow(compare, "x long, y long, ids array<bigint>" if all_pairs else "a long, b long")
+        return cells.groupBy("x", "y").applyInArrow(together, "x long, y long, id long") if all_pairs else cells.distinct()
+
+    def together(cell: pa.Table) -> pa.Table:
+        """Each point of two blocks once; many trees bring the same ones."""
+        ids = np.unique(np.concatenate([c.flatten().to_numpy() for c in cell["ids"].chunks]))
+        return pa.table({"x": np.full(len(ids), cell["x"][0].as_py()), "y": np.full(len(ids), cell["y"][0].as_py()), "id": ids})
 
     def alike(i: np.ndarray, j: np.ndarray, root: np.ndarray, size: np.ndarray, w0: np.ndarray, w1: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         near = (root[i] != root[j]) & (np.minimum(size[i], size[j]) >= similarity * np.maximum(size[i], size[j]) - 1e-9)
@@ -366,7 +379,7 @@ def similar_texts(docs: DataFrame, words: int = 5, similarity: float = 0.8, radi
     pairs = cut(brought(rooted(narrow, None).withColumn("block", F.lit(0).cast("long")), False))
     both = pairs.union(pairs.select("b", "a")).toDF("id", "hub")
     hubs = both.union(both.select("id", "id").distinct()).groupBy("id").agg(F.min_by("hub", F.xxhash64("hub")).alias("hub")).join(points.select("id", "size"), "id")
-    hubs = cut(hubs.join(components(pairs), "id"))
+    hubs = cut(hubs.join(components(pairs, block=joined), "id"))
     parts = lambda by, name: hubs.groupBy(by).agg(F.ceil(F.greatest(F.count("*") / block, F.sum("size") / (250 * block))).cast("int").alias(name))
     chunk = F.xxhash64("hub", F.pmod(F.xxhash64("id"), "chunks"))
     blocks = hubs.join(parts("hub", "chunks"), "hub").join(parts("component", "parts"), "component")
@@ -375,11 +388,11 @@ def similar_texts(docs: DataFrame, words: int = 5, similarity: float = 0.8, radi
     text = keyed.join(wanted, keyed.doc_id.eqNullSafe(wanted.doc) & (keyed.key == wanted.key)).groupBy("id", "size", "w0", "w1").agg(F.min("text").alias("text"))
     sets = written(text.mapInArrow(sets_of, "id long, size int, w0 long, w1 long, shingles binary"))
     first = near(in_cells(pairs), None)
-    roots = cut(components(first))
+    roots = cut(components(first, block=joined))
     rows = written(rooted(narrow.join(blocks, "id"), roots))  # points that were near none have no more to look for
     second = near(brought(rows, True), roots)
     if not second.isEmpty():
-        roots = cut(components(first.union(second)))
+        roots = cut(components(first.union(second), block=joined))
     named = points.join(roots, "id", "left").select("point", F.coalesce("component", "id").alias("id"))
     own = prints.join(named, "point", "left").select("doc_id", "key", F.coalesce("id", F.lit(-1)).alias("root"))
     names = own.groupBy("root").agg(F.min("doc_id").alias("component_id"))

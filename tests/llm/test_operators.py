@@ -573,6 +573,57 @@ def test_pipeline_near_copies(spark):
     assert near_copies(spark, df.limit(0), "").count() == 0
 
 
+def test_components_joined_in_tasks(spark):
+    from ravelin.llm.components import components
+
+    rng = random.Random(4)
+    edges = [(rng.randrange(-400, 400), rng.randrange(-400, 400)) for _ in range(350)] + [(k, k + 1) for k in range(1000, 1060)] + [(2000, 2000), (2001, None), (5, -9), (5, -9)]
+    label: dict[int, int] = {}
+    for a, b in edges:
+        if b is not None and a != b:
+            low, high = sorted((label.setdefault(a, a), label.setdefault(b, b)))
+            label = {i: low if c == high else c for i, c in label.items()}
+    df = spark.createDataFrame(edges, "a long, b long")
+    for parts, block in ((5, 1), (1, 50), (7, 150), (7, 1000)):
+        got = [tuple(r) for r in components(df.repartition(parts), block=block).select("id", "component").collect()]
+        assert len(got) == len(label) and dict(got) == label, (parts, block)
+    assert components(df.limit(0), block=10).count() == 0
+
+
+def test_similar_texts_of_one_large_group_take_few_stages_and_rows(spark):
+    from ravelin.llm.simhash_trees import similar_texts
+
+    rng = random.Random(3)
+    base, own = [f"w{k}" for k in range(120)], []
+    for i in range(400):  # alike, nearly no pair at 0.8
+        t = list(base)
+        for at in rng.sample(range(120), 8):
+            t[at] = f"x{rng.randrange(4000)}"
+        own.append((i, " ".join(t)))
+    df = spark.createDataFrame(own, "doc_id long, text string").repartition(5)
+    sc, store = spark.sparkContext, spark._jsparkSession.sharedState().statusStore()
+    got, stages = {}, {}
+    for joined in (200_000, 30):
+        seen = store.executionsCount()
+        sc.setJobGroup(f"joined in {joined}", "")
+        got[joined] = {r.doc_id: r.component_id for r in similar_texts(df, block=20, joined=joined).collect()}
+        sc._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        tracker = sc.statusTracker()
+        stages[joined] = sum(len(tracker.getJobInfo(k).stageIds) for k in tracker.getJobIdsForGroup(f"joined in {joined}"))
+        rows = [0]
+        for k in range(seen, store.executionsCount()):
+            run = store.executionsList().apply(k)
+            values, nodes = store.executionMetrics(run.executionId()), store.planGraph(run.executionId()).allNodes()
+            for node in (nodes.apply(n) for n in range(nodes.size()) if "FlatMapGroupsInArrow" in nodes.apply(n).name()):
+                for m in (node.metrics().apply(n) for n in range(node.metrics().size())):
+                    if m.name() == "number of output rows" and values.contains(m.accumulatorId()):
+                        rows.append(int(values.apply(m.accumulatorId()).replace(",", "")))
+        print(joined, stages[joined], max(rows))
+        assert 1000 < max(rows) < 30_000, max(rows)  # of 400 texts in 20 blocks, in each of the trees
+    sc._jsc.clearJobGroup()
+    assert got[30] == got[200_000] and stages[200_000] < 150 and stages[200_000] < stages[30]
+
+
 def test_similar_texts_in_a_group_around_the_threshold(spark):
     from ravelin.llm.simhash_trees import shared_counts, similar_texts
 
